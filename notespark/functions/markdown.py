@@ -25,30 +25,36 @@ PROTECTED_BUT_URL = "|".join(
 )
 PROTECTED = PROTECTED_BUT_URL + "|" + URL
 
+# Every alternative starts with one of these; testing them first skips most positions at once.
+_STARTS = r"(?=[`$<\[]|!\[|http|\n\||\s\^|\A-)"
+
 HEADER_BREAK = r"\n(?=##? )"
 
 
-def _between(text: Column, pattern: str) -> tuple[Column, Column]:
-    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _rebuild(text: Column, pattern: str, free, kept) -> Column:
+    """Text with ``free`` applied between protected spans and ``kept`` to the spans.
+
+    Most texts have no span at all; they are searched once and not split.
+    """
+    quick = f"{_STARTS}(?:{pattern})"
+
+    def build(spans: Column) -> Column:
+        pairs = F.zip_with(
+            F.split(text, quick, -1), spans, lambda a, b: F.concat(free(a), kept(F.coalesce(b, F.lit(""))))
+        )
+        return F.when(F.size(spans) == 0, free(text)).otherwise(F.array_join(pairs, ""))
+
+    return let(F.regexp_extract_all(text, F.lit(quick), F.lit(0)), build)
 
 
 def mask(text: Column, pattern: str = PROTECTED, fill: str = " ") -> Column:
     """Overwrite protected spans with ``fill``; line ends stay, so lengths and line numbers do not move."""
-    free, kept = _between(text, pattern)
-    return F.array_join(
-        F.zip_with(
-            free,
-            kept,
-            lambda a, b: F.concat(a, F.regexp_replace(F.coalesce(b, F.lit("")), r"[^\n]", fill)),
-        ),
-        "",
-    )
+    return _rebuild(text, pattern, lambda a: a, lambda b: F.regexp_replace(b, r"[^\n]", fill))
 
 
 def edit_unprotected(text: Column, edit, pattern: str = PROTECTED) -> Column:
     """Apply ``edit`` to the stretches between protected spans only."""
-    free, kept = _between(text, pattern)
-    return F.array_join(F.zip_with(free, kept, lambda a, b: F.concat(edit(a), F.coalesce(b, F.lit("")))), "")
+    return _rebuild(text, pattern, edit, lambda b: b)
 
 
 def safe_fix(text: Column) -> Column:

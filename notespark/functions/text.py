@@ -165,7 +165,7 @@ def wiki_link(path: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
 
 
 def run_lengths(items: Column) -> Column:

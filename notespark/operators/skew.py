@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notespark.session import cut_lineage
+
 MAX_HOT_KEYS = 1000
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def lookup(
@@ -25,18 +28,21 @@ def lookup(
     its one dims row is repeated per salt. In sum at most ``2 * max_hot`` rows are added to ``dims`` and no
     join task holds more than about ``1/max_hot`` of the facts for one key.
 
-    ``counts`` (keys, ``_n``) saves the pass that counts the facts when the caller has the numbers already.
+    Finding the hot keys runs a job. ``counts`` (keys, ``_n``) saves its pass over the facts when the caller
+    has the numbers already; it is read twice, so hand in something materialised.
     """
     if counts is None:
         counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    hot = F.broadcast(
+    hot = cut_lineage(
         counts.where(F.col("_n") * max_hot > total).select(
             *keys, F.ceil(F.col("_n") * max_hot / total).cast("int").alias("_salts")
         )
     )
+    if hot.isEmpty():
+        return facts.join(dims, keys, how)
     salted_facts = (
-        facts.join(hot, keys, "left")
+        facts.join(F.broadcast(hot), keys, "left")
         .withColumn(
             "_salt",
             F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_salts")), F.lit(0)).cast("int"),
@@ -44,7 +50,7 @@ def lookup(
         .drop("_salts")
     )
     salted_dims = (
-        dims.join(hot, keys, "left")
+        dims.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
@@ -61,6 +67,6 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def broadcast_if_at_most(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after counting: one small job that stops reading at ``max_rows + 1`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def has_at_most(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether a frame is small enough to broadcast. Counts it, so hand in something cheap to read."""
+    return df.limit(max_rows + 1).count() <= max_rows

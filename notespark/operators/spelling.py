@@ -18,41 +18,41 @@ _ARABIC = r"[\x{0600}-\x{06FF}]"
 
 
 def _note_words(content: Column) -> Column:
-    """``array<struct<word, n, caps, line>>`` of one note: times, capitalised times, first line.
+    """``array<struct<word, n, line, cap>>`` of one note: times used, line and capitals of the first use.
 
-    Counted inside the row: the note is not split over tasks, so grouping it needs no shuffle.
+    Counted inside the row: a note is not split over tasks, so grouping its words needs no shuffle, and what
+    is shuffled later is one record per distinct word.
     """
-    tokens = F.flatten(
-        F.transform(
-            F.split(mask(content, PROTECTED), "\n", -1),
-            lambda line, i: F.transform(
-                F.regexp_extract_all(line, F.lit(WORD), F.lit(0)),
-                lambda w: F.struct(
-                    F.lower(w).alias("word"),
-                    (i + 1).alias("line"),
-                    F.when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), 1).otherwise(0).alias("cap"),
+
+    def tokens_of(line: Column, i: Column) -> Column:
+        def tokens(found: Column) -> Column:
+            return F.zip_with(
+                found,
+                F.transform(found, F.lower),
+                lambda w, low: F.struct(
+                    low.alias("word"), (i + 1).alias("line"), (low != w).cast("int").alias("cap")
                 ),
-            ),
-        )
-    )
+            )
+
+        return let(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), tokens)
 
     def runs(s: Column) -> Column:
         first_of_word = F.filter(
             F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")),
             lambda i: (i == 0) | (F.get(s, i)["word"] != F.get(s, i - 1)["word"]),
         )
-        return let(first_of_word, lambda st: F.transform(st, lambda p, k: run(s, st, p, k)))
+        return let(first_of_word, lambda st: F.transform(st, lambda p, k: run(F.get(s, p), st, p, k, F.size(s))))
 
-    def run(s: Column, st: Column, p: Column, k: Column) -> Column:
-        n = F.coalesce(F.get(st, k + 1), F.size(s)) - p
+    def run(token: Column, st: Column, p: Column, k: Column, size: Column) -> Column:
         return F.struct(
-            F.get(s, p)["word"].alias("word"),
-            n.cast("long").alias("n"),
-            F.aggregate(F.slice(s, p + 1, n), F.lit(0).cast("long"), lambda acc, t: acc + t["cap"]).alias("caps"),
-            F.get(s, p)["line"].alias("line"),
+            token["word"].alias("word"),
+            (F.coalesce(F.get(st, k + 1), size) - p).cast("long").alias("n"),
+            token["line"].alias("line"),
+            token["cap"].alias("cap"),
         )
 
-    return let(F.sort_array(tokens), runs)
+    lines = F.split(mask(content, PROTECTED), "\n", -1)
+    return let(F.sort_array(F.flatten(F.transform(lines, tokens_of))), runs)
 
 
 def note_words(notes: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def note_words(notes: DataFrame) -> DataFrame:
 
 
 def lexicon(notes: DataFrame) -> DataFrame:
-    """Per language and word: count, notes that contain it, capitalised uses, and the first place it occurs.
+    """Per language and word: count, notes that contain it, and its first use (path, line, capitals).
 
     One shuffle, combined on the map side, so a word of every note sends one row per task.
     """
@@ -71,21 +71,20 @@ def lexicon(notes: DataFrame) -> DataFrame:
         .agg(
             F.sum("n").alias("n"),
             F.count(F.lit(1)).alias("n_notes"),
-            F.sum("caps").alias("n_capitalised"),
-            F.min(F.struct("path", "line")).alias("first_seen"),
+            F.min(F.struct("path", "line", "cap")).alias("first_use"),
         )
     )
 
 
 def suspects(lex: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) -> DataFrame:
-    """Words of one note only, not repeated there (terms repeat) and not capitalised (names are).
+    """Words used once in one note, so neither a term that repeats nor, without capitals, a name.
 
     At distance one the confidence is ``1 - 1/length``, so the confidence gate can cut here already.
     """
     return lex.where(
         (F.col("n_notes") == 1)
         & (F.col("n") == 1)
-        & (F.col("n_capitalised") == 0)
+        & (F.col("first_use.cap") == 0)
         & (1 - 1 / F.length("word") >= min_confidence)
     )
 
@@ -150,20 +149,20 @@ def candidates(lex: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) ->
         .agg(best.alias("best"))
     )
     asked = suspects(lex, min_confidence).select(
-        "lang", "word", "first_seen", F.explode(_suspect_keys(F.col("word"))).alias("key")
+        "lang", "word", "first_use", F.explode(_suspect_keys(F.col("word"))).alias("key")
     )
     return (
         asked.join(by_key, ["lang", "key"])
         .groupBy("lang", "word")
-        .agg(F.min("best").alias("best"), F.first("first_seen").alias("first_seen"))
+        .agg(F.min("best").alias("best"), F.first("first_use").alias("first_use"))
         .select(
             "lang",
             F.col("word").alias("original"),
             F.col("best.suggested").alias("suggested"),
             (-F.col("best.neg_n")).alias("frequency"),
             F.round(1 - 1 / F.length("word"), 4).alias("confidence"),
-            F.col("first_seen.path").alias("path"),
-            F.col("first_seen.line").cast("long").alias("line"),
+            F.col("first_use.path").alias("path"),
+            F.col("first_use.line").cast("long").alias("line"),
         )
     )
 

@@ -588,9 +588,9 @@ def lexicon(spark, sf_dir):
         "word",
         "n",
         "n_notes",
-        "n_capitalised",
-        F.col("first_seen.path").alias("first_path"),
-        F.col("first_seen.line").cast("long").alias("first_line"),
+        F.col("first_use.path").alias("first_path"),
+        F.col("first_use.line").cast("long").alias("first_line"),
+        (F.col("first_use.cap") == 1).alias("first_capitalised"),
     )
 
 

@@ -612,9 +612,10 @@ note_lines as (select lang, path, generate_subscripts(l, 1) line, unnest(l) t
   from (select lang, path, string_split({masked("content", PROTECTED, "' '")}, chr(10)) l from md)),
 tokens as (select lang, path, line, unnest(regexp_extract_all(t, '{WORD}')) w from note_lines),
 lexicon as (select lang, lower(w) word, count(*) n, count(distinct path) n_notes,
-    count(*) filter (where w[1] <> lower(w[1])) n_capitalised, min(path) first_path, min({{'p': path, 'l': line}}).l first_line
+    min(path) first_path, min({{'p': path, 'l': line}}).l first_line,
+    min({{'p': path, 'l': line, 'c': w <> lower(w)}}).c first_capitalised
   from tokens group by 1, 2),
-suspects as (select * from lexicon where n = 1 and n_capitalised = 0 and 1 - 1.0/length(word) >= 0.75)"""
+suspects as (select * from lexicon where n = 1 and not first_capitalised and 1 - 1.0/length(word) >= 0.75)"""
 # Every pair of words whose lengths differ by at most one and that share a word with a hole is compared.
 CANDIDATES = r"""
 known as (select lang, word, n from lexicon where n_notes >= 2),
