@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notespark import params
-from notespark.functions.text import default_to, trim
+from notespark.functions.text import default_to, let, trim
 
 _CORRECTION = "original:string,suggested:string,line:string,confidence:string,context:string"
 _ISSUE = "issue:string,line:string,suggestion:string,fixable:string,originalText:string,suggestedText:string"
@@ -52,27 +52,20 @@ def _number(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def parse_findings(replies: DataFrame, raw: str = "raw_reply") -> DataFrame:
-    """Add ``parse_ok``, ``corrections`` and ``issues``.
-
-    A missing list is empty, missing texts get their placeholders, corrections need both texts and issues
-    need a title. An unreadable reply gives ``parse_ok = false`` and null lists.
-    """
-    text = strip_reasoning(F.col(raw))
-    obj = default_to(widest_object(text), text)
-    with_obj = replies.withColumn("_obj", obj)
+def _findings(obj: Column) -> Column:
     ok = (
-        F.try_parse_json(F.col("_obj")).isNotNull()
-        & (trim(F.col("_obj")) != "null")
-        & _listable(F.col("_obj"), "corrections")
-        & _listable(F.col("_obj"), "formattingIssues")
-    )
-    parsed = with_obj.withColumn("parse_ok", F.coalesce(ok, F.lit(False))).withColumn(
-        "_f", F.from_json("_obj", _FINDINGS)
+        F.try_parse_json(obj).isNotNull()
+        & (trim(obj) != "null")
+        & _listable(obj, "corrections")
+        & _listable(obj, "formattingIssues")
     )
-    corrections = F.filter(
+    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), F.from_json(obj, _FINDINGS).alias("f"))
+
+
+def _kept_corrections(raw: Column) -> Column:
+    return F.filter(
         F.transform(
-            F.col("_f.corrections"),
+            raw,
             lambda c: F.struct(
                 c["original"].alias("original"),
                 c["suggested"].alias("suggested"),
@@ -83,9 +76,12 @@ def parse_findings(replies: DataFrame, raw: str = "raw_reply") -> DataFrame:
         ),
         lambda c: F.coalesce((c["original"] != "") & (c["suggested"] != ""), F.lit(False)),
     )
-    issues = F.filter(
+
+
+def _kept_issues(raw: Column) -> Column:
+    return F.filter(
         F.transform(
-            F.col("_f.formattingIssues"),
+            raw,
             lambda i: F.struct(
                 i["issue"].alias("issue"),
                 _number(i["line"]).cast("long").alias("line"),
@@ -97,12 +93,24 @@ def parse_findings(replies: DataFrame, raw: str = "raw_reply") -> DataFrame:
         ),
         lambda i: F.coalesce(i["issue"] != "", F.lit(False)),
     )
+
+
+def parse_findings(replies: DataFrame, raw: str = "raw_reply") -> DataFrame:
+    """Add ``parse_ok``, ``corrections`` and ``issues``.
+
+    A missing list is empty, missing texts get their placeholders, corrections need both texts and issues
+    need a title. An unreadable reply gives ``parse_ok = false`` and null lists.
+    """
+    parsed = let(
+        strip_reasoning(F.col(raw)), lambda text: let(default_to(widest_object(text), text), _findings)
+    )
+    ok, f = F.col("_p.ok"), F.col("_p.f")
     return (
-        parsed.withColumn(
-            "corrections", F.when(F.col("parse_ok"), F.coalesce(corrections, F.array()))
-        )
-        .withColumn("issues", F.when(F.col("parse_ok"), F.coalesce(issues, F.array())))
-        .drop("_obj", "_f")
+        replies.withColumn("_p", parsed)
+        .withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
+        .withColumn("corrections", F.when(ok, F.coalesce(_kept_corrections(f["corrections"]), F.array())))
+        .withColumn("issues", F.when(ok, F.coalesce(_kept_issues(f["formattingIssues"]), F.array())))
+        .drop("_p")
     )
 
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from notespark import params
 from notespark.functions.markdown import PROTECTED, mask
 from notespark.functions.text import WORD, let
+from notespark.session import cut_lineage
 
 MARK = r"[\x{064B}-\x{0652}]"
+_MARK_RANGE = ("\u064b", "\u0652")
 _ARABIC = r"[\x{0600}-\x{06FF}]"
 
 
@@ -93,40 +95,36 @@ def established(lex: DataFrame) -> DataFrame:
     return lex.where(F.col("n_notes") >= 2)
 
 
-def _per_position(word: Column, build) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: build(i, F.substring(word, i, F.lit(1))))
+def _edits(words: DataFrame, whole: str, keys) -> DataFrame:
+    """One row per word and key: the word itself under ``whole`` and ``keys(hole, shorter, is_mark)`` per position.
 
-
-def _without(word: Column, i: Column, put: str) -> Column:
-    return F.concat(F.substring(word, F.lit(1), i - 1), F.lit(put), F.substring(word, i + 1, F.length(word)))
+    Positions are exploded first, so the keys are built by generated code and not inside array lambdas.
+    """
+    word, i = F.col("word"), F.col("_i")
+    ch = F.substring(word, i, F.lit(1))
+    before, after = F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))
+    at = keys(F.concat(before, F.lit("*"), after), F.concat(before, after), ch.between(*_MARK_RANGE))
+    return (
+        words.withColumn("_i", F.explode(F.sequence(F.lit(0), F.length(word))))
+        .withColumn("key", F.explode(F.when(i == 0, F.array(F.concat(F.lit(whole), word))).otherwise(F.array(*at))))
+        .where(F.col("key").isNotNull())
+        .drop("_i")
+    )
 
 
-def _established_keys(word: Column) -> Column:
-    hole = _per_position(
-        word,
-        lambda i, ch: F.concat(F.when(ch.rlike(MARK), "m:").otherwise("s:"), _without(word, i, "*")),
-    )
-    shorter = F.filter(
-        _per_position(word, lambda i, ch: F.when(~ch.rlike(MARK), F.concat(F.lit("i:"), _without(word, i, "")))),
-        lambda k: k.isNotNull(),
+def _established_keys(hole: Column, shorter: Column, is_mark: Column) -> tuple[Column, ...]:
+    return (
+        F.concat(F.when(is_mark, "m:").otherwise("s:"), hole),
+        F.when(~is_mark, F.concat(F.lit("i:"), shorter)),
     )
-    return F.array_distinct(F.concat(hole, shorter, F.array(F.concat(F.lit("d:"), word))))
-
-
-def _suspect_keys(word: Column) -> Column:
-    hole = _per_position(word, lambda i, ch: F.concat(F.lit("s:"), _without(word, i, "*")))
-    mark_hole = F.when(
-        word.rlike(_ARABIC),
-        F.filter(
-            _per_position(word, lambda i, ch: F.when(~ch.rlike(MARK), F.concat(F.lit("m:"), _without(word, i, "*")))),
-            lambda k: k.isNotNull(),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    shorter = F.filter(
-        _per_position(word, lambda i, ch: F.when(~ch.rlike(MARK), F.concat(F.lit("d:"), _without(word, i, "")))),
-        lambda k: k.isNotNull(),
+
+
+def _suspect_keys(hole: Column, shorter: Column, is_mark: Column) -> tuple[Column, ...]:
+    return (
+        F.concat(F.lit("s:"), hole),
+        F.when(~is_mark, F.concat(F.lit("d:"), shorter)),
+        F.when(~is_mark & F.col("word").rlike(_ARABIC), F.concat(F.lit("m:"), hole)),
     )
-    return F.array_distinct(F.concat(hole, mark_hole, shorter, F.array(F.concat(F.lit("i:"), word))))
 
 
 def candidates(lex: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) -> DataFrame:
@@ -140,17 +138,17 @@ def candidates(lex: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) ->
 
     Arabic vowel marks are never the edit: an established word's holes are labelled by what they cover, marks
     are not removed on either side, and only letters of a suspect may meet a hole over a mark (``m:``).
+
+    Runs a job: the lexicon, small next to the texts, is checkpointed because both sides read it.
     """
+    lex = cut_lineage(lex)
     best = F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("word").alias("suggested")))
     by_key = (
-        established(lex)
-        .select("lang", "n", "word", F.explode(_established_keys(F.col("word"))).alias("key"))
+        _edits(established(lex).select("lang", "n", "word"), "d:", _established_keys)
         .groupBy("lang", "key")
         .agg(best.alias("best"))
     )
-    asked = suspects(lex, min_confidence).select(
-        "lang", "word", "first_use", F.explode(_suspect_keys(F.col("word"))).alias("key")
-    )
+    asked = _edits(suspects(lex, min_confidence).select("lang", "word", "first_use"), "i:", _suspect_keys)
     return (
         asked.join(by_key, ["lang", "key"])
         .groupBy("lang", "word")

@@ -52,7 +52,7 @@ def _md_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _anchor_path(files: DataFrame) -> Column:
     """The open note of the examples: the markdown file of the lowest document."""
-    return inventory.markdown(files).agg(F.min_by("path", "doc_id")).scalar()
+    return F.lit(inventory.markdown(files).agg(F.min_by("path", "doc_id")).first()[0])
 
 
 # --- inventory ---------------------------------------------------------------------------------------------
@@ -645,7 +645,7 @@ def smart_links_anchor(spark, sf_dir):
 @query
 def anchor_relevance(spark, sf_dir):
     notes, anchor = _md_notes(spark, sf_dir), _anchor_path(derived.files(spark, sf_dir))
-    return links.anchor_relevance(links.term_weights(notes), anchor, links.is_small(notes, anchor))
+    return links.anchor_relevance(links.term_weights(notes), anchor)
 
 
 @query

@@ -28,3 +28,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the returned frame always reads the same rows in the same partitions."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+# What the operators assume of a session. Sizes are per task or per join side, so they hold on any cluster.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def local_session(cpus: int, memory: str = "12g") -> SparkSession:
+    """Single-process session for tests and timing."""
+    builder = (
+        SparkSession.builder.master(f"local[{cpus}]")
+        .appName("notespark")
+        .config("spark.driver.memory", memory)
+        .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+    )
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark

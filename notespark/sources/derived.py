@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table. An input of fewer splits than the session has cores is spread over all of them."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _basename() -> Column:
     text = F.lower("text")
     first = F.filter(
@@ -27,9 +34,9 @@ def _basename() -> Column:
     return F.concat(F.array_join(first, "-"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
 
 
-def _files(documents: DataFrame) -> DataFrame:
+def _files(docs: DataFrame) -> DataFrame:
     extension = F.get(F.array(*map(F.lit, _EXTENSIONS)), (F.col("doc_id") % 10).cast("int"))
-    named = documents.withColumn("basename", _basename()).withColumn("extension", extension)
+    named = docs.withColumn("basename", _basename()).withColumn("extension", extension)
     return named.withColumn(
         "path", F.concat("source", F.lit("/"), "basename", F.lit("."), "extension")
     )
@@ -37,12 +44,12 @@ def _files(documents: DataFrame) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, lang, path, basename, extension`` without content."""
-    return _files(table(spark, sf_dir, "documents")).select("doc_id", "lang", "path", "basename", "extension")
+    return _files(documents(spark, sf_dir)).select("doc_id", "lang", "path", "basename", "extension")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files`` with content: headings, some spaced commas, and every fourth note links to its predecessor."""
-    documents = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     body = F.array_join(
         F.transform(
             F.split("text", "\n", -1),
@@ -53,10 +60,10 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "\n",
     )
-    previous = documents.select((F.col("doc_id") + 1).alias("doc_id"), _basename().alias("previous"))
+    previous = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("doc_id"), _basename().alias("previous"))
     link = F.concat(F.lit("\n\n\nSee [["), F.col("previous"), F.lit("]] and `code x`."))
     return (
-        _files(documents)
+        _files(docs)
         .withColumn("body", body)
         .join(previous, "doc_id", "left")
         .select(
@@ -101,7 +108,7 @@ def _first_word(text: Column) -> Column:
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, request_key, raw_reply``: one spelling reply per document."""
     json = _finding_json(_first_word(F.col("text")))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("request_key"),
         _reply(F.col("doc_id") % 6, json).alias("raw_reply"),
@@ -123,7 +130,7 @@ def link_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     relevance = (d % 100 / 100.0).cast("decimal(3,2)").cast("string")
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .where(d > 0)
         .select(
             "doc_id",
