@@ -52,19 +52,23 @@ def text_hash(text: Column) -> Column:
     """
 
     def step(h: Column, ch: Column) -> Column:
+        return (h * 31 + F.ascii(ch)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def step_with_surrogates(h: Column, ch: Column) -> Column:
         c = F.ascii(ch).cast("long")
         high = F.shiftright(c - 0x10000, 10) + 0xD800
         low = (c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
         return (
-            F.when(c > 0xFFFF, (h * 31 + high) * 31 + low)
-            .otherwise(h * 31 + c)
-            .bitwiseAND(F.lit(0xFFFFFFFF))
+            F.when(c > 0xFFFF, (h * 31 + high) * 31 + low).otherwise(h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF))
         )
 
     def signed_abs(h: Column) -> Column:
         return F.when(h >= 0x80000000, F.lit(0x100000000) - h).otherwise(h)
 
-    folded = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), step, signed_abs)
+    chars, zero = F.split(text, ""), F.lit(0).cast("long")
+    folded = F.when(
+        text.rlike(r"[\x{10000}-\x{10FFFF}]"), F.aggregate(chars, zero, step_with_surrogates, signed_abs)
+    ).otherwise(F.aggregate(chars, zero, step, signed_abs))
     return F.lower(F.conv(folded.cast("string"), 10, 36))
 
 

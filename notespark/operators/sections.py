@@ -14,16 +14,25 @@ def header_pieces(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.posexplode(md.header_pieces(F.col("content"))).alias("piece_no", "piece"))
 
 
+def _inline(notes: DataFrame, cut: Column, keep: tuple[str, ...]) -> DataFrame:
+    """Sections as rows, with what later steps need of the text, so that the text itself can be dropped early."""
+    return (
+        notes.select("path", *keep, cut.alias("_cut"))
+        .select("path", *keep, F.size("_cut").alias("n_sections"), F.inline("_cut"))
+        .withColumn("n_lines", line_count(F.col("section")))
+    )
+
+
 def full_sections(notes: DataFrame, size: int = params.FULL_CHUNK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Packed header sections of every note."""
-    return notes.select("path", *keep, F.inline(md.pack_sections(F.col("content"), size)))
+    return _inline(notes, md.pack_sections(F.col("content"), size), keep)
 
 
 def fixed_sections(
     notes: DataFrame, size: int = params.FIXED_SECTION_CHARS, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Fixed-width sections; ``newlines_before`` counts the line ends in front of each."""
-    return notes.select("path", *keep, F.inline(md.fixed_sections(F.col("content"), size)))
+    return _inline(notes, md.fixed_sections(F.col("content"), size), keep)
 
 
 def sample_section(notes: DataFrame, size: int = params.SAMPLE_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -38,8 +47,7 @@ def sample_section(notes: DataFrame, size: int = params.SAMPLE_CHARS, keep: tupl
 
 def progress(sections: DataFrame) -> DataFrame:
     """Share of a note done after each section, in whole percent, half up."""
-    total = F.count(F.lit(1)).over(Window.partitionBy("path"))
-    done = F.col("section_no") + 1
+    done, total = F.col("section_no") + 1, F.col("n_sections")
     return sections.withColumn("progress", F.floor((200 * done + total) / (2 * total)).cast("long"))
 
 
@@ -49,7 +57,7 @@ def full_line_offset(sections: DataFrame, ok: Column) -> DataFrame:
     The window holds the sections of one note, so its size is bounded by the note itself.
     """
     w = Window.partitionBy("path").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
-    counted = F.when(ok, line_count(F.col("section"))).otherwise(0)
+    counted = F.when(ok, F.col("n_lines")).otherwise(0)
     return sections.withColumn("line_offset", F.coalesce(F.sum(counted).over(w), F.lit(0)))
 
 

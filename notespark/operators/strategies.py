@@ -24,14 +24,18 @@ def from_lint(cut: DataFrame) -> DataFrame:
         cut.withColumn("parse_ok", F.lit(True))
         .withColumn("corrections", F.array().cast(_NO_CORRECTIONS))
         .withColumn("issues", lint(F.col("section")))
+        .drop("section")
     )
 
 
 def from_replies(reply_table: DataFrame, key: Callable[[DataFrame], Column]) -> Checker:
-    """Checker over a reply table; a section without a readable reply counts as failed."""
+    """Checker over a reply table; a section without a readable reply counts as failed.
+
+    Only the key of a section meets the replies: its text is dropped before the join and not shuffled.
+    """
 
     def check(cut: DataFrame) -> DataFrame:
-        keyed = cut.withColumn("key", key(cut))
+        keyed = cut.withColumn("key", key(cut)).drop("section")
         answered = requests.attach_replies(keyed, reply_table, ["path", "section_no"])
         return replies.parse_findings(answered).withColumn("parse_ok", F.coalesce("parse_ok", F.lit(False)))
 
@@ -104,9 +108,10 @@ def auto_verdict(
     size: int = params.SAMPLE_CHARS,
 ) -> DataFrame:
     """Error density of the sample and the advice that follows from it."""
-    checked = checker(sections.sample_section(notes, size)).where("parse_ok")
+    sample = sections.sample_section(notes, size).withColumn("sample_chars", F.length("section"))
+    checked = checker(sample).where("parse_ok")
     n = (F.size("corrections") + F.size("issues")).cast("long")
-    chars = F.length("section")
+    chars = F.col("sample_chars")
     dense = findings.is_dense(n, chars, threshold)
     density = findings.density(n, chars)
     reason = F.format_string(
