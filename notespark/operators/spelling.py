@@ -57,15 +57,23 @@ def _note_words(content: Column) -> Column:
     return let(F.sort_array(F.flatten(F.transform(lines, tokens_of))), runs)
 
 
+def _note_id(path: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a path: fixed width, so aggregates that carry them stay hash aggregates."""
+    return F.xxhash64(path).alias("note_a"), F.xxhash64(F.lit("note"), path).alias("note_b")
+
+
 def note_words(notes: DataFrame) -> DataFrame:
     """One row per note and distinct word."""
-    return notes.select("lang", "path", F.inline(_note_words(F.col("content"))))
+    counted = notes.select("lang", *_note_id(F.col("path")), _note_words(F.col("content")).alias("_w"))
+    return counted.select("lang", "note_a", "note_b", F.inline("_w"))
 
 
 def lexicon(notes: DataFrame) -> DataFrame:
-    """Per language and word: count, notes that contain it, and its first use (path, line, capitals).
+    """Per language and word: count ``n`` and number of notes ``n_notes``.
 
-    One shuffle, combined on the map side, so a word of every note sends one row per task.
+    ``line``, ``cap``, ``note_a`` and ``note_b`` tell the place of a word of one note and mean nothing for
+    others. One shuffle of numbers and words, combined on the map side, so a word of every note sends one row
+    per task.
     """
     return (
         note_words(notes)
@@ -73,7 +81,7 @@ def lexicon(notes: DataFrame) -> DataFrame:
         .agg(
             F.sum("n").alias("n"),
             F.count(F.lit(1)).alias("n_notes"),
-            F.min(F.struct("path", "line", "cap")).alias("first_use"),
+            *[F.max(c).alias(c) for c in ("line", "cap", "note_a", "note_b")],
         )
     )
 
@@ -86,7 +94,7 @@ def suspects(lex: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) -> D
     return lex.where(
         (F.col("n_notes") == 1)
         & (F.col("n") == 1)
-        & (F.col("first_use.cap") == 0)
+        & (F.col("cap") == 0)
         & (1 - 1 / F.length("word") >= min_confidence)
     )
 
@@ -127,9 +135,11 @@ def _suspect_keys(hole: Column, shorter: Column, is_mark: Column) -> tuple[Colum
     )
 
 
-def candidates(lex: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) -> DataFrame:
+def candidates(lex: DataFrame, notes: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) -> DataFrame:
     """Best established word at edit distance one for every suspect; more frequent first, then by spelling.
 
+    ``notes`` gives back the paths; nothing else of it is read.
+
     Keys describe one edit exactly, so nothing has to be compared afterwards: a word with a hole at one
     position meets words that differ in that letter (``s:``), a suspect with a letter removed meets the
     established word itself (``d:``), a suspect as it is meets an established word with a letter removed
@@ -148,20 +158,22 @@ def candidates(lex: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) ->
         .groupBy("lang", "key")
         .agg(best.alias("best"))
     )
-    asked = _edits(suspects(lex, min_confidence).select("lang", "word", "first_use"), "i:", _suspect_keys)
-    return (
+    place = ("line", "note_a", "note_b")
+    asked = _edits(suspects(lex, min_confidence).select("lang", "word", *place), "i:", _suspect_keys)
+    found = (
         asked.join(by_key, ["lang", "key"])
         .groupBy("lang", "word")
-        .agg(F.min("best").alias("best"), F.first("first_use").alias("first_use"))
-        .select(
-            "lang",
-            F.col("word").alias("original"),
-            F.col("best.suggested").alias("suggested"),
-            (-F.col("best.neg_n")).alias("frequency"),
-            F.round(1 - 1 / F.length("word"), 4).alias("confidence"),
-            F.col("first_use.path").alias("path"),
-            F.col("first_use.line").cast("long").alias("line"),
-        )
+        .agg(F.min("best").alias("best"), *[F.max(c).alias(c) for c in place])
+    )
+    paths = notes.select("path", *_note_id(F.col("path")))
+    return found.join(paths, ["note_a", "note_b"]).select(
+        "lang",
+        F.col("word").alias("original"),
+        F.col("best.suggested").alias("suggested"),
+        (-F.col("best.neg_n")).alias("frequency"),
+        F.round(1 - 1 / F.length("word"), 4).alias("confidence"),
+        "path",
+        F.col("line").cast("long").alias("line"),
     )
 
 

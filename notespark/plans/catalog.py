@@ -583,15 +583,7 @@ def protected_mask(spark, sf_dir):
 
 @query
 def lexicon(spark, sf_dir):
-    return spelling.lexicon(_md_notes(spark, sf_dir)).select(
-        "lang",
-        "word",
-        "n",
-        "n_notes",
-        F.col("first_use.path").alias("first_path"),
-        F.col("first_use.line").cast("long").alias("first_line"),
-        (F.col("first_use.cap") == 1).alias("first_capitalised"),
-    )
+    return spelling.lexicon(_md_notes(spark, sf_dir)).select("lang", "word", "n", "n_notes")
 
 
 @query
@@ -601,13 +593,14 @@ def suspect_words(spark, sf_dir):
 
 @query
 def spell_candidates(spark, sf_dir):
-    return spelling.candidates(spelling.lexicon(_md_notes(spark, sf_dir)))
+    files = inventory.markdown(derived.files(spark, sf_dir))
+    return spelling.candidates(spelling.lexicon(_md_notes(spark, sf_dir)), files)
 
 
 @query
 def spell_contexts(spark, sf_dir):
     notes = _md_notes(spark, sf_dir)
-    found = spelling.candidates(spelling.lexicon(notes))
+    found = spell_candidates(spark, sf_dir)
     return spelling.with_context(found, notes).select("path", "line", "original", "context")
 
 

@@ -637,7 +637,7 @@ chosen as (select * from (select p.lang, original, suggested, k.n frequency,
   from near p join known k on k.lang = p.lang and k.word = p.suggested) where r = 1),
 found as (select c.lang, original, suggested, frequency, round(1 - 1.0/length(original), 4) confidence, s.first_path path, s.first_line line
   from chosen c join suspects s on s.lang = c.lang and s.word = c.original)"""
-view("lexicon", "select * from lexicon", NOTES, LEXICON)
+view("lexicon", "select lang, word, n, n_notes from lexicon", NOTES, LEXICON)
 view("suspect_words", "select lang, word from suspects", NOTES, LEXICON)
 view("spell_candidates", "select * from found", NOTES, LEXICON, CANDIDATES)
 view(

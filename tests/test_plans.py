@@ -86,7 +86,7 @@ def test_no_cross_joins(notes, spark):
         links.vector_links(vectors, F.lit(0)),
         links.anchor_links(notes, F.lit("f1/n0001.md"), weights=weights),
         links.describe_links(links.theme_links(links.note_themes(weights)), notes),
-        spelling.candidates(spelling.lexicon(notes)),
+        spelling.candidates(spelling.lexicon(notes), notes),
     ):
         assert "CartesianProduct" not in plan(df) and "NestedLoopJoin" not in plan(df)
 

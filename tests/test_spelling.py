@@ -5,7 +5,13 @@ from pyspark.sql import functions as F
 
 from notespark.operators import spelling
 
-LEXICON = "lang string, word string, n bigint, n_notes bigint, first_use struct<path:string,line:int,cap:int>"
+LEXICON = "lang string, word string, n bigint, n_notes bigint, path string, line int, cap int"
+
+
+def candidates(spark, rows):
+    """Lexicon rows with the path they were seen in."""
+    df = spark.createDataFrame(rows, LEXICON).withColumns(dict(zip(("note_a", "note_b"), spelling._note_id(F.col("path")))))
+    return spelling.candidates(df.drop("path"), df.select("path").distinct()).collect()
 
 
 def distance(a, b):
@@ -23,15 +29,15 @@ def test_candidates_against_all_pairs(spark):
     lex = []
     for w in sorted(words):
         known = rng.random() < 0.5
-        lex.append((rng.choice(["en", "de"]), w, rng.randint(2, 9) if known else 1, 2 if known else 1, ("p", 1, 0)))
+        lex.append((rng.choice(["en", "de"]), w, rng.randint(2, 9) if known else 1, 2 if known else 1, f"p{len(lex)}", len(lex), 0))
     expected = {}
-    for lang, w, _, notes, _ in lex:
+    for i, (lang, w, _, notes, *_) in enumerate(lex):
         if notes == 1 and len(w) >= 4:
-            near = [(-n, k) for kl, k, n, kn, _ in lex if kl == lang and kn >= 2 and distance(w, k) == 1]
+            near = [(-n, k) for kl, k, n, kn, *_ in lex if kl == lang and kn >= 2 and distance(w, k) == 1]
             if near:
-                expected[lang, w] = min(near)[1]
-    got = spelling.candidates(spark.createDataFrame(lex, LEXICON)).collect()
-    assert {(r.lang, r.original): r.suggested for r in got} == expected
+                expected[lang, w] = (min(near)[1], f"p{i}", i)
+    got = candidates(spark, lex)
+    assert {(r.lang, r.original): (r.suggested, r.path, r.line) for r in got} == expected
     assert all(r.confidence == round(1 - 1 / len(r.original), 4) for r in got)
 
 
@@ -49,8 +55,8 @@ FATHA, KASRA = "َ", "ِ"
     ],
 )
 def test_marks_alone_are_never_corrected(spark, suspect, known, expected):
-    rows = [("ar", suspect, 1, 1, ("p", 1, 0))] + [("ar", k, 5, 2, ("p", 1, 0)) for k in known]
-    got = spelling.candidates(spark.createDataFrame(rows, LEXICON)).collect()
+    rows = [("ar", suspect, 1, 1, "p", 1, 0)] + [("ar", k, 5, 2, "p", 1, 0) for k in known]
+    got = candidates(spark, rows)
     assert [r.suggested for r in got] == ([expected] if expected else [])
 
 
@@ -59,14 +65,14 @@ def test_lexicon_counts_and_first_use(spark):
         [("en", "b.md", "The cat\nthe `code` cat"), ("en", "a.md", "x\nCat sat [[Link]]"), ("de", "c.md", "cat")],
         "lang string, path string, content string",
     )
-    got = {(r.lang, r.word): (r.n, r.n_notes, tuple(r.first_use)) for r in spelling.lexicon(notes).collect()}
-    assert got == {
-        ("en", "the"): (2, 1, ("b.md", 1, 1)),
-        ("en", "cat"): (3, 2, ("a.md", 2, 1)),
-        ("en", "x"): (1, 1, ("a.md", 1, 0)),
-        ("en", "sat"): (1, 1, ("a.md", 2, 0)),
-        ("de", "cat"): (1, 1, ("c.md", 1, 0)),
-    }
+    lex = spelling.lexicon(notes)
+    assert {(r.lang, r.word): (r.n, r.n_notes) for r in lex.collect()} == {
+        ("en", "the"): (2, 1), ("en", "cat"): (3, 2), ("en", "x"): (1, 1), ("en", "sat"): (1, 1), ("de", "cat"): (1, 1),
+    }
+    assert "SortAggregate" not in lex._jdf.queryExecution().executedPlan().toString()
+    assert {(r.word, r.line, r.cap) for r in lex.where("lang = 'en' and n_notes = 1").collect()} == {
+        ("the", 1, 1), ("x", 1, 0), ("sat", 2, 0),
+    }
     assert [r.word for r in spelling.suspects(spelling.lexicon(notes), 0.5).where("lang = 'en'").collect()] == ["sat"]
 
 
