@@ -122,6 +122,7 @@ def pack_sections(text: Column, size: int) -> Column:
             first = F.get(b["at"], s)
             return F.struct(
                 k.alias("section_no"),
+                F.size(b["starts"]).alias("n_sections"),
                 trim(j).alias("section"),
                 # each earlier piece of the section adds the one blank line it is joined with
                 F.transform(
@@ -135,6 +136,7 @@ def pack_sections(text: Column, size: int) -> Column:
     whole = F.array(
         F.struct(
             F.lit(0).alias("section_no"),
+            F.lit(1).alias("n_sections"),
             text.alias("section"),
             F.array(F.struct(F.lit(1).alias("packed"), F.lit(1).alias("exact"))).alias("line_map"),
         )
@@ -177,7 +179,11 @@ def fixed_sections(text: Column, size: int) -> Column:
         F.lit(0).alias("seen"),
     )
     cuts = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0))
-    return F.aggregate(cuts, zero, step, lambda acc: acc["out"])
+
+    def with_total(acc: Column) -> Column:
+        return F.transform(acc["out"], lambda s: s.withField("n_sections", F.size(acc["out"])))
+
+    return F.aggregate(cuts, zero, step, with_total)
 
 
 _LINT_FILL = "\x01"

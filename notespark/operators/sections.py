@@ -15,12 +15,12 @@ def header_pieces(notes: DataFrame) -> DataFrame:
 
 
 def _inline(notes: DataFrame, cut: Column, keep: tuple[str, ...]) -> DataFrame:
-    """Sections as rows, with what later steps need of the text, so that the text itself can be dropped early."""
-    return (
-        notes.select("path", *keep, cut.alias("_cut"))
-        .select("path", *keep, F.size("_cut").alias("n_sections"), F.inline("_cut"))
-        .withColumn("n_lines", line_count(F.col("section")))
-    )
+    """Sections as rows, with what later steps need of the text, so that the text itself can be dropped early.
+
+    The generator gets the expression itself: over a named column the optimizer would add a filter on the
+    column's size and cut every note again for it.
+    """
+    return notes.select("path", *keep, F.inline(cut)).withColumn("n_lines", line_count(F.col("section")))
 
 
 def full_sections(notes: DataFrame, size: int = params.FULL_CHUNK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:

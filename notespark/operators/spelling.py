@@ -64,8 +64,8 @@ def _note_id(path: Column) -> tuple[Column, Column]:
 
 def note_words(notes: DataFrame) -> DataFrame:
     """One row per note and distinct word."""
-    counted = notes.select("lang", *_note_id(F.col("path")), _note_words(F.col("content")).alias("_w"))
-    return counted.select("lang", "note_a", "note_b", F.inline("_w"))
+    identified = notes.select("lang", "content", *_note_id(F.col("path")))
+    return identified.select("lang", "note_a", "note_b", F.inline(_note_words(F.col("content"))))
 
 
 def lexicon(notes: DataFrame) -> DataFrame:

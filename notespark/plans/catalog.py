@@ -46,6 +46,11 @@ def _long(c: str) -> Column:
     return F.col(c).cast("long").alias(c)
 
 
+def _listed(column: str) -> Column:
+    """A list, empty for null. Over a bare column the optimizer would filter on its size and parse twice."""
+    return F.coalesce(F.col(column), F.array())
+
+
 def _md_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.markdown(derived.notes(spark, sf_dir))
 
@@ -133,7 +138,7 @@ def vault_themes(spark, sf_dir):
 @query
 def parsed_themes(spark, sf_dir):
     raw = derived.theme_replies(themes.name_chunks(_members(spark, sf_dir)))
-    return replies.parse_themes(raw).select("chunk_no", F.posexplode("themes").alias("pos", "theme")).select(
+    return replies.parse_themes(raw).select("chunk_no", F.posexplode(_listed("themes")).alias("pos", "theme")).select(
         "chunk_no", _long("pos"), "theme"
     )
 
@@ -288,7 +293,7 @@ def _parsed_replies(spark, sf_dir):
 def apply_single(spark, sf_dir):
     return _parsed_replies(spark, sf_dir).select(
         "path",
-        F.posexplode("corrections").alias("pos", "c"),
+        F.posexplode(_listed("corrections")).alias("pos", "c"),
         "content",
     ).select(
         "path", _long("pos"), findings.apply_one(F.col("content"), F.col("c.original"), F.col("c.suggested")).alias("content")
@@ -315,7 +320,7 @@ def highlighted_lines(spark, sf_dir):
     return (
         _parsed_replies(spark, sf_dir)
         .select("path", first.alias("line"), "corrections")
-        .select("path", "line", F.explode("corrections").alias("c"))
+        .select("path", "line", F.explode(_listed("corrections")).alias("c"))
         .select(
             "path",
             t.highlight(F.col("line"), F.col("c.original")).alias("marked"),
@@ -405,7 +410,7 @@ def cleaned_replies(spark, sf_dir):
 def parsed_corrections(spark, sf_dir):
     return (
         replies.parse_findings(derived.model_replies(spark, sf_dir))
-        .select("request_key", F.posexplode("corrections").alias("pos", "c"))
+        .select("request_key", F.posexplode(_listed("corrections")).alias("pos", "c"))
         .select("request_key", _long("pos"), "c.*")
     )
 
@@ -414,7 +419,7 @@ def parsed_corrections(spark, sf_dir):
 def parsed_issues(spark, sf_dir):
     return (
         replies.parse_findings(derived.model_replies(spark, sf_dir))
-        .select("request_key", F.posexplode("issues").alias("pos", "i"))
+        .select("request_key", F.posexplode(_listed("issues")).alias("pos", "i"))
         .select(
             "request_key",
             _long("pos"),
@@ -480,7 +485,7 @@ def findings_counts(spark, sf_dir):
 def findings_merged(spark, sf_dir):
     notes = _md_notes(spark, sf_dir)
     merged = findings.merge(strategies.from_lint(sections.full_sections(notes)))
-    return merged.select("path", F.posexplode("issues").alias("pos", "i")).select(
+    return merged.select("path", F.posexplode(_listed("issues")).alias("pos", "i")).select(
         "path", _long("pos"), "i.rule", F.col("i.line").alias("section_line")
     )
 

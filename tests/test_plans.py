@@ -58,6 +58,11 @@ def test_row_local_operators_do_not_shuffle(notes):
         assert exchanges(df) == 0
 
 
+def test_texts_are_processed_once(notes):
+    for df in (spelling.note_words(notes), sections.full_sections(notes), sections.fixed_sections(notes)):
+        assert not re.search(r"- (\*\(\d+\) )?Filter ", plan(df))
+
+
 def test_lexicon_is_one_shuffle_with_partial_aggregation(notes):
     lex = spelling.lexicon(notes)
     assert exchanges(lex) == 1
