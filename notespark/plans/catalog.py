@@ -438,13 +438,16 @@ def reply_status(spark, sf_dir):
     return replies.parse_findings(derived.model_replies(spark, sf_dir)).select("request_key", "parse_ok")
 
 
-@query
-def parsed_links(spark, sf_dir):
+def _link_suggestions(spark, sf_dir):
     target = derived.notes(spark, sf_dir).select(
         (F.col("doc_id") + 1).alias("doc_id"), "path", "basename", F.substring("content", 1, 200).alias("preview")
     )
-    attached = derived.link_replies(spark, sf_dir).join(target, "doc_id")
-    return replies.parse_links(attached).select(
+    return replies.parse_links(derived.link_replies(spark, sf_dir).join(target, "doc_id"))
+
+
+@query
+def parsed_links(spark, sf_dir):
+    return _link_suggestions(spark, sf_dir).select(
         "request_key",
         "path",
         "title",
@@ -457,6 +460,11 @@ def parsed_links(spark, sf_dir):
     )
 
 
+@query
+def best_reply_links(spark, sf_dir):
+    return links.best(_link_suggestions(spark, sf_dir)).select("path", "title", "relevance", "connection_type")
+
+
 @query
 def fixable_issues(spark, sf_dir):
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notespark import params
 from notespark.functions.markdown import lint, safe_fix
-from notespark.operators import findings, inventory, links, replies, sections, strategies, themes
+from notespark.operators import findings, inventory, links, replies, requests, sections, strategies, themes
 from notespark.sources.notes import derived_notes
 
 
@@ -24,6 +24,26 @@ def smart_links(notes: DataFrame, anchor_path: Column, mode: str = "current") ->
     return links.anchor_links(inventory.markdown(notes), anchor_path, candidates)
 
 
+def links_from_replies(asked: DataFrame, reply_table: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Best partners of one note as a model judged them.
+
+    ``asked`` is what ``requests.link_requests`` returned, ``reply_table`` has ``(key, raw_reply)``. Pairs that
+    were refused, not answered or not readable give no row.
+    """
+    about = candidates.select("path", "basename", F.substring("content", 1, params.PREVIEW_CHARS).alias("preview"))
+    answered = requests.attach_replies(asked.select("path", "key"), reply_table, ["path"])
+    return links.best(replies.parse_links(answered.join(about, "path")).drop("key"))
+
+
+def themes_from_replies(asked: DataFrame, reply_table: DataFrame) -> DataFrame:
+    """Union of the themes a model gave for chunks of names; ``asked`` comes from ``requests.theme_requests``."""
+    answered = requests.attach_replies(asked.select("chunk_no", "key"), reply_table, ["chunk_no"])
+    listed = replies.parse_themes(answered).select(
+        "chunk_no", F.posexplode(F.coalesce("themes", F.array())).alias("pos", "theme")
+    )
+    return themes.union(listed)
+
+
 def all_smart_links(notes: DataFrame) -> DataFrame:
     """Best 20 partners of every markdown note."""
     md = inventory.markdown(notes)

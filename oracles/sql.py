@@ -498,6 +498,12 @@ view(
     "select request_key, original, suggested, confidence from corr where confidence >= 0.75 and original <> suggested",
     MODEL, findings("model_replies"), CORRECTIONS,
 )
+LINK_REPLIES = """link_replies as (select doc_id, 'link:'||doc_id||':'||(doc_id-1) request_key,
+ json(concat('{"shouldLink":',case when doc_id%7=0 then 'false' else 'true' end,
+  ',"relevance":',cast(cast((doc_id%100)/100.0 as decimal(3,2)) as varchar),
+  ',"connectionType":"',case doc_id%4 when 0 then 'conceptual' when 1 then 'sequential' when 2 then 'complementary' else 'reference' end,
+  '","reasoning":"r","commonThemes":["t',cast(doc_id%5 as varchar),'"]}')) raw
+from documents where doc_id>0)"""
 view(
     "parsed_links",
     """select request_key, n.path, n.basename title, cast(raw->>'relevance' as double) relevance,
@@ -506,12 +512,15 @@ view(
 from link_replies r join notes n on n.doc_id = r.doc_id - 1
 where raw->>'shouldLink' = 'true' and cast(raw->>'relevance' as decimal(3,2)) > 0.30""",
     NOTES,
-    """link_replies as (select doc_id, 'link:'||doc_id||':'||(doc_id-1) request_key,
- json(concat('{"shouldLink":',case when doc_id%7=0 then 'false' else 'true' end,
-  ',"relevance":',cast(cast((doc_id%100)/100.0 as decimal(3,2)) as varchar),
-  ',"connectionType":"',case doc_id%4 when 0 then 'conceptual' when 1 then 'sequential' when 2 then 'complementary' else 'reference' end,
-  '","reasoning":"r","commonThemes":["t',cast(doc_id%5 as varchar),'"]}')) raw
-from documents where doc_id>0)""",
+    LINK_REPLIES,
+)
+view(
+    "best_reply_links",
+    """select n.path, n.basename title, cast(raw->>'relevance' as double) relevance, raw->>'connectionType' connection_type
+from link_replies r join notes n on n.doc_id = r.doc_id - 1
+where raw->>'shouldLink' = 'true' and cast(raw->>'relevance' as decimal(3,2)) > 0.30 order by relevance desc, n.path limit 20""",
+    NOTES,
+    LINK_REPLIES,
 )
 view(
     "findings_counts",
