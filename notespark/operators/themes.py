@@ -11,26 +11,29 @@ from notespark.operators.skew import first_per_key
 from notespark.session import cut_lineage
 
 
+_ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number inside the partition below
+
+
 def numbered(files: DataFrame) -> DataFrame:
     """``(path, basename, position)`` with the position in path order over the whole corpus.
 
-    Runs one job: names are range-partitioned and checkpointed, so that counting a partition and numbering
-    inside it see the same rows (range bounds are sampled and might differ between two evaluations). Offsets
-    are summed over one row per partition; no task sorts the corpus.
+    Runs one job: names are range-partitioned, sorted inside their partition and checkpointed, so that counting
+    a partition and numbering inside it see the same rows (range bounds are sampled and might differ between
+    two evaluations). A position is the row's number inside its partition plus the sizes of the partitions
+    before; those are summed over one row per partition, and no task sorts the corpus.
     """
-    ranged = cut_lineage(files.select("path", "basename").repartitionByRange("path")).withColumn(
-        "_part", F.spark_partition_id()
-    )
+    names = files.select("path", "basename").repartitionByRange("path").sortWithinPartitions("path")
+    row_id = F.monotonically_increasing_id()
+    ranged = cut_lineage(names).withColumn("_id", row_id).withColumn("_part", F.shiftright("_id", _ROW_BITS))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy("_part").orderBy("path")
-    return (
-        ranged.join(F.broadcast(offsets), "_part")  # one row per partition
-        .select("path", "basename", (F.col("_offset") + F.row_number().over(inside) - 1).alias("position"))
+    row = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return ranged.join(F.broadcast(offsets), "_part").select(  # one row per partition
+        "path", "basename", (F.col("_offset") + row).alias("position")
     )
 
 

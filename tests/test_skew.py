@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from notespark.operators import themes
@@ -46,11 +47,22 @@ def test_has_at_most(spark):
     assert has_at_most(spark.range(5), 5) and not has_at_most(spark.range(6), 5)
 
 
-def test_numbering_follows_path_order_over_partitions(spark):
+@pytest.fixture
+def no_coalescing(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_numbering_follows_path_order_over_partitions(spark, no_coalescing):
     files = spark.range(2500).select(
         F.format_string("f%04d.md", (F.col("id") * 7919) % 2500).alias("path"), F.col("id").cast("string").alias("basename")
     )
-    rows = themes.numbered(files).collect()
+    numbered = themes.numbered(files)
+    assert numbered.select(F.spark_partition_id()).distinct().count() > 1
+    rows = numbered.collect()
     assert [r.path for r in sorted(rows, key=lambda r: r.position)] == sorted(r.path for r in rows)
     assert sorted(r.position for r in rows) == list(range(2500))
     chunks = themes.name_chunks(themes.chunk_members(files, 100)).collect()
