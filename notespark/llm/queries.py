@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespark.llm import chat, exact_dedup, langid, secrets, sharding, simhash, toxicity
+from notespark.llm import chat, exact_dedup, langid, mixing, secret_scan, sharding, simhash, toxicity
 from notespark.llm.common import table
 
 
@@ -19,7 +19,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
