@@ -298,5 +298,5 @@ TYPES = pa.schema([(n, t) for n, t in zip(NAMES, [pa.int64(), pa.int64(), pa.flo
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents in which no benchmark item was found; documents with a null id are judged by their own rows' text."""
-    found = leaks(docs, benchmark, key, text, **options).select(F.col(key).alias("leaking")).distinct()
-    return docs.join(found, F.col(key).eqNullSafe(F.col("leaking")), "left_anti")
+    found = leaks(docs, benchmark, key, text, **options).select(F.col(key).alias("__leaking")).distinct()
+    return docs.join(found, F.col(key).eqNullSafe(F.col("__leaking")), "left_anti")

@@ -229,6 +229,6 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     Rows with a null key can't be named by a component, so all of them stay.
     """
     found = near_duplicates(docs, key, text, **options)
-    first = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_key")).distinct()
-    known = docs.where(F.col(key).isNotNull()).join(first, F.col(key) == F.col("kept_key"), "left_semi")
+    first = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept_key")).distinct()
+    known = docs.where(F.col(key).isNotNull()).join(first, F.col(key) == F.col("__kept_key"), "left_semi")
     return known.dropDuplicates([key, text]).unionByName(docs.where(F.col(key).isNull()))
