@@ -31,7 +31,7 @@ def letter_table() -> np.ndarray:
 
 
 def symbols(text: str, letters: np.ndarray) -> np.ndarray:
-    """Letters in lower case, a 0 for every run of other characters between, before and after them; empty without letters."""
+    """Letters in lower case, a 0 for every run of other characters after a letter and at the end; empty without letters."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = letters[np.minimum(codes, TABLED - 1)]
     high = codes >= TABLED

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from notespark.llm.common import WORD, text_or_empty, uniform_bits
 
@@ -54,7 +55,7 @@ def with_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
 def shard_counts(draws: Column, src: Column, shards: int, seed: int) -> Column:
     """How many of a source's draws each output shard gets: a multinomial draw, the same for the same source and seed."""
 
-    @pandas_udf("array<long>")
+    @pandas_udf(ArrayType(LongType()))
     def split(n: pd.Series, name: pd.Series) -> pd.Series:
         one = [1 / shards] * shards
         made = [np.random.default_rng([seed, crc32(s.encode())]).multinomial(k, one).tolist() for k, s in zip(n, name)]
@@ -84,7 +85,7 @@ def permuted(at: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def _image(at: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(at.to_numpy(), size.to_numpy(), key.to_numpy()))
 
