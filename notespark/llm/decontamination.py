@@ -9,24 +9,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notespark.llm.common import text_or_empty, uniform_bits
+from notespark.llm.common import text_or_empty
 from notespark.session import cut_lineage
 
-RANK = 128
+RANK = 192
 OVERSAMPLED = 10
-POWER_ROUNDS = 2
-SAMPLE_DOCS = 2000
-STRIDE = 8
-WINDOW = 4  # strides
-MIN_COSINE = 0.4
+POWER_ROUNDS = 3
+STRIDE = 16
+WINDOW = 2  # strides
+MIN_COSINE = 0.45
+LEAST_IDF = 0.01
 MIN_LCS = 0.8
 MIN_LCS_WITH_ANSWER = 0.6
 MIN_ANSWER = 0.9
 MIN_ANSWER_WORDS = 3
-BLOCK_BYTES = 2 << 20
+BLOCK_ITEMS = 200
+BLOCKS_AT_ONCE = 16
 SLICE_CHARS = 1 << 20
 GROUP_WORDS = 1 << 16
 
@@ -72,6 +73,7 @@ class Index:
     items: list[list[bytes]]
     answers: list[list[bytes]]
     vocabulary: dict[bytes, int]
+    idf: np.ndarray | None = None
     terms: np.ndarray | None = None  # terms x rank: idf times right singular vectors
     vectors: np.ndarray | None = None  # rank x items, of length one
 
@@ -79,27 +81,20 @@ class Index:
         longest = max((sum(len(w) + 1 for w in i) for i in self.items), default=0)
         return 2 * longest + 16 * STRIDE * WINDOW
 
-    def strides(self, ids: np.ndarray) -> np.ndarray:
-        """Sums of the term vectors of each stretch of STRIDE words. ids: number of each word in the vocabulary, or -1."""
+    def strides(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch of STRIDE words the sum of their term vectors, and of their squared idf.
+
+        ids: number of each word in the vocabulary, or -1.
+        """
         count = math.ceil(len(ids) / STRIDE)
-        out = np.zeros((count, self.terms.shape[1]), np.float32)
+        sums, energy = np.zeros((count, self.terms.shape[1]), np.float32), np.zeros(count, np.float32)
         at = np.nonzero(ids >= 0)[0]
         if len(at):
-            stretch = at // STRIDE
+            stretch, known = at // STRIDE, ids[at]
             first = np.concatenate(([0], np.nonzero(np.diff(stretch))[0] + 1))
-            out[stretch[first]] = np.add.reduceat(self.terms[ids[at]], first, axis=0)
-        return out
-
-
-def passages(text: str, index: Index) -> Iterator[np.ndarray]:
-    """The vocabulary's words of each passage (WINDOW strides, one stride apart), as numbers."""
-    for part in slices(text, SLICE_CHARS, 0):
-        ids = np.array([index.vocabulary.get(w, -1) for w in words_of(part)], np.int64)
-        for at in range(0, len(ids), STRIDE * WINDOW):
-            piece = ids[at : at + STRIDE * WINDOW]
-            piece = piece[piece >= 0]
-            if len(piece):
-                yield piece
+            sums[stretch[first]] = np.add.reduceat(self.terms[known], first, axis=0)
+            energy[stretch[first]] = np.add.reduceat(self.idf[known] ** 2, first)
+        return sums, energy
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text: str) -> np.ndarray:
@@ -170,63 +165,58 @@ def right_vectors(rows: DataFrame, idf: np.ndarray, rank: int, power_rounds: int
     return basis @ turn[:, np.argsort(values)[::-1][:rank]]
 
 
-def build(docs: DataFrame, items: list, text: str, key: str, rank: int, sample_docs: int) -> Index:
+def build(spark: SparkSession, items: list, frequency: dict[bytes, int], n_docs: int, rank: int) -> Index:
+    """Index of a block of items. The passages of the decomposition are the items, weighed by the whole corpus."""
     bodies = [words_of(r.text) for r in items]
     answers = [words_of(r.answer if r.answer is not None else answer_of(r.text)) for r in items]
     vocabulary = {w: i for i, w in enumerate(sorted({w for b in bodies for w in b}))}
     index = Index([r.item_id for r in items], bodies, answers, vocabulary)
-    frequency = document_frequencies(docs, vocabulary, text)
-    idf = np.log1p((frequency[-1] + 1) / (frequency[:-1] + 1))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [ids.tolist() for body in batch.column(0) for ids in passages(body.as_py(), index)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["ids"])
-
-    spark = docs.sparkSession
-    order = uniform_bits(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    sample = docs.select(text_or_empty(text).alias("text"), order.alias("h")).orderBy("h").limit(sample_docs).select("text")
-    wanted = spark.createDataFrame([(r.text,) for r in items], "text string")
-    rows = cut_lineage(sample.unionByName(wanted).repartition(8).mapInArrow(cut, "ids array<long>"))
-    v = right_vectors(rows, idf, rank)
-    index.terms = (idf[:, None] * v).astype(np.float32)
-    made = np.stack([index.terms[[vocabulary[w] for w in b]].sum(axis=0) for b in bodies])
+    n = np.array([frequency.get(w, 0) for w in vocabulary])
+    index.idf = (np.log((n_docs + 1) / (n + 1)) + LEAST_IDF).astype(np.float32)
+    numbers = [[vocabulary[w] for w in b] for b in bodies]
+    rows = cut_lineage(spark.createDataFrame([(i,) for i in numbers], "ids array<long>").repartition(4))
+    index.terms = (index.idf[:, None] * right_vectors(rows, index.idf, rank)).astype(np.float32)
+    made = np.stack([index.terms[i].sum(axis=0) for i in numbers])
     index.vectors = (made / np.maximum(np.linalg.norm(made, axis=1), 1e-9)[:, None]).T.astype(np.float32).copy()
     return index
 
 
-def candidates(text: str, index: Index, min_cosine: float) -> Iterator[tuple[list[bytes], list[tuple[int, int, float]]]]:
-    """Of each slice of a text its words, and (item, first word, cosine) of the nearest passage for every item near enough."""
-    for part in slices(text, SLICE_CHARS, index.overlap()):
-        found = words_of(part)
-        get = index.vocabulary.get
-        near: dict[int, tuple[float, int]] = {}
-        step = GROUP_WORDS - GROUP_WORDS % STRIDE
-        for at in range(0, max(1, len(found)), step):
-            ids = np.array([get(w, -1) for w in found[at : at + step + STRIDE * (WINDOW - 1)]], np.int64)
-            sums = index.strides(ids)
-            if not len(sums):
-                continue
-            total = np.cumsum(np.concatenate((np.zeros((1, sums.shape[1])), sums, np.zeros((WINDOW - 1, sums.shape[1])))), axis=0)
-            moved = (total[WINDOW:] - total[:-WINDOW]).astype(np.float32)
-            size = np.linalg.norm(moved, axis=1)
-            cosine = (moved @ index.vectors) / np.maximum(size, 1e-6)[:, None]
-            best = np.argmax(cosine, axis=0)
-            value = cosine[best, np.arange(cosine.shape[1])]
-            for item in np.nonzero(value >= min_cosine)[0].tolist():
-                near[item] = max(near.get(item, (0.0, 0)), (float(value[item]), at + int(best[item]) * STRIDE))
-        yield found, [(item, first, cosine) for item, (cosine, first) in near.items()]
-
-
-def check(found: list[bytes], first: int, item: list[bytes], answer: list[bytes]) -> tuple[float, bool]:
-    """Share of the item's words in its longest common subsequence with the passage, and whether the answer is there."""
+def candidates(found: list[bytes], index: Index, min_cosine: float) -> list[tuple[int, int]]:
+    """(item, first word) of the nearest passage for every item near enough to one; found: the words of a text.
+
+    The cosine is that of the item's latent vector with the passage's TF-IDF vector in full, over the vocabulary, so
+    that a passage of which little lies in the latent space is near to nothing.
+    """
+    near: dict[int, tuple[float, int]] = {}
+    get, step = index.vocabulary.get, GROUP_WORDS - GROUP_WORDS % STRIDE
+    for at in range(0, len(found), step):
+        ids = np.array([get(w, -1) for w in found[at : at + step + STRIDE * (WINDOW - 1)]], np.int64)
+        sums, energy = index.strides(ids)
+        places = max(1, len(sums) - WINDOW + 1)
+        sums = sum(sums[i : i + places] for i in range(1, min(WINDOW, len(sums)))) + sums[:places]
+        energy = sum(energy[i : i + places] for i in range(1, min(WINDOW, len(energy)))) + energy[:places]
+        sums /= np.sqrt(np.maximum(energy, 1e-9))[:, None]
+        cosine = sums @ index.vectors
+        value = cosine.max(axis=0)
+        for item in np.nonzero(value >= min_cosine)[0].tolist():
+            near[item] = max(near.get(item, (0.0, 0)), (float(value[item]), at + int(cosine[:, item].argmax()) * STRIDE))
+    return [(item, first) for item, (_, first) in near.items()]
+
+
+def check(found: list[bytes], first: int, item: list[bytes], answer: list[bytes], least: float) -> tuple[float, bool]:
+    """Share of the item's words in its longest common subsequence with the passage, and whether the answer is there.
+
+    Where even the words in common are fewer than `least` of the item's, the subsequence needn't be looked for.
+    """
     region = found[max(0, first - len(item)) : first + STRIDE * WINDOW + len(item)]
+    there = set(region)
+    if sum(w in there for w in item) < least * len(item):
+        return 0.0, False
     share = lcs(item, region) / max(1, len(item))
-    there = len(answer) >= MIN_ANSWER_WORDS and lcs(answer, region) >= MIN_ANSWER * len(answer)
-    return share, there
+    return share, len(answer) >= MIN_ANSWER_WORDS and lcs(answer, region) >= MIN_ANSWER * len(answer)
 
 
-SCHEMA = "id long, item_id long, cosine double, lcs double, answer_found boolean, first_word long"
+SCHEMA = "id long, item_id long, lcs double, answer_found boolean"
 
 
 def leaks(
@@ -238,18 +228,17 @@ def leaks(
     min_cosine: float = MIN_COSINE,
     min_lcs: float = MIN_LCS,
     min_lcs_with_answer: float = MIN_LCS_WITH_ANSWER,
-    sample_docs: int = SAMPLE_DOCS,
-    block_bytes: int = BLOCK_BYTES,
+    block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """One row per document and benchmark item found in it: key, item_id, cosine, lcs, answer_found, first_word.
+    """One row per document and benchmark item found in it: key, item_id, lcs, answer_found.
 
-    The benchmark is the stated query set; it is taken in blocks of about `block_bytes`, by a hash of the item. For a
-    block, the words of its items are the terms; how many documents have each is counted over all documents. The right
-    singular vectors come from the block's items and the passages of at most `sample_docs` documents, the first by a
-    hash of the id. Every passage of every document (32 words, 8 apart) is projected; for every item with a cosine of
-    at least `min_cosine` the nearest passage is compared word by word: it is a leak with a common subsequence of
-    `min_lcs` of the item's words, or of `min_lcs_with_answer` if the answer (column `answer`, else the last sentence)
-    is there too.
+    The benchmark is the stated query set. It is taken in blocks of about `block_items` by a hash of the item, so that
+    a latent space of `rank` dimensions tells the items of a block apart; up to BLOCKS_AT_ONCE blocks share a pass over
+    the documents, and more take further passes. The terms are the words of the items; how many documents have each is
+    counted over all documents. Every passage of every document (32 words, 16 apart) is projected; for every item with
+    a cosine of at least `min_cosine` the nearest passage and its surroundings are compared word by word: it is a leak
+    with a common subsequence of `min_lcs` of the item's words, or of `min_lcs_with_answer` if the answer (column
+    `answer`, else the last sentence) is there too.
 
     Null and empty texts leak nothing; null items and items without words are found nowhere; null ids, repeated rows
     and repeated items stay as they are; an empty table on either side gives no rows. Other columns are not read.
@@ -258,33 +247,42 @@ def leaks(
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     known = benchmark.select(F.col("item_id").cast("long"), F.col("text"), answer.alias("answer"))
     known = known.where(F.col("text").isNotNull() & (F.trim("text") != ""))
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
+    blocks = math.ceil(known.count() / block_items)
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
     out = spark.createDataFrame([], SCHEMA)
-    for b in range(blocks if total else 0):
-        items = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        items = [r for r in items if words_of(r.text)]
+    for b in range(0, blocks, BLOCKS_AT_ONCE):
+        # A bounded number of items, whatever the size of the benchmark.
+        some = known.withColumn("block", block).where(F.col("block").between(b, b + BLOCKS_AT_ONCE - 1))
+        items = [r for r in some.orderBy("block", "item_id", "text").collect() if words_of(r.text)]
         if items:
-            index = build(docs, items, text, key, rank, sample_docs)
-            out = out.unionByName(_search(docs, index, key, text, min_cosine, min_lcs, min_lcs_with_answer))
+            terms = sorted({w for r in items for w in words_of(r.text)})
+            counts = document_frequencies(docs, {w: i for i, w in enumerate(terms)}, text)
+            frequency = dict(zip(terms, counts[:-1].tolist()))
+            per_block = [[r for r in items if r.block == k] for k in sorted({r.block for r in items})]
+            indexes = [build(spark, part, frequency, int(counts[-1]), rank) for part in per_block]
+            out = out.unionByName(_search(docs, indexes, key, text, min_cosine, min_lcs, min_lcs_with_answer))
     return out.withColumnRenamed("id", key)
 
 
-def _search(docs: DataFrame, index: Index, key: str, text: str, min_cosine: float, min_lcs: float, with_answer: float) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(vars(index))  # a block of the benchmark: of bounded size
+def _search(docs: DataFrame, indexes: list[Index], key: str, text: str, min_cosine: float, min_lcs: float, with_answer: float) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast([vars(i) for i in indexes])  # a bounded number of items
+    overlap = max(i.overlap() for i in indexes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(**held.value)
+        indexes = [Index(**i) for i in held.value]
+        least = min(min_lcs, with_answer)
         for batch in batches:
             rows = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                best: dict[int, tuple] = {}
-                for found, near in candidates(body.as_py(), index, min_cosine):
-                    for item, first, cosine in near:
-                        share, there = check(found, first, index.items[item], index.answers[item])
-                        if share >= min_lcs or there and share >= with_answer:
-                            best[item] = max(best.get(item, (0.0,)), (share, cosine, there, first))
-                rows += [(doc, index.item_ids[i], c, s, t, f) for i, (s, c, t, f) in best.items()]
+                best: dict[tuple[int, int], tuple[float, bool]] = {}
+                for part in slices(body.as_py(), SLICE_CHARS, overlap):
+                    found = words_of(part)
+                    for k, index in enumerate(indexes):
+                        for item, first in candidates(found, index, min_cosine):
+                            share, there = check(found, first, index.items[item], index.answers[item], least)
+                            if share >= min_lcs or there and share >= with_answer:
+                                best[k, item] = max(best.get((k, item), (0.0, False)), (share, there))
+                rows += [(doc, indexes[k].item_ids[i], share, there) for (k, i), (share, there) in best.items()]
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in rows], schema=TYPES)
 
@@ -293,7 +291,7 @@ def _search(docs: DataFrame, index: Index, key: str, text: str, min_cosine: floa
 
 
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
-TYPES = pa.schema([(n, t) for n, t in zip(NAMES, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()])])
+TYPES = pa.schema(list(zip(NAMES, [pa.int64(), pa.int64(), pa.float64(), pa.bool_()])))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -147,8 +147,8 @@ def test_leaks_are_found_and_clean_documents_left(documents, spark):
         rows.append((i, body))
     benchmark = spark.createDataFrame([*items.items(), (90, None), (91, " .! "), (3, items[3])], "item_id long, text string")
     docs = documents(rows)
-    for block_bytes in (1 << 20, 2000):
-        got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, benchmark, block_bytes=block_bytes).collect()}
+    for block_items in (200, 8):
+        got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, benchmark, block_items=block_items).collect()}
         assert got == want
     clean = {r.doc_id for r in decontamination.without_leaks(docs, benchmark).collect()}
     assert clean == {i for i, _ in rows} - {i for i, _ in want}
