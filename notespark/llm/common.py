@@ -31,3 +31,11 @@ def uniform_bits(text: Column) -> Column:
 def remainder_of_id(column: str, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo a divisor. A null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
+
+
+def first_by_hash(rows: DataFrame, key: Column, n: int, *ties: str) -> DataFrame:
+    """The first n rows by a hash of the key. A bound on the hash leaves about 8 n rows to be sorted, however many
+    rows and tasks there are; if chance should leave fewer than n, fewer are taken."""
+    order = uniform_bits(F.coalesce(key.cast("string"), F.lit("")))
+    share = F.lit(8.0 * n) / F.greatest(rows.select(F.count(F.lit(1))).scalar(), F.lit(1))
+    return rows.where(order < share * F.lit(2.0**52)).orderBy(order, *ties).limit(n)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notespark.llm.common import remainder_of_id, text_or_empty, uniform_bits
+from notespark.llm.common import first_by_hash, remainder_of_id, text_or_empty
 from notespark.session import cut_lineage
 
 SAMPLE_PER_CLASS = 4000
@@ -213,8 +213,7 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, per_class:
         .where(remainder_of_id("doc_id", folds) != 0)
     )
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = uniform_bits(F.col("doc_id").cast("string"))
-    picks = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
+    picks = [first_by_hash(known.where(F.col("toxic") == k), F.col("doc_id"), per_class, "doc_id") for k in (0, 1)]
     picked = picks[0].unionByName(picks[1]).select(F.col("doc_id").alias("id"), "toxic")
     texts = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"))
     return texts.join(F.broadcast(picked), "id"), sizes
