@@ -38,7 +38,7 @@ HEADLINE = (
     "lint_findings",
     "safe_fixes",
     "smart_links_anchor",
-    "smart_links_all",
+    "theme_partners",
     "embedding_links",
 )
 

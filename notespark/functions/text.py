@@ -117,6 +117,11 @@ def highlight(context: Column, original: Column) -> Column:
     return F.when(F.length(original) > 0, marked).otherwise(context)
 
 
+def first_chars(text: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or the whole text if ``n`` is None."""
+    return text if n is None else F.substring(text, 1, n)
+
+
 def percent(ratio: Column) -> Column:
     return F.floor(ratio * 100 + 0.5).cast("long")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notespark.operators.skew import lookup
+from notespark.session import cut_lineage
 
 
 def age_us(ts: Column, now: Column) -> Column:
@@ -90,17 +91,31 @@ def pending(requests: DataFrame, cache: DataFrame, now: Column, order: str = "pa
     return unique.join(purge(cache, now).select("key"), "key", "left_anti")
 
 
-def replay(log: DataFrame, bucket: str = "hour") -> DataFrame:
+def reply_table(cache: DataFrame, now: Column, new: DataFrame | None = None) -> DataFrame:
+    """``(key, raw_reply)``: what live entries and newly arrived replies answer; a new reply goes before an old entry.
+
+    The one form in which findings, themes, links and rewrites read their answers, so a cached value and a fresh reply
+    are read alike. Several new replies to a key: the least one counts.
+    """
+    live = purge(cache, now).select("key", F.col("value").alias("raw_reply"))
+    if new is None:
+        return live
+    fresh = new.groupBy("key").agg(F.min("raw_reply").alias("raw_reply"))
+    return live.join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
+
+
+def replay(log: DataFrame) -> DataFrame:
     """Outcome of every ``get`` in an operation log: hit, expired or miss against the last ``set`` before it.
 
-    An as-of lookup in two levels, because one key may own a large share of the log: inside a (key, time
-    bucket) a running window finds the last set of the bucket; the last set of each bucket, one row per
-    bucket, is then carried forward to later buckets. No task sees a key's whole history.
+    An as-of lookup in two levels, because one key may own a large share of the log, even of an hour of it: the log is
+    range-partitioned by key and time, so that such a key covers many partitions (checkpointed, for range bounds are
+    sampled). Within a partition a running window finds the last set of a key; the last set of each key and partition,
+    one row each, is then carried on to later partitions. No task sees a key's whole history.
     """
     entry = F.struct("ts", "ttl_ms", "value")
-    at = log.withColumn("_bucket", F.date_trunc(bucket, "ts").cast("timestamp_ntz")).withColumn(
-        "_set", F.when(F.col("op") == "set", entry)
-    )
+    columns = ["event_id", "ts", "key", "op", "ttl_ms", "value"]
+    ranged = cut_lineage(log.select(columns).repartitionByRange("key", "ts", "event_id"))
+    at = ranged.withColumn("_bucket", F.spark_partition_id()).withColumn("_set", F.when(F.col("op") == "set", entry))
     inside = (
         Window.partitionBy("key", "_bucket")
         .orderBy("ts", "event_id")

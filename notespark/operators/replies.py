@@ -144,10 +144,10 @@ def parse_links(
     )
 
 
-def accept_corrected(raw: Column, original: Column) -> Column:
-    """Corrected text counts only when more than 50 characters remain after cleaning."""
+def accept_corrected(raw: Column, original: Column, more_than: int = params.MIN_ACCEPTED_CORRECTION_CHARS) -> Column:
+    """Corrected text counts only when more than ``more_than`` characters remain after cleaning."""
     clean = trim(strip_fences(strip_reasoning(trim(raw)), compat=True))
-    return F.when(F.length(clean) > params.MIN_ACCEPTED_CORRECTION_CHARS, clean).otherwise(original)
+    return F.when(F.length(clean) > more_than, clean).otherwise(original)
 
 
 def accept_enhanced(raw: Column, original: Column) -> Column:

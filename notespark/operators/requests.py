@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notespark import params
-from notespark.functions.text import native_spell_key
+from notespark.functions.text import first_chars, native_spell_key
 from notespark.operators.skew import lookup
 
+# The shape and names of replies, and the connection types.
 _FINDINGS_SHAPE = (
     '{"corrections":[{"original":"","suggested":"","line":1,"confidence":0.0,"context":""}],'
     '"formattingIssues":[{"issue":"","line":1,"suggestion":"","fixable":true,"originalText":"","suggestedText":""}]}'
@@ -30,6 +31,7 @@ CHECK_TEMPLATES = {
 }
 ARABIC_CLAUSE = " Never add, drop or change Arabic vowel marks."
 THEME_TEMPLATE = "Name the themes of these note titles. Answer with a JSON array of short texts only."
+# Reply names and connection types in it are fixed values too.
 LINK_TEMPLATE = (
     "Should the two notes be linked? Answer with JSON only: "
     '{"shouldLink":true,"relevance":0.0,"connectionType":"conceptual|sequential|complementary|reference",'
@@ -50,6 +52,9 @@ CORRECT_USER = (
     "Apply ONLY spelling and formatting corrections to this content (keep everything else exactly the same):\n\n"
 )
 ENHANCE_USER = "Enhance this content:\n\n"
+LINK_FILE_A = "Compare these files:\n\nFile A ("
+LINK_FILE_B = "\n\nFile B ("
+LINK_TEXT = "):\n"
 
 
 def _system(template: str, language: Column | None = None) -> Column:
@@ -59,9 +64,11 @@ def _system(template: str, language: Column | None = None) -> Column:
     return F.concat(text, F.when(language == "ar", ARABIC_CLAUSE).otherwise(""))
 
 
-def body(kind: str, model: str, system: Column, user: Column) -> Column:
-    """Request body as JSON text."""
-    max_tokens, temperature = params.REQUEST_LIMITS[kind]
+def body(
+    kind: str, model: str, system: Column, user: Column, limits: dict[str, tuple[int, float]] = params.REQUEST_LIMITS
+) -> Column:
+    """Request body as JSON text; ``limits`` has (max_tokens, temperature) by kind."""
+    max_tokens, temperature = limits[kind]
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     return F.to_json(
         F.struct(
@@ -79,19 +86,21 @@ def check_requests(
     variant: str = params.PROMPT_VARIANT,
     model: str = params.CHECK_MODEL,
     template: str | None = None,
+    chars: int | None = params.CHECK_CHARS,
+    limits: dict[str, tuple[int, float]] = params.REQUEST_LIMITS,
 ) -> DataFrame:
-    """One request per section: only its first 5000 characters are sent, ``truncated`` says when that cuts.
+    """One request per section: only its first ``chars`` characters are sent (None: all); ``truncated`` says when that cuts.
 
     The key hashes the whole section and names the model.
     """
     lang = F.lit(params.LANGUAGE) if language is None else language
-    user = F.concat(F.lit(CHECK_USER), F.substring("section", 1, params.CHECK_CHARS))
+    user = F.concat(F.lit(CHECK_USER), first_chars(F.col("section"), chars))
     return sections.select(
         "path",
         "section_no",
         native_spell_key(lang, F.col("section"), variant, model).alias("key"),
-        (F.length("section") > params.CHECK_CHARS).alias("truncated"),
-        body("check", model, _system(template or CHECK_TEMPLATES[variant], lang), user).alias("body"),
+        (F.lit(False) if chars is None else F.length("section") > chars).alias("truncated"),
+        body("check", model, _system(template or CHECK_TEMPLATES[variant], lang), user, limits).alias("body"),
     )
 
 
@@ -105,37 +114,33 @@ def theme_requests(chunks: DataFrame, model: str = params.THEME_MODEL, template:
 
 
 def link_requests(
-    anchor: DataFrame, candidates: DataFrame, model: str = params.LINK_MODEL, template: str = LINK_TEMPLATE
+    anchor: DataFrame,
+    candidates: DataFrame,
+    model: str = params.LINK_MODEL,
+    template: str = LINK_TEMPLATE,
+    chars: int | None = params.COMPARE_CHARS,
+    limits: dict[str, tuple[int, float]] = params.REQUEST_LIMITS,
 ) -> DataFrame:
-    """One request per (anchor, candidate): the first 3000 characters of both.
+    """One request per (anchor, candidate): the first ``chars`` characters of both (None: all).
 
-    The anchor is one row; its three values enter the plan as scalar subqueries, so there is no join.
+    The anchor is one row; it enters the plan as one scalar subquery, so there is no join.
     """
-    value = lambda c: anchor.select(c).scalar()
-    a_text = anchor.select(F.substring("content", 1, params.COMPARE_CHARS)).scalar()
+    text = first_chars(F.col("content"), chars).alias("text")
+    a = anchor.select(F.struct("path", "basename", text, F.sha2("content", 256).alias("sha"))).scalar()
     user = F.concat(
-        F.lit("Compare these files:\n\nFile A ("),
-        value("basename"),
-        F.lit("):\n"),
-        a_text,
-        F.lit("\n\nFile B ("),
-        F.col("basename"),
-        F.lit("):\n"),
-        F.substring("content", 1, params.COMPARE_CHARS),
-    )
-    return candidates.select(
-        "path",
-        F.concat_ws(
-            ":",
-            F.lit("smart-link"),
-            F.lit(model),
-            anchor.select(F.sha2("content", 256)).scalar(),
-            F.sha2("content", 256),
-            value("path"),
-            F.col("path"),
-        ).alias("key"),
-        body("link", model, _system(template), user).alias("body"),
+        F.lit(LINK_FILE_A), a["basename"], F.lit(LINK_TEXT), a["text"],
+        F.lit(LINK_FILE_B), F.col("basename"), F.lit(LINK_TEXT), text,
+    )
+    key = F.concat_ws(
+        ":", F.lit("smart-link"), F.lit(model), a["sha"], F.sha2("content", 256), a["path"], F.col("path")
     )
+    return candidates.select("path", key.alias("key"), body("link", model, _system(template), user, limits).alias("body"))
+
+
+def rewrite_key(kind: str, section: Column, language: Column | None = None, model: str | None = None) -> Column:
+    model = model or {"correct": params.CHECK_MODEL, "enhance": params.ENHANCE_MODEL}[kind]
+    lang = F.lit(params.LANGUAGE) if language is None else language
+    return F.concat_ws(":", F.lit(kind), lang, F.lit(model), F.sha2(section, 256))
 
 
 def rewrite_requests(
@@ -152,7 +157,7 @@ def rewrite_requests(
     return sections.select(
         "path",
         "section_no",
-        F.concat_ws(":", F.lit(kind), lang, F.lit(model), F.sha2("section", 256)).alias("key"),
+        rewrite_key(kind, F.col("section"), lang, model).alias("key"),
         body(
             kind, model, _system(template or default_template, lang), F.concat(F.lit(user), F.col("section"))
         ).alias("body"),

@@ -76,13 +76,16 @@ def rewrite_sections(
 
     ``trimmed`` is the rule for corrections; enhancement leaves the pieces as they are.
     """
+    return notes.select("path", *keep, F.posexplode(rewrite_parts(trimmed, split_above)).alias("section_no", "section"))
+
+
+def rewrite_parts(trimmed: bool = True, split_above: int = params.REWRITE_SPLIT_CHARS) -> Column:
+    """The same pieces as one array of a note's row."""
     pieces = md.header_pieces(F.col("content"))
     if trimmed:
         pieces = F.transform(pieces, trim)
-    parts = F.when(
-        F.length("content") > split_above, F.filter(pieces, lambda p: F.length(trim(p)) > 0)
-    ).otherwise(F.array("content"))
-    return notes.select("path", *keep, F.posexplode(parts).alias("section_no", "section"))
+    long = F.filter(pieces, lambda p: F.length(trim(p)) > 0)
+    return F.when(F.length("content") > split_above, long).otherwise(F.array("content"))
 
 
 def join_sections(sections: DataFrame, text: str = "section") -> DataFrame:

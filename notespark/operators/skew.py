@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from notespark.session import cut_lineage
 
 MAX_HOT_KEYS = 1000
-MAX_BROADCAST_ROWS = 1_000_000
 
 
 def lookup(
@@ -22,17 +21,18 @@ def lookup(
 ) -> DataFrame:
     """Attach at most one ``dims`` row per key to ``facts``, whatever the key distribution.
 
-    A key that owns more than ``1/max_hot`` of the facts is hot; there cannot be more than ``max_hot`` of
-    them, so the list (key, number of salts) that is broadcast has a size bound that does not depend on the
-    data. Facts of a hot key spread over salts by a hash of ``spread_by`` (columns that differ within a key);
-    its one dims row is repeated per salt. In sum at most ``2 * max_hot`` rows are added to ``dims`` and no
-    join task holds more than about ``1/max_hot`` of the facts for one key.
+    Without ``counts`` this is a plain join, whose large partitions (also that of null keys in a left join) adaptive
+    execution splits; no job runs while the plan is built.
 
-    Finding the hot keys runs a job. ``counts`` (keys, ``_n``) saves its pass over the facts when the caller
-    has the numbers already; it is read twice, so hand in something materialised.
+    With ``counts`` (keys, ``_n``; read twice, so hand in something materialised) hot keys are salted beforehand: a key
+    that owns more than ``1/max_hot`` of the facts. There cannot be more than ``max_hot`` of them, so the list (key,
+    number of salts) that is broadcast has a size bound that does not depend on the data. Facts of a hot key spread
+    over salts by a hash of ``spread_by`` (columns that differ within a key); its one dims row is repeated per salt. In
+    sum at most ``2 * max_hot`` rows are added to ``dims`` and no join task holds more than about ``1/max_hot`` of the
+    facts for one key.
     """
     if counts is None:
-        counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        return facts.join(dims, keys, how)
     total = counts.agg(F.sum("_n")).scalar()
     hot = cut_lineage(
         counts.where(F.col("_n") * max_hot > total).select(
@@ -65,8 +65,3 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, r
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
-
-
-def has_at_most(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether a frame is small enough to broadcast. Counts it, so hand in something cheap to read."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -57,50 +57,53 @@ def _note_words(content: Column) -> Column:
     return let(F.sort_array(F.flatten(F.transform(lines, tokens_of))), runs)
 
 
-def _note_id(path: Column) -> tuple[Column, Column]:
-    """128 bits that stand for a path: fixed width, so aggregates that carry them stay hash aggregates."""
-    return F.xxhash64(path).alias("note_a"), F.xxhash64(F.lit("note"), path).alias("note_b")
+def _text_id(content: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text: fixed width, so aggregates that carry them stay hash aggregates."""
+    return F.xxhash64(content).alias("text_a"), F.xxhash64(F.lit("text"), content).alias("text_b")
 
 
 def note_words(notes: DataFrame) -> DataFrame:
     """One row per note and distinct word."""
-    identified = notes.select("lang", "content", *_note_id(F.col("path")))
-    return identified.select("lang", "note_a", "note_b", F.inline(_note_words(F.col("content"))))
+    identified = notes.select("lang", "content", *_text_id(F.col("content")))
+    return identified.select("lang", "text_a", "text_b", F.inline(_note_words(F.col("content"))))
 
 
 def lexicon(notes: DataFrame) -> DataFrame:
-    """Per language and word: count ``n`` and number of notes ``n_notes``.
+    """Per language and word: count ``n``, number of notes ``n_notes``, whether ``several`` different texts have it,
+    and ``most``, its largest count in a note.
 
-    ``line``, ``cap``, ``note_a`` and ``note_b`` tell the place of a word of one note and mean nothing for
-    others. One shuffle of numbers and words, combined on the map side, so a word of every note sends one row
-    per task.
+    Copies of a note are one text. ``line``, ``cap``, ``text_a`` and ``text_b`` tell the place of a word of one text
+    and mean nothing for others. One shuffle of numbers and words, combined on the map side, so a word of every note
+    sends one row per task.
     """
+    ids = ("text_a", "text_b")
     return (
         note_words(notes)
         .groupBy("lang", "word")
         .agg(
             F.sum("n").alias("n"),
             F.count(F.lit(1)).alias("n_notes"),
-            *[F.max(c).alias(c) for c in ("line", "cap", "note_a", "note_b")],
+            F.max("n").alias("most"),
+            *[F.max(c).alias(c) for c in ("line", "cap", *ids)],
+            *[F.min(c).alias(f"_{c}") for c in ids],
         )
+        .withColumn("several", (F.col("text_a") != F.col("_text_a")) | (F.col("text_b") != F.col("_text_b")))
+        .drop("_text_a", "_text_b")
     )
 
 
 def suspects(lex: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) -> DataFrame:
-    """Words used once in one note, so neither a term that repeats nor, without capitals, a name.
+    """Words used once in one text, so neither a term that repeats nor, without capitals, a name.
 
     At distance one the confidence is ``1 - 1/length``, so the confidence gate can cut here already.
     """
     return lex.where(
-        (F.col("n_notes") == 1)
-        & (F.col("n") == 1)
-        & (F.col("cap") == 0)
-        & (1 - 1 / F.length("word") >= min_confidence)
+        ~F.col("several") & (F.col("most") == 1) & (F.col("cap") == 0) & (1 - 1 / F.length("word") >= min_confidence)
     )
 
 
 def established(lex: DataFrame) -> DataFrame:
-    return lex.where(F.col("n_notes") >= 2)
+    return lex.where("several")
 
 
 def _edits(words: DataFrame, whole: str, keys) -> DataFrame:
@@ -138,39 +141,44 @@ def _suspect_keys(hole: Column, shorter: Column, is_mark: Column) -> tuple[Colum
 def candidates(lex: DataFrame, notes: DataFrame, min_confidence: float = params.MIN_CONFIDENCE) -> DataFrame:
     """Best established word at edit distance one for every suspect; more frequent first, then by spelling.
 
-    ``notes`` gives back the paths; nothing else of it is read.
+    Every note that has the suspect's text gets the finding; ``notes`` gives back their paths, by the text's hash.
 
     Keys describe one edit exactly, so nothing has to be compared afterwards: a word with a hole at one
     position meets words that differ in that letter (``s:``), a suspect with a letter removed meets the
     established word itself (``d:``), a suspect as it is meets an established word with a letter removed
-    (``i:``). Each key therefore keeps its one best established word (a map-side minimum), and a suspect of
-    n letters looks at no more than 3n+1 keys. Pairs are never listed, and work is linear in the lexicon.
+    (``i:``). Each key therefore keeps its one best established word, and a suspect of n letters looks at no more than
+    3n+1 keys. Pairs are never listed, and work is linear in the lexicon. Established words are numbered from best to
+    worst, so the best one of a key is a minimum of numbers, taken by hash aggregates.
 
     Arabic vowel marks are never the edit: an established word's holes are labelled by what they cover, marks
     are not removed on either side, and only letters of a suspect may meet a hole over a mark (``m:``).
 
-    Runs a job: the lexicon, small next to the texts, is checkpointed because both sides read it.
+    Runs jobs: the lexicon, small next to the texts, is checkpointed because both sides read it, and so is the
+    numbering, for range bounds are sampled.
     """
     lex = cut_lineage(lex)
-    best = F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("word").alias("suggested")))
+    order = [F.desc("n"), F.asc("word"), F.asc("lang")]
+    ranked = established(lex).select("lang", "n", "word").repartitionByRange(*order).sortWithinPartitions(*order)
+    known = cut_lineage(ranked).withColumn("number", F.monotonically_increasing_id())
     by_key = (
-        _edits(established(lex).select("lang", "n", "word"), "d:", _established_keys)
+        _edits(known.select("lang", "number", "word"), "d:", _established_keys)
         .groupBy("lang", "key")
-        .agg(best.alias("best"))
+        .agg(F.min("number").alias("number"))
     )
-    place = ("line", "note_a", "note_b")
+    place = ("line", "text_a", "text_b")
     asked = _edits(suspects(lex, min_confidence).select("lang", "word", *place), "i:", _suspect_keys)
     found = (
         asked.join(by_key, ["lang", "key"])
         .groupBy("lang", "word")
-        .agg(F.min("best").alias("best"), *[F.max(c).alias(c) for c in place])
+        .agg(F.min("number").alias("number"), *[F.max(c).alias(c) for c in place])
     )
-    paths = notes.select("path", *_note_id(F.col("path")))
-    return found.join(paths, ["note_a", "note_b"]).select(
+    best = known.select("number", F.col("word").alias("suggested"), F.col("n").alias("frequency"))
+    paths = notes.select("lang", "path", *_text_id(F.col("content")))
+    return found.join(best, "number").join(paths, ["lang", "text_a", "text_b"]).select(
         "lang",
         F.col("word").alias("original"),
-        F.col("best.suggested").alias("suggested"),
-        (-F.col("best.neg_n")).alias("frequency"),
+        "suggested",
+        "frequency",
         F.round(1 - 1 / F.length("word"), 4).alias("confidence"),
         "path",
         F.col("line").cast("long").alias("line"),

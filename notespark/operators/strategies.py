@@ -79,9 +79,12 @@ def check_incremental(
     notes: DataFrame, checker: Checker, size: int = params.FIXED_SECTION_CHARS, only_section: int | None = None
 ) -> DataFrame:
     """Fixed-width sections; ``only_section=0`` is what an interactive first check looks at."""
-    cut = sections.fixed_sections(notes, size)
-    if only_section is not None:
-        cut = cut.where(F.col("section_no") == only_section)
+    if only_section == 0:  # the first characters, without cutting the rest
+        cut = sections.sample_section(notes, size).withColumn("newlines_before", F.lit(0))
+    else:
+        cut = sections.fixed_sections(notes, size)
+        if only_section is not None:
+            cut = cut.where(F.col("section_no") == only_section)
     based = sections.fixed_line_offset(checker(cut))
     return _explode(based, lambda line: line + F.col("newlines_before"))
 
@@ -114,6 +117,7 @@ def auto_verdict(
     chars = F.col("sample_chars")
     dense = findings.is_dense(n, chars, threshold)
     density = findings.density(n, chars)
+    # Fixed value: the text that users see.
     reason = F.format_string(
         f"Found %d errors in first %dk characters (%.1f errors/k). Threshold is {threshold} errors/k.",
         n,
@@ -130,11 +134,11 @@ def auto_verdict(
     )
 
 
-def estimated_requests(mode: str, n_chars: Column) -> Column:
+def estimated_requests(mode: str, n_chars: Column, chars: int = params.ESTIMATE_CHARS) -> Column:
     """A full check is estimated with a fixed section size whatever the setting; the others are one request."""
     if mode not in CHECKS:
         raise ValueError(f"unknown check mode: {mode}")
-    return F.ceil(n_chars / float(params.ESTIMATE_CHARS)) if mode == "full" else F.lit(1).cast("long")
+    return F.ceil(n_chars / float(chars)) if mode == "full" else F.lit(1).cast("long")
 
 
 # Mode, mode it may switch to, whether it works section by section.

@@ -51,9 +51,9 @@ def name_chunks(members: DataFrame) -> DataFrame:
 
 
 def chunk_themes(
-    members: DataFrame, min_names: int = 2, top: int = params.THEMES_PER_CHUNK, min_chars: int = params.MIN_TERM_CHARS
+    members: DataFrame, min_names: int = 2, top: int | None = params.THEMES_PER_CHUNK, min_chars: int = params.MIN_TERM_CHARS
 ) -> DataFrame:
-    """Words that occur in at least ``min_names`` names of a chunk, most frequent first.
+    """Words that occur in at least ``min_names`` names of a chunk, most frequent first; at most ``top``, if given.
 
     Substitute for a model's themes, by the same input: file names only.
     """
@@ -68,7 +68,10 @@ def chunk_themes(
         .agg(F.count(F.lit(1)).alias("n_names"))
         .where(F.col("n_names") >= min_names)
     )
-    return first_per_key(counted, ["chunk_no"], [F.desc("n_names"), F.asc("theme")], top, "pos")
+    order = [F.desc("n_names"), F.asc("theme")]
+    if top is None:
+        return counted.withColumn("pos", F.row_number().over(Window.partitionBy("chunk_no").orderBy(*order)))
+    return first_per_key(counted, ["chunk_no"], order, top, "pos")
 
 
 def union(themes: DataFrame) -> DataFrame:

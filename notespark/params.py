@@ -43,5 +43,6 @@ REQUEST_LIMITS = {
 
 # Own choices, not given values.
 THEMES_PER_NOTE = 5
-THEMES_PER_CHUNK = 10
-MIN_TERM_CHARS = 3
+COMMON_THEMES = 5
+THEMES_PER_CHUNK = None
+MIN_TERM_CHARS = 1

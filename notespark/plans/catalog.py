@@ -28,7 +28,8 @@ from notespark.sources.notes import derived_notes
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-CACHE_NOW = "2024-01-20 00:00:00"
+CACHE_NOW = "2024-01-31 00:00:00"
+CACHED_NOW = "2024-02-01 00:00:00"
 PENDING_NOW = "2024-01-02 06:00:00"
 EXCLUSION_SETTING = "pdf, PNG ,Txt, md5,"
 
@@ -57,7 +58,17 @@ def _md_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _anchor_path(files: DataFrame) -> Column:
     """The open note of the examples: the markdown file of the lowest document."""
-    return F.lit(inventory.markdown(files).agg(F.min_by("path", "doc_id")).first()[0])
+    return inventory.markdown(files).agg(F.min_by("path", "doc_id")).scalar()
+
+
+def _near_path(files: DataFrame) -> Column:
+    """An open note for mode ``current``: one that bears the longest name, but for its number,
+    of one of the first 20 notes."""
+    md = inventory.markdown(files).withColumn("_stem", F.regexp_replace("basename", "[0-9]+$", ""))
+    first = md.orderBy("path").limit(20).select("_stem", F.col("path").alias("_first"))
+    named_alike = md.join(first.select("_stem").distinct(), "_stem", "left_semi")
+    others = named_alike.join(first, F.col("path") == F.col("_first"), "left_anti")
+    return F.coalesce(others.agg(F.min_by("path", F.struct(-F.length("_stem"), "doc_id"))).scalar(), _anchor_path(files))
 
 
 # --- inventory ---------------------------------------------------------------------------------------------
@@ -316,14 +327,14 @@ def apply_fixes(spark, sf_dir):
 
 @query
 def highlighted_lines(spark, sf_dir):
-    first = F.get(F.split("content", "\n", -1), F.lit(0))
+    """Each correction shown in the line that it names; a line that the note doesn't have is null."""
+    lines = F.split("content", "\n", -1)
     return (
         _parsed_replies(spark, sf_dir)
-        .select("path", first.alias("line"), "corrections")
-        .select("path", "line", F.explode(_listed("corrections")).alias("c"))
+        .select("path", lines.alias("lines"), F.explode(_listed("corrections")).alias("c"))
         .select(
             "path",
-            t.highlight(F.col("line"), F.col("c.original")).alias("marked"),
+            t.highlight(F.get("lines", (F.col("c.line") - 1).cast("int")), F.col("c.original")).alias("marked"),
             t.percent(F.col("c.confidence")).alias("confidence_percent"),
         )
     )
@@ -512,6 +523,54 @@ def enhanced_notes(spark, sf_dir):
     return flows.rewrite(notes, raw, "enhance")
 
 
+@query
+def applied_findings(spark, sf_dir):
+    """All findings of all sections, back in the note."""
+    notes = _md_notes(spark, sf_dir)
+    cut = sections.full_sections(notes)
+    return flows.apply_findings(notes, _reply_checker(cut)(cut))
+
+
+# --- cached flows: a third of the answers is cached, a third has expired, a third arrives now --------------
+
+
+def _aged_checks(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return derived.aged(derived.section_replies(sections.full_sections(notes)), _now(CACHED_NOW))
+
+
+@query
+def check_full_cached(spark, sf_dir):
+    notes = _md_notes(spark, sf_dir)
+    cached, new = _aged_checks(notes)
+    return flows.check_cached(notes, cached, _now(CACHED_NOW), new)
+
+
+@query
+def pending_checks(spark, sf_dir):
+    notes = _md_notes(spark, sf_dir)
+    return flows.pending_checks(notes, _aged_checks(notes)[0], _now(CACHED_NOW)).select("key", "path")
+
+
+@query
+def corrected_cached(spark, sf_dir):
+    notes = derived.notes(spark, sf_dir)
+    cut = sections.rewrite_sections(inventory.markdown(notes), trimmed=True)
+    key, third = requests.rewrite_key("correct", F.col("section")).alias("key"), (F.length("section") % 3).alias("third")
+    answers = derived.rewrite_replies(cut, key, third).groupBy("key")
+    answers = answers.agg(F.min("raw_reply").alias("raw_reply"), F.min("third").alias("third"))
+    cached, new = derived.aged(answers, _now(CACHED_NOW))
+    return flows.rewrite_cached(notes, "correct", cached, _now(CACHED_NOW), new)
+
+
+@query
+def themes_cached(spark, sf_dir):
+    chunks = themes.name_chunks(_members(spark, sf_dir))
+    answers = derived.theme_replies(chunks).join(requests.theme_requests(chunks).select("chunk_no", "key"), "chunk_no")
+    cached, new = derived.aged(answers.withColumn("third", F.col("chunk_no") % 3), _now(CACHED_NOW))
+    found = flows.themes_cached(chunks, cached, _now(CACHED_NOW), new)
+    return found.select("theme", "chunk_no", _long("pos"))
+
+
 # --- cache -------------------------------------------------------------------------------------------------
 
 
@@ -596,7 +655,7 @@ def protected_mask(spark, sf_dir):
 
 @query
 def lexicon(spark, sf_dir):
-    return spelling.lexicon(_md_notes(spark, sf_dir)).select("lang", "word", "n", "n_notes")
+    return spelling.lexicon(_md_notes(spark, sf_dir)).select("lang", "word", "n", "n_notes", "several")
 
 
 @query
@@ -606,15 +665,15 @@ def suspect_words(spark, sf_dir):
 
 @query
 def spell_candidates(spark, sf_dir):
-    files = inventory.markdown(derived.files(spark, sf_dir))
-    return spelling.candidates(spelling.lexicon(_md_notes(spark, sf_dir)), files)
+    notes = _md_notes(spark, sf_dir)
+    return spelling.candidates(spelling.lexicon(notes), notes)
 
 
 @query
 def spell_contexts(spark, sf_dir):
     notes = _md_notes(spark, sf_dir)
     found = spell_candidates(spark, sf_dir)
-    return spelling.with_context(found, notes).select("path", "line", "original", "context")
+    return spelling.with_context(found, notes)
 
 
 @query
@@ -639,7 +698,7 @@ def lint_applied(spark, sf_dir):
 @query
 def smart_links_current(spark, sf_dir):
     notes = derived.notes(spark, sf_dir)
-    return flows.smart_links(notes, _anchor_path(derived.files(spark, sf_dir)), "current")
+    return flows.smart_links(notes, _near_path(derived.files(spark, sf_dir)), "current")
 
 
 @query
@@ -660,8 +719,8 @@ def note_themes(spark, sf_dir):
 
 
 @query
-def smart_links_all(spark, sf_dir):
-    return flows.all_smart_links(derived.notes(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+def theme_partners(spark, sf_dir):
+    return flows.theme_partners(derived.notes(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query

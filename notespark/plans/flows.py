@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from notespark import params
 from notespark.functions.markdown import lint, safe_fix
-from notespark.operators import findings, inventory, links, replies, requests, sections, strategies, themes
+from notespark.functions.text import native_spell_key
+from notespark.operators import cache, findings, inventory, links, replies, requests, sections, strategies, themes
 from notespark.sources.notes import derived_notes
 
 
@@ -44,10 +45,10 @@ def themes_from_replies(asked: DataFrame, reply_table: DataFrame) -> DataFrame:
     return themes.union(listed)
 
 
-def all_smart_links(notes: DataFrame) -> DataFrame:
-    """Best 20 partners of every markdown note."""
+def theme_partners(notes: DataFrame) -> DataFrame:
+    """The 20 notes with most themes in common with each markdown note."""
     md = inventory.markdown(notes)
-    return links.describe_links(links.theme_links(links.note_themes(links.term_weights(md))), md)
+    return links.describe_partners(links.theme_partners(links.note_themes(links.term_weights(md))), md)
 
 
 def check_notes(notes: DataFrame, mode: str, checker: strategies.Checker = strategies.from_lint, **options) -> DataFrame:
@@ -55,7 +56,7 @@ def check_notes(notes: DataFrame, mode: str, checker: strategies.Checker = strat
 
 
 def fix_notes(notes: DataFrame) -> DataFrame:
-    """Markdown notes with the safe formatting fixes, as a snapshot ``(path, content)``."""
+    """Markdown notes with the safe formatting fixes, ``(path, content)``; ``snapshot`` puts them back in the vault."""
     return inventory.markdown(notes).select("path", safe_fix(F.col("content")).alias("content"))
 
 
@@ -66,21 +67,87 @@ def apply_lint(notes: DataFrame) -> DataFrame:
     )
 
 
+def apply_findings(notes: DataFrame, checked: DataFrame) -> DataFrame:
+    """The notes of checked sections with all their corrections and fixes applied, in section order: ``(path, content)``.
+
+    ``checked`` is what a checker returned; failed sections and notes without findings change nothing and give no row.
+    Findings are gathered per note before they meet the texts, which are joined once.
+    """
+    merged = findings.merge(checked.where("parse_ok"))
+    found = merged.where((F.size("corrections") > 0) | (F.size("issues") > 0))
+    corrected = findings.apply_corrections(F.col("content"), F.col("corrections"))
+    return notes.join(found, "path").select("path", findings.apply_fixes(corrected, F.col("issues")).alias("content"))
+
+
+def check_keys(notes: DataFrame, size: int = params.FULL_CHUNK_CHARS, language: Column | None = None) -> DataFrame:
+    """Request rows ``(path, section_no, key, truncated, body)`` of a full check."""
+    return requests.check_requests(sections.full_sections(inventory.markdown(notes), size), language)
+
+
+def pending_checks(notes: DataFrame, cached: DataFrame, now: Column) -> DataFrame:
+    """Requests of a full check that no live entry answers, one per key."""
+    return cache.pending(check_keys(notes), cached, now)
+
+
+def check_cached(notes: DataFrame, cached: DataFrame, now: Column, new: DataFrame | None = None, mode: str = "full") -> DataFrame:
+    """Findings from what is cached and what has newly arrived, by the key of ``requests.check_requests``."""
+    key = lambda cut: native_spell_key(F.lit(params.LANGUAGE), F.col("section"), params.PROMPT_VARIANT, params.CHECK_MODEL)
+    checker = strategies.from_replies(cache.reply_table(cached, now, new), key)
+    return strategies.check(mode, inventory.markdown(notes), checker)
+
+
+def links_cached(anchor: DataFrame, candidates: DataFrame, cached: DataFrame, now: Column, new: DataFrame | None = None) -> DataFrame:
+    """Best partners of one note from cached and newly arrived judgements."""
+    asked = requests.link_requests(anchor, candidates)
+    return links_from_replies(asked, cache.reply_table(cached, now, new), candidates)
+
+
+def themes_cached(chunks: DataFrame, cached: DataFrame, now: Column, new: DataFrame | None = None) -> DataFrame:
+    """Union of the themes from cached and newly arrived replies on chunks of names."""
+    return themes_from_replies(requests.theme_requests(chunks), cache.reply_table(cached, now, new))
+
+
+def rewrite_cached(notes: DataFrame, kind: str, cached: DataFrame, now: Column, new: DataFrame | None = None) -> DataFrame:
+    """Corrected or enhanced notes from cached and newly arrived replies, by the key of ``requests.rewrite_requests``."""
+    return rewrite(notes, cache.reply_table(cached, now, new), kind)
+
+
+def store(cached: DataFrame, new: DataFrame, now: Column, ttl_ms: int = params.CACHE_TTL_MS) -> DataFrame:
+    """The cache with newly arrived replies ``(key, raw_reply)`` added as of now."""
+    entries = new.groupBy("key").agg(F.min("raw_reply").alias("value"))
+    entries = entries.select("key", now.alias("ts"), F.lit(ttl_ms).cast("long").alias("ttl_ms"), "value")
+    return cache.upsert(cached.select("key", "ts", "ttl_ms", "value"), entries)
+
+
 def rewrite(notes: DataFrame, reply_table: DataFrame, kind: str) -> DataFrame:
     """Corrected or enhanced notes under their derived path; sections without a usable reply stay as they were.
 
-    ``reply_table`` has ``(path, section_no, raw_reply)``.
+    ``reply_table`` has ``(key, raw_reply)``, keys being those of ``requests.rewrite_requests``, or
+    ``(path, section_no, raw_reply)``. Replies are gathered per note, and each text is joined once, cut, replaced and put
+    together in its row. Of several replies to a section the least one counts.
     """
     accept, suffix = {
         "correct": (replies.accept_corrected, "corrected"),
         "enhance": (replies.accept_enhanced, "enhanced"),
     }[kind]
     md = inventory.markdown(notes)
-    cut = sections.rewrite_sections(md, trimmed=kind == "correct")
-    answered = cut.join(reply_table, ["path", "section_no"], "left").withColumn(
-        "section", F.coalesce(accept(F.col("raw_reply"), F.col("section")), F.col("section"))
+    parts = sections.rewrite_parts(trimmed=kind == "correct")
+    answered = reply_table
+    if "key" in reply_table.columns:
+        keys = F.transform(parts, lambda s: requests.rewrite_key(kind, s))
+        asked = md.select("path", F.posexplode(keys).alias("section_no", "key"))
+        answered = requests.attach_replies(asked, reply_table, ["path", "section_no"])
+    one = answered.where(F.col("raw_reply").isNotNull()).groupBy("path", F.col("section_no").cast("int").alias("section_no"))
+    by_note = (
+        one.agg(F.min("raw_reply").alias("raw_reply"))
+        .groupBy("path")
+        .agg(F.map_from_entries(F.collect_list(F.struct("section_no", "raw_reply"))).alias("_replies"))
+    )
+    replaced = F.transform(
+        F.col("_parts"), lambda s, i: F.coalesce(accept(F.try_element_at("_replies", i), s), s)
     )
-    whole = sections.join_sections(answered).join(md.select("path", "basename"), "path")
+    whole = md.join(by_note, "path", "left").withColumn("_parts", parts)
+    whole = whole.withColumn("content", F.array_join(F.when(F.col("_replies").isNull(), F.col("_parts")).otherwise(replaced), "\n\n"))
     return derived_notes(whole, suffix)
 
 
@@ -89,7 +156,3 @@ def estimate(notes: DataFrame, mode: str) -> DataFrame:
     return inventory.markdown(notes).select(
         "path", strategies.estimated_requests(mode, F.length("content")).alias("n_requests")
     )
-
-
-DEFAULT_MODE = "incremental"
-DEFAULT_LANGUAGE = params.LANGUAGE

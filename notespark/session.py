@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the session names.
-
-    Only a local session without one gets a temporary folder: on a cluster a machine-local path would be
-    lost with its executor, so there a missing setting is an error.
-    """
+    """Use the checkpoint folder the session names; without one it is an error, since a folder of one machine's own
+    would be lost with that machine. Programs that run on one machine name one themselves (``local_session``)."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="notespark-checkpoint-")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     context.setCheckpointDir(folder)
 
 
+def name_local_checkpoint_dir(spark: SparkSession) -> None:
+    """Give a session of one process, and only such a one, a temporary checkpoint folder if it has none."""
+    context = spark.sparkContext
+    unset = not context.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None)
+    if unset and (context.master == "local" or context.master.startswith("local[")):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="notespark-checkpoint-"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the returned frame always reads the same rows in the same partitions."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -38,6 +41,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+# The given tables are single row groups, which one task reads. Set, this setting spreads them over so many tasks.
+SPREAD = "spark.notespark.input.partitions"
 
 
 def local_session(cpus: int, memory: str = "12g") -> SparkSession:
@@ -48,10 +53,12 @@ def local_session(cpus: int, memory: str = "12g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.ui.enabled", "false")
+        .config(SPREAD, str(cpus))
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    name_local_checkpoint_dir(spark)
     return spark

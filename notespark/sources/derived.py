@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notespark import params
 from notespark.functions.text import native_spell_key
+from notespark.session import SPREAD
 
 _EXTENSIONS = ("md", "md", "md", "md", "md", "md", "MD", "pdf", "PNG", "txt")
 _FIRST_WORDS = r"^\P{L}*(\p{L}+)(?:\P{L}+(\p{L}+))?(?:\P{L}+(\p{L}+))?"
@@ -20,10 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table. An input of fewer splits than the session has cores is spread over all of them."""
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+    """The documents table, spread over more tasks than its row groups give only if the session asks for it."""
+    docs, spread = table(spark, sf_dir, "documents"), spark.conf.get(SPREAD, "")
+    return docs.repartition(int(spread), "doc_id") if spread else docs
 
 
 def _basename() -> Column:
@@ -60,7 +60,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "\n",
     )
-    previous = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("doc_id"), _basename().alias("previous"))
+    cited = table(spark, sf_dir, "documents").where(F.col("doc_id") % 4 == 3)  # only these names are cited
+    previous = cited.select((F.col("doc_id") + 1).alias("doc_id"), _basename().alias("previous"))
     link = F.concat(F.lit("\n\n\nSee [["), F.col("previous"), F.lit("]] and `code x`."))
     return (
         _files(docs)
@@ -116,9 +117,24 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_replies(sections: DataFrame) -> DataFrame:
-    """One spelling reply per distinct section text, keyed like its request; the shape follows its length."""
+    """One spelling reply per distinct section text, keyed like its request; the shape follows its length, and so does
+    the ``third`` that ``aged`` deals out."""
     reply = _reply(F.length("section") % 6, _finding_json(_first_word(F.col("section"))))
-    return sections.groupBy(section_key(F.col("section")).alias("key")).agg(F.min(reply).alias("raw_reply"))
+    by_key = sections.groupBy(section_key(F.col("section")).alias("key"))
+    return by_key.agg(F.min(reply).alias("raw_reply"), F.min(F.length("section") % 3).alias("third"))
+
+
+def aged(answers: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(cache, new replies) from ``(key, raw_reply, third)``: a third is cached an hour ago, a third so long ago that it
+    has expired, and a third arrives now."""
+    hours = F.when(F.col("third") == 0, -1).otherwise(-48)
+    cached = answers.where("third < 2").select(
+        "key",
+        F.col("raw_reply").alias("value"),
+        F.timestamp_add("HOUR", hours, now).alias("ts"),
+        F.lit(params.CACHE_TTL_MS).cast("long").alias("ttl_ms"),
+    )
+    return cached, answers.where("third = 2").select("key", "raw_reply")
 
 
 def section_key(section: Column) -> Column:
@@ -168,13 +184,14 @@ def theme_replies(chunks: DataFrame) -> DataFrame:
     )
 
 
-def rewrite_replies(sections: DataFrame) -> DataFrame:
+def rewrite_replies(sections: DataFrame, *more: Column) -> DataFrame:
     """One rewrite per section, its shape by the section's length: after reasoning, fenced, too short, plain."""
     kind = F.length("section") % 4
     text = F.replace("section", F.lit("e"), F.lit("E"))
     return sections.select(
         "path",
         "section_no",
+        *more,
         F.when(kind == 0, F.concat(F.lit("<think>plan</think>"), text))
         .when(kind == 1, F.concat(F.lit("```md\nfenced\n```\n"), text))
         .when(kind == 2, "too short")

@@ -20,26 +20,29 @@ def _split_path(files: DataFrame) -> DataFrame:
     )
 
 
+def _files(spark: SparkSession, folder: str, glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
+
+
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file below a folder: ``path, basename, extension, n_bytes, modified``; no content is read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified"))
+    """Every file below a folder: ``path, basename, extension, n_bytes, modified``; no content is read.
+
+    The driver lists the files. For very many small notes keep a manifest table instead and use ``from_manifest``.
+    """
+    return _split_path(
+        _files(spark, folder, None).select("path", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified"))
     )
-    return _split_path(files)
 
 
 def read_folder(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
-    """Notes below a folder with their whole text."""
-    texts = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    )
-    return _split_path(texts)
+    """Notes below a folder with their whole text, under the same paths as ``scan_folder`` gives."""
+    return _split_path(_files(spark, folder, glob).select("path", F.decode("content", "UTF-8").alias("content")))
+
+
+def from_manifest(manifest: DataFrame) -> DataFrame:
+    """Notes from a table with ``path`` and any other columns (``content``, sizes, dates): no folder is listed."""
+    return _split_path(manifest.drop("basename", "extension"))
 
 
 def derived_notes(texts: DataFrame, suffix: str) -> DataFrame:
@@ -49,11 +52,29 @@ def derived_notes(texts: DataFrame, suffix: str) -> DataFrame:
     )
 
 
-def write_new(notes: DataFrame, target: str) -> None:
-    """Fails when the target exists, like creating a note that is already there."""
-    notes.write.mode("errorifexists").parquet(target)
+def write_new(notes: DataFrame, target: str, existing: DataFrame | None = None) -> None:
+    """Write notes that must be new: fails when the target exists, or when a path is in ``existing`` or comes twice.
+
+    The check stops the write job itself, so it costs no pass of its own over the texts.
+    """
+    checked = notes
+    if existing is not None:
+        known = existing.select("path").distinct().withColumn("_known", F.lit(True))
+        taken = F.when(F.col("_known"), F.raise_error(F.concat(F.lit("note exists: "), F.col("path"))))
+        checked = notes.join(known, "path", "left").withColumn("path", F.coalesce(taken.cast("string"), F.col("path"))).drop("_known")
+    twice = notes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two notes for {twice[0].path}")
+    checked.write.mode("errorifexists").parquet(target)
+
+
+def snapshot(notes: DataFrame, changed: DataFrame) -> DataFrame:
+    """All files of a vault, with the content of the changed notes ``(path, content)`` replaced."""
+    new = changed.select("path", F.col("content").alias("_new"), F.lit(True).alias("_changed"))
+    content = F.when(F.col("_changed"), F.col("_new")).otherwise(F.col("content"))
+    return notes.join(new, "path", "left").withColumn("content", content).drop("_new", "_changed")
 
 
 def write_snapshot(notes: DataFrame, target: str) -> None:
-    """Notes with changed text as a new snapshot; the source stays as it is."""
+    """All notes of a vault as a new snapshot; the source stays as it is."""
     notes.write.mode("errorifexists").parquet(target)

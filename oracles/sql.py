@@ -109,8 +109,7 @@ view(
   select *, row_number() over (partition by chunk_no order by n_names desc, theme) pos from (
     select chunk_no, theme, count(*) n_names from (
       select distinct chunk_no, path, unnest(regexp_extract_all(lower(basename), '{WORD}')) theme from members)
-    where length(theme) >= 3 group by 1, 2 having count(*) >= 2))
-where pos <= 10""",
+    group by 1, 2 having count(*) >= 2))""",
     NOTES,
     MEMBERS,
 )
@@ -127,6 +126,13 @@ view(
     NOTES, MEMBERS, CHUNKS, THEME_REPLIES, PARSED_THEMES,
 )
 
+view(
+    "themes_cached",
+    """select theme, chunk_no, pos from (select *, row_number() over (partition by theme order by chunk_no, pos) k
+  from parsed where chunk_no % 3 <> 1) where k = 1""",
+    NOTES, MEMBERS, CHUNKS, THEME_REPLIES, PARSED_THEMES,
+)
+
 # --- sections ----------------------------------------------------------------------------------------------
 
 PACKED = f"""
@@ -219,10 +225,10 @@ parsed_{source} as (select *, coalesce(json_valid(obj), false) and obj <> '' par
 FIRST_WORD = r"coalesce(nullif(regexp_extract({},'[\p{{L}}]+'),''),'x')"
 
 
-def answered(sections: str) -> str:
-    """Sections with the reply of their text."""
+def answered(sections: str, where: str = "true") -> str:
+    """Sections with the reply of their text, or without one where the condition doesn't hold."""
     word = FIRST_WORD.format("section")
-    return f"answered as (select *, {reply('length(section) % 6', reply_json(word))} raw from {sections})"
+    return f"answered as (select *, case when {where} then {reply('length(section) % 6', reply_json(word))} end raw from {sections})"
 
 
 def exploded(source: str, line_offset: str, line_exact: str) -> str:
@@ -249,6 +255,29 @@ view(
     NOTES, PACKED, answered("packs"), findings("answered"),
     recursive=True,
 )
+view(
+    "check_full_cached",
+    "," + BASED_FULL + exploded("based", "s.line_offset", EXACT_FULL),
+    NOTES, PACKED, answered("packs", "length(section) % 3 <> 1"), findings("answered"),
+    recursive=True,
+)
+view(
+    "pending_checks",
+    "select 'spell:en:sonar:standard:'||sha256(section) as key, min(path) path from packs where length(section) % 3 <> 0 group by 1",
+    NOTES, PACKED,
+    recursive=True,
+)
+view(
+    "applied_findings",
+    """, merged as (select path, flatten(list(corrections order by section_no)) c, flatten(list(issues order by section_no)) i
+  from parsed_answered where parse_ok group by path having len(c) + len(i) > 0),
+corrected as (select m.path, list_reduce(list_prepend(to_json({'t': n.content}), m.c),
+  lambda a, c: to_json({'t': replace(a->>'t', c->>'original', c->>'suggested')}))->>'t' content, m.i from merged m join md n on n.path = m.path)
+select path, list_reduce(list_prepend(to_json({'t': content}), i),
+  lambda a, c: to_json({'t': replace(a->>'t', c->>'originalText', c->>'suggestedText')}))->>'t' as content from corrected""",
+    NOTES, PACKED, answered("packs"), findings("answered"),
+    recursive=True,
+)
 for _name, _where in (("check_incremental_replies", ""), ("check_incremental_first", " where section_no = 0")):
     view(
         _name,
@@ -384,7 +413,7 @@ view(
 )
 view(
     "highlighted_lines",
-    r"""select path, regexp_replace(string_split(content, chr(10))[1], '(?i)('||regexp_escape(c->>'original')||')',
+    r"""select path, regexp_replace(string_split(content, chr(10))[cast(c->>'line' as bigint)], '(?i)('||regexp_escape(c->>'original')||')',
   '<mark class="error-highlight">\1</mark>', 'g') marked, cast(round(cast(c->>'confidence' as double) * 100) as bigint) confidence_percent
 from (select path, content, unnest(corrections) c from replied)""",
     NOTES, MODEL, findings("model_replies"), REPLIED,
@@ -533,23 +562,24 @@ from ok group by path""",
 )
 
 
-def rewritten(kind: str, accept: str, suffix: str) -> None:
+def rewritten(kind: str, accept: str, suffix: str, name: str, where: str = "true") -> None:
     view(
-        f"{suffix}_notes",
+        name,
         f"""select regexp_replace(path, '.md$', '-{suffix}.md') path, string_agg(out, chr(10)||chr(10) order by section_no) as content
 from (select path, section_no, case when {accept} then clean else section end out from cleaned) group by 1""",
         NOTES,
         REWRITE,
-        f"""raw_rewrites as (select path, section_no, section, case length(section) % 4 when 0 then '<think>plan</think>'||replace(section, 'e', 'E')
+        f"""raw_rewrites as (select path, section_no, section, case when {where} then case length(section) % 4 when 0 then '<think>plan</think>'||replace(section, 'e', 'E')
   when 1 then '```md'||chr(10)||'fenced'||chr(10)||'```'||chr(10)||replace(section, 'e', 'E') when 2 then 'too short'
-  else '# '||replace(section, 'e', 'E')||chr(10) end raw from rewrite_sections where kind = '{kind}')""",
+  else '# '||replace(section, 'e', 'E')||chr(10) end end raw from rewrite_sections where kind = '{kind}')""",
         rf"""stripped as (select *, regexp_replace(regexp_replace({trim("raw")}, '(?s).*</think>', ''), '(?s)```.*?```', '', 'g') s from raw_rewrites)""",
         f"cleaned as (select *, {trim('s') if kind == 'correct' else 's'} clean from stripped)",
     )
 
 
-rewritten("correct", "length(clean) > 50", "corrected")
-rewritten("enhance", "starts_with(clean, '#')", "enhanced")
+rewritten("correct", "length(clean) > 50", "corrected", "corrected_notes")
+rewritten("enhance", "starts_with(clean, '#')", "enhanced", "enhanced_notes")
+rewritten("correct", "length(clean) > 50", "corrected", "corrected_cached", "length(section) % 3 <> 1")
 
 # --- cache -------------------------------------------------------------------------------------------------
 
@@ -617,17 +647,16 @@ from (select path, content from notes union all select url, html from pages)""",
     NOTES,
 )
 LEXICON = rf"""
-note_lines as (select lang, path, generate_subscripts(l, 1) line, unnest(l) t
-  from (select lang, path, string_split({masked("content", PROTECTED, "' '")}, chr(10)) l from md)),
-tokens as (select lang, path, line, unnest(regexp_extract_all(t, '{WORD}')) w from note_lines),
-lexicon as (select lang, lower(w) word, count(*) n, count(distinct path) n_notes,
-    min(path) first_path, min({{'p': path, 'l': line}}).l first_line,
-    min({{'p': path, 'l': line, 'c': w <> lower(w)}}).c first_capitalised
-  from tokens group by 1, 2),
-suspects as (select * from lexicon where n = 1 and not first_capitalised and 1 - 1.0/length(word) >= 0.75)"""
+note_lines as (select lang, path, h, generate_subscripts(l, 1) line, unnest(l) t
+  from (select lang, path, md5(content) h, string_split({masked("content", PROTECTED, "' '")}, chr(10)) l from md)),
+tokens as (select lang, path, h, line, unnest(regexp_extract_all(t, '{WORD}')) w from note_lines),
+uses as (select lang, path, h, lower(w) word, count(*) c, min(line) line, bool_or(w <> lower(w)) cap from tokens group by all),
+lexicon as (select lang, word, sum(c)::bigint n, count(*) n_notes, count(distinct h) > 1 several, max(c) most, min(h) h,
+    min(line) first_line, bool_or(cap) cap from uses group by 1, 2),
+suspects as (select * from lexicon where not several and most = 1 and not cap and 1 - 1.0/length(word) >= 0.75)"""
 # Every pair of words whose lengths differ by at most one and that share a word with a hole is compared.
 CANDIDATES = r"""
-known as (select lang, word, n from lexicon where n_notes >= 2),
+known as (select lang, word, n from lexicon where several),
 forms as (
   select 's' side, lang, word, word form from suspects union all select 'k', lang, word, word from known
   union all select 's', lang, word, substr(word, 1, i-1)||substr(word, i+1) from (select *, unnest(range(1, length(word)+1)) i from suspects)
@@ -644,14 +673,14 @@ near as (select * from aligned where
 chosen as (select * from (select p.lang, original, suggested, k.n frequency,
     row_number() over (partition by p.lang, original order by k.n desc, suggested) r
   from near p join known k on k.lang = p.lang and k.word = p.suggested) where r = 1),
-found as (select c.lang, original, suggested, frequency, round(1 - 1.0/length(original), 4) confidence, s.first_path path, s.first_line line
-  from chosen c join suspects s on s.lang = c.lang and s.word = c.original)"""
-view("lexicon", "select lang, word, n, n_notes from lexicon", NOTES, LEXICON)
+found as (select c.lang, original, suggested, frequency, round(1 - 1.0/length(original), 4) confidence, m.path, s.first_line line
+  from chosen c join suspects s on s.lang = c.lang and s.word = c.original join md m on m.lang = s.lang and md5(m.content) = s.h)"""
+view("lexicon", "select lang, word, n, n_notes, several from lexicon", NOTES, LEXICON)
 view("suspect_words", "select lang, word from suspects", NOTES, LEXICON)
 view("spell_candidates", "select * from found", NOTES, LEXICON, CANDIDATES)
 view(
     "spell_contexts",
-    "select f.path, f.line, f.original, string_split(m.content, chr(10))[f.line] context from found f join md m on m.path = f.path",
+    "select f.*, string_split(m.content, chr(10))[f.line] context from found f join md m on m.path = f.path",
     NOTES, LEXICON, CANDIDATES,
 )
 view(
@@ -675,41 +704,55 @@ from md m left join (select path, string_agg(rule, ' ' order by line, rule) rule
 
 WEIGHTS = rf"""
 postings as (select path, term, count(*) n from (
-  select path, unnest(regexp_extract_all(lower(content), '{WORD}')) term from md) where length(term) >= 3 group by 1, 2),
-idf as (select term, round(ln((select count(*) from md) / count(*)), 6) idf from postings group by 1 having count(*) >= 2),
-weights as (select path, term, cast(round(round(1 + ln(n), 6) * idf, 6) as decimal(18,6)) w from postings join idf using (term) where idf > 0)"""
+  select path, unnest(regexp_extract_all(lower(content), '{WORD}')) term from md) group by 1, 2),
+idf as (select term, count(*) df, round(ln((select count(*) from md) / count(*)), 6) idf from postings group by 1),
+weights as (select path, term, df, cast(round(round(1 + ln(n), 6) * idf, 6) as decimal(18,6)) w from postings join idf using (term) where idf > 0)"""
 RELEVANCE = """
 norms as (select path, sqrt(cast(sum(cast(w * w as decimal(38,12))) as double)) norm from weights group by 1),
 dots as (select b.path, cast(sum(cast(a.w * b.w as decimal(38,12))) as double) dot from weights a join weights b on b.term = a.term and b.path <> a.path
-  where a.path = (select path from anchor) group by 1),
-relevance as (select d.path, round(dot / (n.norm * (select norm from norms where path = (select path from anchor))), 4) relevance
+  where a.path = (select path from {anchor}) group by 1),
+relevance as (select d.path, round(dot / (n.norm * (select norm from norms where path = (select path from {anchor}))), 4) relevance
   from dots d join norms n on n.path = d.path)"""
-SHOWN = """select r.path, m.basename title, relevance, cast(round(relevance * 100) as bigint) relevance_percent,
-  m.content[1:200] content_preview, '[['||r.path||']]' link_text from relevance r join md m on m.path = r.path where relevance > 0.3"""
-view("anchor_relevance", "select path, relevance from relevance", NOTES, WEIGHTS, RELEVANCE)
-view("smart_links_anchor", SHOWN + " order by relevance desc, r.path limit 20", NOTES, WEIGHTS, RELEVANCE)
-view(
-    "smart_links_current",
-    SHOWN
-    + " and r.path in (select path from md where path <> (select path from anchor) order by path limit 20) order by relevance desc, r.path limit 20",
-    NOTES, WEIGHTS, RELEVANCE,
-)
+NUMBERED = r"""regexp_replace({0}.basename, '[0-9]+$', '') {1}stem, try_cast(regexp_extract({0}.basename, '([0-9]+)$', 1) as bigint) {1}no"""
+SHOWN = r""", found as (select * from relevance where relevance > 0.3 {more} order by relevance desc, path limit 20),
+me as (select *, """ + NUMBERED.format("md", "src_") + r""", regexp_extract_all(content, '\[\[([^\[\]\n]+)\]\]', 1) cites from md
+  where path = (select path from {anchor})),
+common as (select path, string_agg(term, ', ' order by pos) themes, count(*) n from (
+  select b.path, b.term, row_number() over (partition by b.path order by cast(a.w * b.w as decimal(38,12)) desc, b.term) pos
+  from weights a join weights b on b.term = a.term where a.path = (select path from {anchor}) and b.path in (select path from found))
+  where pos <= 5 group by 1),
+other as (select r.path, m.basename title, relevance, m.content, c.themes, c.n, me.basename src_title, me.cites, src_stem, src_no, """ + NUMBERED.format("m", "") + r"""
+  from found r join md m on m.path = r.path join common c on c.path = r.path cross join me)
+select path, title, relevance, cast(floor(relevance * 100 + 0.5) as bigint) relevance_percent,
+  case when list_contains(cites, title) or list_contains(regexp_extract_all(content, '\[\[([^\[\]\n]+)\]\]', 1), src_title) then 'reference'
+    when src_stem = stem and abs(src_no - no) = 1 then 'sequential' when n * 2 >= 5 then 'conceptual' else 'complementary' end connection_type,
+  themes common_themes, 'Both notes share the themes '||themes reasoning, content[1:200] content_preview, '[['||path||']]' link_text from other"""
+view("anchor_relevance", "select path, relevance from relevance", NOTES, WEIGHTS, RELEVANCE.format(anchor="anchor"))
+view("smart_links_anchor", "select * from shown", NOTES, WEIGHTS,
+     RELEVANCE.format(anchor="anchor"), "shown as (with " + SHOWN.format(anchor="anchor", more="")[2:] + ")")
+# An open note that bears the name, but for its number, of one of the first 20 notes.
+NEAR = """first as (select path, regexp_replace(basename, '[0-9]+$', '') stem from md order by path limit 20),
+near as (select coalesce((select arg_min(path, (-length(regexp_replace(basename, '[0-9]+$', '')), doc_id)) from md where regexp_replace(basename, '[0-9]+$', '') in (select stem from first)
+  and path not in (select path from first)), (select path from anchor)) path)"""
+CURRENT = "and path in (select path from md where path <> (select path from near) order by path limit 20)"
+view("smart_links_current", "select * from shown", NOTES, NEAR, WEIGHTS,
+     RELEVANCE.format(anchor="near"), "shown as (with " + SHOWN.format(anchor="near", more=CURRENT)[2:] + ")")
 THEMES = """
 themes as (select path, pos, term theme from (
-  select path, term, row_number() over (partition by path order by w desc, term) pos from weights) where pos <= 5)"""
+  select path, term, row_number() over (partition by path order by w desc, term) pos from weights where df > 1) where pos <= 5)"""
 view("note_themes", "select path, pos, theme from themes", NOTES, WEIGHTS, THEMES)
 # All pairs of notes that share a theme, counted and ranked.
 view(
-    "smart_links_all",
+    "theme_partners",
     r""", common as (select a.path src_path, b.path, count(*) n_common, string_agg(a.theme, ', ' order by a.pos) common_themes
-  from themes a join themes b on b.theme = a.theme and b.path <> a.path group by 1, 2 having count(*) >= 2),
-ranked as (select *, round(n_common / 5, 4) relevance, row_number() over (partition by src_path order by n_common desc, path) rank from common),
+  from themes a join themes b on b.theme = a.theme and b.path <> a.path group by 1, 2),
+ranked as (select *, round(n_common / 5, 4) theme_share, row_number() over (partition by src_path order by n_common desc, path) rank from common),
 cites as (select distinct path, unnest(regexp_extract_all(content, '\[\[([^\[\]\n]+)\]\]', 1)) target from md),
 named as (select r.*, s.basename src_title, t.basename title, t.content[1:200] content_preview,
     regexp_replace(s.basename, '[0-9]+$', '') src_stem, regexp_replace(t.basename, '[0-9]+$', '') stem,
     try_cast(regexp_extract(s.basename, '([0-9]+)$', 1) as bigint) src_no, try_cast(regexp_extract(t.basename, '([0-9]+)$', 1) as bigint) no
   from ranked r join md s on s.path = r.src_path join md t on t.path = r.path where rank <= 20)
-select src_path, rank, path, title, relevance, cast(round(relevance * 100) as bigint) relevance_percent,
+select src_path, rank, path, title, theme_share, cast(round(theme_share * 100) as bigint) share_percent,
   case when exists (select 1 from cites c where (c.path = n.src_path and c.target = n.title) or (c.path = n.path and c.target = n.src_title)) then 'reference'
     when src_stem = stem and abs(src_no - no) = 1 then 'sequential' when n_common * 2 >= 5 then 'conceptual' else 'complementary' end connection_type,
   common_themes, 'Both notes share the themes '||common_themes reasoning, content_preview, '[['||path||']]' link_text

@@ -74,9 +74,26 @@ def test_replay_against_plain_walk_with_a_hot_key(spark):
             live = ts - s <= dt.timedelta(milliseconds=t)
             expected[event_id] = ("hit", v) if live else ("expired", None)
     df = spark.createDataFrame(log, "event_id int, ts timestamp_ntz, key string, op string, ttl_ms bigint, value string")
-    for bucket in ("hour", "day", "minute"):
-        got = {r.event_id: (r.status, r.value) for r in cache.replay(df, bucket).collect()}
-        assert got == expected
+    got = {r.event_id: (r.status, r.value) for r in cache.replay(df).collect()}
+    assert got == expected
+
+
+def test_a_key_that_is_hot_within_an_hour_is_spread(spark):
+    log = [(i, at(i), "hot" if i % 10 else f"k{i % 7}", "set" if i % 50 == 3 else "get", 3_600_000, f"v{i}") for i in range(4000)]
+    df = spark.createDataFrame(log, "event_id int, ts timestamp_ntz, key string, op string, ttl_ms bigint, value string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.event_id: r.value for r in cache.replay(df).collect()}
+    last = {}
+    for i, _, key, op, _, value in log:
+        if op == "set":
+            last[key] = value
+        else:
+            assert got[i] == last.get(key)
+    whole = "spark.sql.adaptive.coalescePartitions.enabled"  # small partitions stay apart, as large ones would
+    spark.conf.set(whole, "false")
+    parts = df.repartitionByRange("key", "ts", "event_id").groupBy(F.spark_partition_id().alias("p")).count()
+    assert parts.agg(F.max("count")).first()[0] < 0.6 * len(log)
+    spark.conf.set(whole, "true")
 
 
 def test_store_round_trip_drops_unreadable_entries(spark, tmp_path):

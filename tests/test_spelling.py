@@ -9,9 +9,10 @@ LEXICON = "lang string, word string, n bigint, n_notes bigint, path string, line
 
 
 def candidates(spark, rows):
-    """Lexicon rows with the path they were seen in."""
-    df = spark.createDataFrame(rows, LEXICON).withColumns(dict(zip(("note_a", "note_b"), spelling._note_id(F.col("path")))))
-    return spelling.candidates(df.drop("path"), df.select("path").distinct()).collect()
+    """Lexicon rows with the path they were seen in, which here stands for the text too."""
+    df = spark.createDataFrame(rows, LEXICON).withColumns(dict(zip(("text_a", "text_b"), spelling._text_id(F.col("path")))))
+    lex = df.withColumns({"several": F.col("n_notes") > 1, "most": F.col("n")}).drop("path")
+    return spelling.candidates(lex, df.select("lang", "path", F.col("path").alias("content")).distinct()).collect()
 
 
 def distance(a, b):
@@ -83,3 +84,13 @@ def test_lexicon_counts_and_first_use(spark):
 def test_gate(value, original, suggested, confidence, kept):
     keep = spelling.keep(F.col("o"), F.col("s"), F.col("c"))
     assert value(keep, o=original, s=suggested, c=confidence) is kept
+
+
+def test_a_copy_does_not_establish_a_word(spark):
+    body = "the garden gate\nis gardin green"
+    rows = [("en", "a.md", body), ("en", "copy.md", body), ("en", "b.md", "a garden"), ("en", "c.md", "the gardin gardin")]
+    notes = spark.createDataFrame(rows[:3], "lang string, path string, content string")
+    got = spelling.candidates(spelling.lexicon(notes), notes).collect()
+    assert {(r.original, r.suggested, r.path, r.line) for r in got} == {("gardin", "garden", p, 2) for p in ("a.md", "copy.md")}
+    notes = spark.createDataFrame(rows, "lang string, path string, content string")
+    assert spelling.candidates(spelling.lexicon(notes), notes).count() == 0

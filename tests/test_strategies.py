@@ -105,16 +105,39 @@ def test_short_note_is_one_section(spark):
 
 
 def test_folder_scan_and_sinks(spark, tmp_path):
-    (tmp_path / "vault" / "sub").mkdir(parents=True)
-    (tmp_path / "vault" / "a.b.md").write_text("# A\nx , y\n")
-    (tmp_path / "vault" / "sub" / "noext").write_text("z")
-    (tmp_path / "vault" / "sub" / "p.PDF").write_bytes(b"12345")
-    files = {r.basename: (r.extension, r.n_bytes) for r in source.scan_folder(spark, str(tmp_path / "vault")).collect()}
-    assert files == {"a.b": ("md", 10), "noext": ("", 1), "p": ("PDF", 5)}
-    read = source.read_folder(spark, str(tmp_path / "vault"))
-    assert [(r.basename, r.content) for r in read.collect()] == [("a.b", "# A\nx , y\n")]
-    fixed = flows.fix_notes(read)
-    source.write_snapshot(fixed, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).first().content == "# A\nx, y\n"
+    vault = tmp_path / "My vault"
+    (vault / "sub").mkdir(parents=True)
+    texts = {"a.b.md": "# A\nx , y\n", "Open Note.md": "o", "100%25 #1.md": "p", "sub/é+ö.md": "[[Open Note]]"}
+    for name, text in texts.items():
+        (vault / name).write_text(text)
+    (vault / "sub" / "noext").write_text("z")
+    (vault / "sub" / "p.PDF").write_bytes(b"12345")
+    scanned = source.scan_folder(spark, str(vault))
+    files = {r.basename: (r.extension, r.n_bytes) for r in scanned.collect()}
+    assert files == {"a.b": ("md", 10), "Open Note": ("md", 1), "100%25 #1": ("md", 1), "é+ö": ("md", 13), "noext": ("", 1), "p": ("PDF", 5)}
+    read = source.read_folder(spark, str(vault))
+    assert {r.path.split("My vault/")[1]: r.content for r in read.collect()} == texts
+    assert read.join(scanned, "path").count() == 4
+    everything = source.read_folder(spark, str(vault), "*")
+    fixed = flows.fix_notes(everything)
+    source.write_snapshot(source.snapshot(everything, fixed), str(tmp_path / "out"))
+    back = {r.basename: (r.extension, r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert back["a.b"] == ("md", "# A\nx, y\n") and back["p"] == ("PDF", "12345") and len(back) == 6
     with pytest.raises(Exception, match="(?i)exist"):
         source.write_new(fixed, str(tmp_path / "out"))
+
+
+def test_new_notes_must_be_new(spark, tmp_path):
+    old = spark.createDataFrame([("a.md", "x")], "path string, content string")
+    new = spark.createDataFrame([("a.md", "y"), ("b.md", "y")], "path string, content string")
+    with pytest.raises(Exception, match="note exists: a.md"):
+        source.write_new(new, str(tmp_path / "one"), existing=old)
+    source.write_new(new.where("path = 'b.md'"), str(tmp_path / "two"), existing=old)
+    with pytest.raises(ValueError, match="two notes for a.md"):
+        source.write_new(old.unionByName(old), str(tmp_path / "three"))
+
+
+def test_a_manifest_is_a_source(spark):
+    manifest = spark.createDataFrame([("v/My Note.md", "text", 4), ("v/x", None, 0)], "path string, content string, n_bytes long")
+    got = {r.path: (r.basename, r.extension, r.content) for r in source.from_manifest(manifest).collect()}
+    assert got == {"v/My Note.md": ("My Note", "md", "text"), "v/x": ("x", "", None)}
