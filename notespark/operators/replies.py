@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from notespark import params
 from notespark.functions.text import default_to, let, trim
 
-_CORRECTION = "original:string,suggested:string,line:string,confidence:string,context:string"
-_ISSUE = "issue:string,line:string,suggestion:string,fixable:string,originalText:string,suggestedText:string"
-_FINDINGS = f"corrections array<struct<{_CORRECTION}>>, formattingIssues array<struct<{_ISSUE}>>"
 _LINK = (
     "shouldLink string, relevance string, connectionType string, reasoning string, "
     "commonThemes array<string>, contentPreview string"
@@ -42,10 +39,15 @@ def _truthy(text: Column) -> Column:
     return F.coalesce(~text.isin(*_FALSY), F.lit(False))
 
 
-def _listable(obj: Column, field: str) -> Column:
+def _field(value: Column, name: str, kind: str = "string") -> Column:
+    """A field of a variant; null where it is missing or of another kind, whatever its neighbours are."""
+    return F.try_variant_get(value, f"$.{name}", kind)
+
+
+def _listable(reply: Column, name: str) -> Column:
     """A list, or nothing at all: any other value is a malformed reply."""
-    value = F.get_json_object(obj, f"$.{field}")
-    return value.isNull() | F.startswith(value, F.lit("[")) | value.isin(*_FALSY)
+    kind = F.schema_of_variant(_field(reply, name, "variant"))
+    return kind.isNull() | (kind == "VOID") | F.startswith(kind, F.lit("ARRAY")) | _field(reply, name).isin(*_FALSY)
 
 
 def _number(text: Column) -> Column:
@@ -53,13 +55,15 @@ def _number(text: Column) -> Column:
 
 
 def _findings(obj: Column) -> Column:
-    ok = (
-        F.try_parse_json(obj).isNotNull()
-        & (trim(obj) != "null")
-        & _listable(obj, "corrections")
-        & _listable(obj, "formattingIssues")
-    )
-    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), F.from_json(obj, _FINDINGS).alias("f"))
+    """The reply is parsed once; lists are read element by element, so a malformed one doesn't void the others."""
+
+    def read(reply: Column) -> Column:
+        ok = reply.isNotNull() & (F.schema_of_variant(reply) != "VOID")
+        ok = ok & _listable(reply, "corrections") & _listable(reply, "formattingIssues")
+        lists = [_field(reply, name, "array<variant>").alias(name) for name in ("corrections", "formattingIssues")]
+        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), F.struct(*lists).alias("f"))
+
+    return let(F.try_parse_json(obj), read)
 
 
 def _kept_corrections(raw: Column) -> Column:
@@ -67,11 +71,11 @@ def _kept_corrections(raw: Column) -> Column:
         F.transform(
             raw,
             lambda c: F.struct(
-                c["original"].alias("original"),
-                c["suggested"].alias("suggested"),
-                _number(c["line"]).cast("long").alias("line"),
-                _number(c["confidence"]).alias("confidence"),
-                default_to(c["context"], F.lit(params.NO_CONTEXT)).alias("context"),
+                _field(c, "original").alias("original"),
+                _field(c, "suggested").alias("suggested"),
+                _number(_field(c, "line")).cast("long").alias("line"),
+                _number(_field(c, "confidence")).alias("confidence"),
+                default_to(_field(c, "context"), F.lit(params.NO_CONTEXT)).alias("context"),
             ),
         ),
         lambda c: F.coalesce((c["original"] != "") & (c["suggested"] != ""), F.lit(False)),
@@ -83,12 +87,12 @@ def _kept_issues(raw: Column) -> Column:
         F.transform(
             raw,
             lambda i: F.struct(
-                i["issue"].alias("issue"),
-                _number(i["line"]).cast("long").alias("line"),
-                i["suggestion"].alias("suggestion"),
-                _truthy(i["fixable"]).alias("fixable"),
-                default_to(i["originalText"], F.lit(params.NO_ORIGINAL)).alias("originalText"),
-                default_to(i["suggestedText"], F.lit(params.NO_SUGGESTED)).alias("suggestedText"),
+                _field(i, "issue").alias("issue"),
+                _number(_field(i, "line")).cast("long").alias("line"),
+                _field(i, "suggestion").alias("suggestion"),
+                _truthy(_field(i, "fixable")).alias("fixable"),
+                default_to(_field(i, "originalText"), F.lit(params.NO_ORIGINAL)).alias("originalText"),
+                default_to(_field(i, "suggestedText"), F.lit(params.NO_SUGGESTED)).alias("suggestedText"),
             ),
         ),
         lambda i: F.coalesce(i["issue"] != "", F.lit(False)),

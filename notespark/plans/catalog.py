@@ -129,6 +129,14 @@ def vault_summary(spark, sf_dir):
     return inventory.summary(derived.files(spark, sf_dir))
 
 
+@query
+def vault_analysis(spark, sf_dir):
+    """The whole analysis as one row: counts, and numbers of file types and of themes."""
+    summary, breakdown, found = flows.analyze_vault(derived.files(spark, sf_dir))
+    number = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return summary.select("*", number(breakdown).alias("n_file_types"), number(found).alias("n_themes"))
+
+
 # --- names and themes --------------------------------------------------------------------------------------
 
 

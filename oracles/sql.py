@@ -126,6 +126,14 @@ view(
     NOTES, MEMBERS, CHUNKS, THEME_REPLIES, PARSED_THEMES,
 )
 
+view(
+    "vault_analysis",
+    f"""select (select count(*) from notes where lower(extension) not in {EXCLUDED}) total_files, (select count(*) from md) markdown_files,
+  (select count(distinct lower(extension)) from notes) n_file_types,
+  (select count(distinct theme) from (select chunk_no, theme from (
+    select distinct chunk_no, path, unnest(regexp_extract_all(lower(basename), '{WORD}')) theme from members) group by 1, 2 having count(*) >= 2)) n_themes""",
+    NOTES, MEMBERS,
+)
 view(
     "themes_cached",
     """select theme, chunk_no, pos from (select *, row_number() over (partition by theme order by chunk_no, pos) k

@@ -107,3 +107,9 @@ def test_accept_rules(value):
 def test_last_think_wins(value):
     assert value(replies.strip_reasoning(F.col("r")), r="a</think>b</think>c") == "c"
     assert value(replies.strip_reasoning(F.col("r")), r="abc") == "abc"
+
+
+def test_a_malformed_element_does_not_void_the_list(spark):
+    raw = '{"corrections":[{"original":"teh","suggested":"the","line":3,"confidence":0.8},{"original":{"x":[1]},"suggested":"y"},7,null],"formattingIssues":[]}'
+    r = replies.parse_findings(spark.createDataFrame([(raw,)], "raw_reply string")).first()
+    assert r.parse_ok and [(c.original, c.suggested, c.line, c.confidence) for c in r.corrections if c.original == "teh"] == [("teh", "the", 3, 0.8)]
