@@ -77,6 +77,9 @@ def content_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+# The prefixes of the cache keys below.
+
+
 def spell_key(language: Column, text: Column, variant: str) -> Column:
     return F.concat_ws(":", F.lit("spell"), language, text_hash(text), F.lit(variant))
 
@@ -109,6 +112,7 @@ def quote_literal(text: Column) -> Column:
 
 
 def highlight(context: Column, original: Column) -> Column:
+    # Fixed value: the tag around an error.
     marked = F.regexp_replace(
         context,
         F.concat(F.lit("(?iu)("), quote_literal(original), F.lit(")")),
