@@ -152,7 +152,8 @@ class Mix:
         cells = F.ceil(F.col("docs") / F.lit(DOCS_PER_CELL)).cast("double")
         columns = ["src", "source_size", "target", "length", "docs"]
         rows = rows.withColumn("h", order).join(self.sources.select(*columns), "src")
-        rows = rows.withColumn("cell", F.floor(F.col("h") * cells / F.lit(2.0**52)))
+        # Dealt by cell, as the join before may have dealt by source.
+        rows = rows.withColumn("cell", F.floor(F.col("h") * cells / F.lit(2.0**52))).repartition("src", "cell")
         words = F.col("size") * F.col("n")
         before = Window.partitionBy("src").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         starts = rows.groupBy("src", "cell").agg(F.sum(words).alias("words"))
@@ -189,7 +190,8 @@ class Mix:
         end = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * F.col("length"))
         cut = cut.withColumns({"offset": begin - F.col("start"), "words": _zero(end - begin)})
         times = self.slots().groupBy("src", "index").agg(F.count(F.lit(1)).alias("times"))
-        return cut.join(times, ["src", "index"], "left").withColumn("times", _zero(F.col("times")))
+        # Spark takes the numbered draws for as small as the ranges they come from and would broadcast them.
+        return cut.join(times.hint("merge"), ["src", "index"], "left").withColumn("times", _zero(F.col("times")))
 
     def taken(self) -> DataFrame:
         """One row per input row: key, size, source_size, target, taken."""
