@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notespark.session import cut_lineage
+
 TURNS_PER_PART = 256
 # Marks of the chat template.
 TURN_START = "<|im_start|>"
@@ -64,7 +66,7 @@ def prefix_hashes(logged: DataFrame, per_part: int = TURNS_PER_PART) -> DataFram
 
 def maximal(logged: DataFrame, per_part: int = TURNS_PER_PART) -> DataFrame:
     """conv, copies, n_turns of the conversations that no other one continues; of equal ones the smallest conv_id stays."""
-    hashed = prefix_hashes(logged, per_part)
+    hashed = cut_lineage(prefix_hashes(logged, per_part))  # a few numbers a turn, read twice
     last = hashed.groupBy("conv").agg(
         F.min("conv_id").alias("conv_id"), F.max(F.struct("pos", "a", "b")).alias("end")
     )
