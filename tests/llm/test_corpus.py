@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from notespark.llm import decontamination, mixing, sharding, simhash
+from notespark.llm import decontamination, mixing, sharding, shingle_sets, simhash
 from notespark.llm.components import components
 
 # --- near duplicates -------------------------------------------------------------------------------------------------
@@ -101,6 +101,62 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 400), 100), 500: 500, 501: 500}
 
 
+# --- shingle sets ----------------------------------------------------------------------------------------------------
+
+
+def plain_shingles(text, words=5):
+    found = text.lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def near_copies(rnd, vocabulary, n):
+    """Texts of which some are others with a few words changed."""
+    texts = []
+    for _ in range(n):
+        words = rnd.choice(texts).split() if texts and rnd.random() < 0.6 else [rnd.choice(vocabulary) for _ in range(rnd.randint(4, 200))]
+        for _ in range(rnd.randint(0, 1 + len(words) // 40)):
+            words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("tile", [shingle_sets.TILE_SHINGLES, 150])
+def test_shingle_links_against_all_pairs(documents, monkeypatch, tile):
+    monkeypatch.setattr(shingle_sets.links, "__defaults__", (tile,))
+    rnd = random.Random(12)
+    texts = near_copies(rnd, [f"w{i}" for i in range(500)], 250)
+    sets, label = [plain_shingles(t) for t in texts], list(range(250))
+    for i in range(250):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = {r.doc_id: r.component_id for r in shingle_sets.near_duplicates(documents(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(label))
+
+
+def test_shingle_sets_of_odd_rows(documents, odd_rows):
+    got = Counter((r.doc_id, r.component_id) for r in shingle_sets.near_duplicates(documents(odd_rows)).collect())
+    assert got[1, 1] == 1 and got[2, 1] == 2 and got[None, 1] == 1
+    assert got[None, 3] == got[3, 3] == got[4, 3] == got[5, 3] == 1 and got[9, 9] == 2
+    assert sum(got.values()) == len(odd_rows)
+    assert shingle_sets.representatives(documents(odd_rows).limit(0)).count() == 0
+
+
+def test_the_pipeline_drops_copies_with_some_words_changed(spark, documents):
+    rnd = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = [rnd.choice(vocabulary) for _ in range(400)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(400)), "en", "a") for i in range(20)]
+    for i in range(20, 40):
+        words = list(base)
+        for at in rnd.sample(range(0, 400, 10), 4 * (i > 20)):  # up to 20 of 396 shingles
+            words[at] = "changed"
+        rows.append((i, " ".join(words), "en", "a"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(rows, clash=False), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(21))
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 
