@@ -26,6 +26,7 @@ MIN_LCS = 0.8
 MIN_LCS_WITH_ANSWER = 0.6
 MIN_ANSWER = 0.9
 MIN_ANSWER_WORDS = 3
+PASSAGE_WORDS = 64
 BLOCK_ITEMS = 200
 BLOCKS_AT_ONCE = 16
 SLICE_CHARS = 1 << 20
@@ -57,6 +58,12 @@ def answer_of(text: str) -> str:
     return parts[-1] if parts else ""
 
 
+def passages(words: list[bytes]) -> list[list[bytes]]:
+    """The words in even passages of at most PASSAGE_WORDS, so that a window of a document can hold much of one."""
+    n = math.ceil(len(words) / PASSAGE_WORDS)
+    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
+
+
 def slices(text: str, size: int, overlap: int) -> Iterator[str]:
     """The text in slices of about `size` characters that share `overlap` characters, so that memory is bounded."""
     for at in range(0, max(1, len(text) - overlap), size):
@@ -67,19 +74,13 @@ def slices(text: str, size: int, overlap: int) -> Iterator[str]:
 
 @dataclass
 class Index:
-    """A block of benchmark items in the latent space of the TF-IDF passages."""
+    """A block of passages of benchmark items in the latent space of the TF-IDF passages."""
 
-    item_ids: list[int]
-    items: list[list[bytes]]
-    answers: list[list[bytes]]
+    owners: np.ndarray  # number of each passage's item
     vocabulary: dict[bytes, int]
     idf: np.ndarray | None = None
     terms: np.ndarray | None = None  # terms x rank: idf times right singular vectors
-    vectors: np.ndarray | None = None  # rank x items, of length one
-
-    def overlap(self) -> int:
-        longest = max((sum(len(w) + 1 for w in i) for i in self.items), default=0)
-        return 2 * longest + 16 * STRIDE * WINDOW
+    vectors: np.ndarray | None = None  # rank x passages, of length one
 
     def strides(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each stretch of STRIDE words the sum of their term vectors, and of their squared idf.
@@ -165,15 +166,13 @@ def right_vectors(rows: DataFrame, idf: np.ndarray, rank: int, power_rounds: int
     return basis @ turn[:, np.argsort(values)[::-1][:rank]]
 
 
-def build(spark: SparkSession, items: list, frequency: dict[bytes, int], n_docs: int, rank: int) -> Index:
-    """Index of a block of items. The passages of the decomposition are the items, weighed by the whole corpus."""
-    bodies = [words_of(r.text) for r in items]
-    answers = [words_of(r.answer if r.answer is not None else answer_of(r.text)) for r in items]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for b in bodies for w in b}))}
-    index = Index([r.item_id for r in items], bodies, answers, vocabulary)
+def build(spark: SparkSession, parts: list[tuple[int, list[bytes]]], frequency: dict[bytes, int], n_docs: int, rank: int) -> Index:
+    """Index of a block of passages (number of the item, words). The decomposition is theirs, weighed by the whole corpus."""
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, p in parts for w in p}))}
+    index = Index(np.array([i for i, _ in parts]), vocabulary)
     n = np.array([frequency.get(w, 0) for w in vocabulary])
     index.idf = (np.log((n_docs + 1) / (n + 1)) + LEAST_IDF).astype(np.float32)
-    numbers = [[vocabulary[w] for w in b] for b in bodies]
+    numbers = [[vocabulary[w] for w in p] for _, p in parts]
     rows = cut_lineage(spark.createDataFrame([(i,) for i in numbers], "ids array<long>").repartition(4))
     index.terms = (index.idf[:, None] * right_vectors(rows, index.idf, rank)).astype(np.float32)
     made = np.stack([index.terms[i].sum(axis=0) for i in numbers])
@@ -198,8 +197,9 @@ def candidates(found: list[bytes], index: Index, min_cosine: float) -> list[tupl
         sums /= np.sqrt(np.maximum(energy, 1e-9))[:, None]
         cosine = sums @ index.vectors
         value = cosine.max(axis=0)
-        for item in np.nonzero(value >= min_cosine)[0].tolist():
-            near[item] = max(near.get(item, (0.0, 0)), (float(value[item]), at + int(cosine[:, item].argmax()) * STRIDE))
+        for part in np.nonzero(value >= min_cosine)[0].tolist():
+            item = int(index.owners[part])
+            near[item] = max(near.get(item, (0.0, 0)), (float(value[part]), at + int(cosine[:, part].argmax()) * STRIDE))
     return [(item, first) for item, (_, first) in near.items()]
 
 
@@ -232,8 +232,9 @@ def leaks(
 ) -> DataFrame:
     """One row per document and benchmark item found in it: key, item_id, lcs, answer_found.
 
-    The benchmark is the stated query set. It is taken in blocks of about `block_items` by a hash of the item, so that
-    a latent space of `rank` dimensions tells the items of a block apart; up to BLOCKS_AT_ONCE blocks share a pass over
+    The benchmark is the stated query set. Items of over PASSAGE_WORDS words are cut into passages, and near to any of
+    them is near to the item. It is taken in blocks of about `block_items` passages by a hash of the item, so that a
+    latent space of `rank` dimensions tells the passages of a block apart; up to BLOCKS_AT_ONCE blocks share a pass over
     the documents, and more take further passes. The terms are the words of the items; how many documents have each is
     counted over all documents. Every passage of every document (32 words, 16 apart) is projected; for every item with
     a cosine of at least `min_cosine` the nearest passage and its surroundings are compared word by word: it is a leak
@@ -247,7 +248,8 @@ def leaks(
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     known = benchmark.select(F.col("item_id").cast("long"), F.col("text"), answer.alias("answer"))
     known = known.where(F.col("text").isNotNull() & (F.trim("text") != ""))
-    blocks = math.ceil(known.count() / block_items)
+    about = F.ceil(F.size(F.split(F.trim("text"), r"\s+")) / F.lit(PASSAGE_WORDS))
+    blocks = math.ceil((known.agg(F.sum(about)).first()[0] or 0) / block_items)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
     out = spark.createDataFrame([], SCHEMA)
     for b in range(0, blocks, BLOCKS_AT_ONCE):
@@ -258,31 +260,39 @@ def leaks(
             terms = sorted({w for r in items for w in words_of(r.text)})
             counts = document_frequencies(docs, {w: i for i, w in enumerate(terms)}, text)
             frequency = dict(zip(terms, counts[:-1].tolist()))
-            per_block = [[r for r in items if r.block == k] for k in sorted({r.block for r in items})]
-            indexes = [build(spark, part, frequency, int(counts[-1]), rank) for part in per_block]
-            out = out.unionByName(_search(docs, indexes, key, text, min_cosine, min_lcs, min_lcs_with_answer))
+            bodies = [words_of(r.text) for r in items]
+            indexes = []
+            for k in sorted({r.block for r in items}):
+                parts = [(i, p) for i, r in enumerate(items) if r.block == k for p in passages(bodies[i])]
+                n = max(1, round(len(parts) / block_items))  # over 1 where long items share a block
+                cuts = [len(parts) * j // n for j in range(n + 1)]
+                indexes += [build(spark, parts[i:j], frequency, int(counts[-1]), rank) for i, j in zip(cuts, cuts[1:])]
+            answers = [words_of(r.answer if r.answer is not None else answer_of(r.text)) for r in items]
+            held = ([r.item_id for r in items], bodies, answers, [vars(i) for i in indexes])
+            out = out.unionByName(_search(docs, held, key, text, min_cosine, min_lcs, min_lcs_with_answer))
     return out.withColumnRenamed("id", key)
 
 
-def _search(docs: DataFrame, indexes: list[Index], key: str, text: str, min_cosine: float, min_lcs: float, with_answer: float) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast([vars(i) for i in indexes])  # a bounded number of items
-    overlap = max(i.overlap() for i in indexes)
+def _search(docs: DataFrame, some: tuple, key: str, text: str, min_cosine: float, min_lcs: float, with_answer: float) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(some)  # a bounded number of passages
+    overlap = 2 * max(sum(len(w) + 1 for w in i) for i in some[1]) + 16 * STRIDE * WINDOW
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [Index(**i) for i in held.value]
+        item_ids, items, answers, made = held.value
+        indexes = [Index(**i) for i in made]
         least = min(min_lcs, with_answer)
         for batch in batches:
             rows = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                best: dict[tuple[int, int], tuple[float, bool]] = {}
+                best: dict[int, tuple[float, bool]] = {}
                 for part in slices(body.as_py(), SLICE_CHARS, overlap):
                     found = words_of(part)
-                    for k, index in enumerate(indexes):
+                    for index in indexes:
                         for item, first in candidates(found, index, min_cosine):
-                            share, there = check(found, first, index.items[item], index.answers[item], least)
+                            share, there = check(found, first, items[item], answers[item], least)
                             if share >= min_lcs or there and share >= with_answer:
-                                best[k, item] = max(best.get((k, item), (0.0, False)), (share, there))
-                rows += [(doc, indexes[k].item_ids[i], share, there) for (k, i), (share, there) in best.items()]
+                                best[item] = max(best.get(item, (0.0, False)), (share, there))
+                rows += [(doc, item_ids[i], share, there) for i, (share, there) in best.items()]
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in rows], schema=TYPES)
 

@@ -224,6 +224,22 @@ def test_leaks_across_slices_and_odd_rows(documents, odd_rows, spark, monkeypatc
     assert decontamination.without_leaks(docs, benchmark).count() == len(odd_rows)
 
 
+@pytest.mark.parametrize("block_items", [200, 4])
+def test_long_items_are_found(documents, spark, block_items):
+    rnd = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = {i: text(n) for i, n in enumerate([20, 60, 200, 300, 500, 1000])}
+    rows = [(i, " ".join(text(300) + words + text(300))) for i, words in items.items()]
+    for i, words in items.items():
+        some = [rnd.choice(vocabulary) if k % 9 == 4 else w for k, w in enumerate(words)]
+        rows.append((10 + i, " ".join(text(100) + some + text(400))))
+    rows += [(20 + i, " ".join(text(1500))) for i in range(5)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontamination.leaks(documents(rows), benchmark, block_items=block_items).collect()]
+    assert sorted(got) == [(k + i, i) for k in (0, 10) for i in range(6)]
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
