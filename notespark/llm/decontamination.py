@@ -181,12 +181,12 @@ def build(spark: SparkSession, parts: list[tuple[int, list[bytes]]], frequency:
 
 
 def candidates(found: list[bytes], index: Index, min_cosine: float) -> list[tuple[int, int]]:
-    """(item, first word) of the nearest passage for every item near enough to one; found: the words of a text.
+    """(item, first word) of every passage that an item is near enough to, in order; found: the words of a text.
 
     The cosine is that of the item's latent vector with the passage's TF-IDF vector in full, over the vocabulary, so
     that a passage of which little lies in the latent space is near to nothing.
     """
-    near: dict[int, tuple[float, int]] = {}
+    near: set[tuple[int, int]] = set()
     get, step = index.vocabulary.get, GROUP_WORDS - GROUP_WORDS % STRIDE
     for at in range(0, len(found), step):
         ids = np.array([get(w, -1) for w in found[at : at + step + STRIDE * (WINDOW - 1)]], np.int64)
@@ -196,19 +196,29 @@ def candidates(found: list[bytes], index: Index, min_cosine: float) -> list[tupl
         energy = sum(energy[i : i + places] for i in range(1, min(WINDOW, len(energy)))) + energy[:places]
         sums /= np.sqrt(np.maximum(energy, 1e-9))[:, None]
         cosine = sums @ index.vectors
-        value = cosine.max(axis=0)
-        for part in np.nonzero(value >= min_cosine)[0].tolist():
-            item = int(index.owners[part])
-            near[item] = max(near.get(item, (0.0, 0)), (float(value[part]), at + int(cosine[:, part].argmax()) * STRIDE))
-    return [(item, first) for item, (_, first) in near.items()]
+        place, part = np.nonzero(cosine >= min_cosine)
+        near.update(zip(index.owners[part].tolist(), (at + place * STRIDE).tolist()))
+    return sorted(near)
 
 
-def check(found: list[bytes], first: int, item: list[bytes], answer: list[bytes], least: float) -> tuple[float, bool]:
-    """Share of the item's words in its longest common subsequence with the passage, and whether the answer is there.
+def regions(near: list[tuple[int, int]], items: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
+    """(item, first word, last passage's first word): passages within a quarter of the item's words are one region."""
+    at = 0
+    while at < len(near):
+        item, first = near[at]
+        upto = at + 1
+        while upto < len(near) and near[upto][0] == item and near[upto][1] - first <= len(items[item]) // 4:
+            upto += 1
+        yield item, first, near[upto - 1][1]
+        at = upto
+
+
+def check(found: list[bytes], first: int, last: int, item: list[bytes], answer: list[bytes], least: float) -> tuple[float, bool]:
+    """Share of the item's words in its longest common subsequence with the region, and whether the answer is there.
 
     Where even the words in common are fewer than `least` of the item's, the subsequence needn't be looked for.
     """
-    region = found[max(0, first - len(item)) : first + STRIDE * WINDOW + len(item)]
+    region = found[max(0, first - len(item)) : last + STRIDE * WINDOW + len(item)]
     there = set(region)
     if sum(w in there for w in item) < least * len(item):
         return 0.0, False
@@ -237,7 +247,7 @@ def leaks(
     latent space of `rank` dimensions tells the passages of a block apart; up to BLOCKS_AT_ONCE blocks share a pass over
     the documents, and more take further passes. The terms are the words of the items; how many documents have each is
     counted over all documents. Every passage of every document (32 words, 16 apart) is projected; for every item with
-    a cosine of at least `min_cosine` the nearest passage and its surroundings are compared word by word: it is a leak
+    a cosine of at least `min_cosine` each such passage and its surroundings are compared word by word: it is a leak
     with a common subsequence of `min_lcs` of the item's words, or of `min_lcs_with_answer` if the answer (column
     `answer`, else the last sentence) is there too.
 
@@ -288,8 +298,10 @@ def _search(docs: DataFrame, some: tuple, key: str, text: str, min_cosine: float
                 for part in slices(body.as_py(), SLICE_CHARS, overlap):
                     found = words_of(part)
                     for index in indexes:
-                        for item, first in candidates(found, index, min_cosine):
-                            share, there = check(found, first, items[item], answers[item], least)
+                        for item, first, last in regions(candidates(found, index, min_cosine), items):
+                            if best.get(item) == (1.0, True):
+                                continue
+                            share, there = check(found, first, last, items[item], answers[item], least)
                             if share >= min_lcs or there and share >= with_answer:
                                 best[item] = max(best.get(item, (0.0, False)), (share, there))
                 rows += [(doc, item_ids[i], share, there) for i, (share, there) in best.items()]

@@ -240,6 +240,18 @@ def test_long_items_are_found(documents, spark, block_items):
     assert sorted(got) == [(k + i, i) for k in (0, 10) for i in range(6)]
 
 
+def test_a_nearer_quotation_does_not_hide_a_leak(documents, spark):
+    rnd = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    item = text(50)
+    rest = [w if k % 8 else rnd.choice(vocabulary) for k, w in enumerate(item)]
+    rows = [(1, " ".join(item[:32] + text(480) + rest + text(200))), (2, " ".join(text(64) + item[:32] + text(480)))]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), *((i, " ".join(text(50))) for i in range(2, 40))], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontamination.leaks(documents(rows), benchmark).collect()]
+    assert got == [(1, 1)]
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
