@@ -18,6 +18,7 @@ SAMPLE_PER_CLASS = 4000
 MAX_TERMS = 300
 LEAST_DOCS = 5
 LEAST_LOG_ODDS = 2.0
+LEAST_CHARS = 1
 STEM_CHARS = (4, 5, 6, 7, 8)
 FUZZY_FROM_CHARS = 5
 CONTEXT_WORDS = 6
@@ -173,7 +174,7 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2, rounds
     return beta
 
 
-def _terms(sample: DataFrame, counts: dict[int, int], max_terms: int) -> dict[str, float]:
+def _terms(sample: DataFrame, counts: dict[int, int], max_terms: int, least_chars: int = LEAST_CHARS) -> dict[str, float]:
     """Words and stems that toxic documents of the sample have far more often than others, with their log odds."""
     words = sample.select(
         "toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("words")
@@ -186,7 +187,7 @@ def _terms(sample: DataFrame, counts: dict[int, int], max_terms: int) -> dict[st
     toxic, clean = (F.sum((F.col("toxic") == k).cast("long")) for k in (1, 0))
     odds = F.ln((F.col("t") + 0.5) / (counts[1] + 1.0)) - F.ln((F.col("c") + 0.5) / (counts[0] + 1.0))
     best = (
-        named.where(F.length("term") >= 4)
+        named.where(F.length("term") >= least_chars)
         .groupBy("term")
         .agg(toxic.alias("t"), clean.alias("c"))
         .where(F.col("t") >= LEAST_DOCS)
@@ -227,19 +228,21 @@ def learn(
     sample_per_class: int = SAMPLE_PER_CLASS,
     max_terms: int = MAX_TERMS,
     folds: int = FOLDS,
+    least_chars: int = LEAST_CHARS,
 ) -> Model:
     """Terms and weights from at most `sample_per_class` labelled documents of each class.
 
     Only documents whose crc32 of the id is no multiple of `folds` teach; the sample is the first of them by a hash of
     the id, and rows are weighted back to the sizes of the classes. Null labels and ids teach nothing; a document
-    labelled twice counts as toxic if one label says so. Without documents of both classes the score is constant.
+    labelled twice counts as toxic if one label says so. Whole words of `least_chars` characters or more may be terms,
+    those under FUZZY_FROM_CHARS in exactly that spelling; stems have STEM_CHARS. Without documents of both classes the score is constant.
     """
     sample, sizes = _sample(docs, labels, key, text, sample_per_class, folds)
     sample = cut_lineage(sample.select("id", "text", "toxic"))
     counts = {0: 0, 1: 0} | {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not counts[0] or not counts[1]:
         return Model({}, [-5.0 if not counts[1] else 5.0] + [0.0] * 10)
-    terms = _terms(sample, counts, max_terms)
+    terms = _terms(sample, counts, max_terms, least_chars)
     rows = _features(sample.select("id", "text"), terms).join(sample.select("id", "toxic").distinct(), "id").collect()
     x, y = np.array([r.x for r in rows]), np.array([float(r.toxic) for r in rows])
     w = np.where(y == 1, sizes.get(1, 1) / counts[1], sizes.get(0, 1) / counts[0])

@@ -157,6 +157,22 @@ def test_toxicity_learns_and_holds_out(documents, spark):
     assert kept == {i for i in got if not got[i].predicted}
 
 
+def test_short_words_may_be_toxic_terms(documents, spark):
+    rnd = random.Random(16)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        words = [rnd.choice(vocabulary) for _ in range(40)]
+        if i % 4 == 1:
+            words[7] = words[20] = "zot" if i % 8 == 1 else "死ね"
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.learn(documents(rows), labels)
+    assert {"zot", "死ね"} <= model.terms.keys()
+    got = {r.doc_id: r.predicted for r in toxicity.score(documents(rows), model).collect()}
+    assert got == {i: int(i % 4 == 1) for i in range(400)}
+
+
 def test_toxicity_of_odd_rows(documents, odd_rows, spark):
     docs = documents(odd_rows)
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int")
