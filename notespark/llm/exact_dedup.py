@@ -11,6 +11,7 @@ from notespark.llm.common import text_or_empty
 
 HOT_SHARE = 1000
 SALTS = 64
+COPIES_PER_RUN = 4096
 
 
 def sha256(text: Column) -> Column:
@@ -64,8 +65,12 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", salts:
         .groupBy("key", "digest")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
-    return members.join(by_digest, "digest").withColumn("copy", copies).select(
+    starts = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(COPIES_PER_RUN).cast("long")))
+    # By number: runs that are dealt by number are not put together again for their small size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = members.join(by_digest, "digest").withColumn("run", starts).repartition(tasks, "digest", "key", "run")
+    copies = F.explode(F.sequence("run", F.least(F.col("n"), F.col("run") + (COPIES_PER_RUN - 1))))
+    return runs.withColumn("copy", copies).select(
         F.col("key").alias(key),
         "keep_id",
         "group_size",

@@ -85,6 +85,14 @@ def test_a_hot_text_is_salted_and_counted_whole(spark):
     assert len(got) == 1000 and set(got.keep_id) == {2997} and got.kept.sum() == 1 and set(got.group_size) == {1000}
 
 
+def test_repeated_rows_are_put_back_by_several_tasks(spark):
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    out = exact_dedup.exact_dedup(rows)
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 50_000 and max(per_task) < 50_000
+    assert out.where("kept").count() == 1 and out.where("group_size = 50000").count() == 50_000
+
+
 def empty(documents):
     return documents([(1, "x")]).where("doc_id > 1")
 
