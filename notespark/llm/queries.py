@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespark.llm import chat, decontamination, exact_dedup, langid, lm_scoring, mixing, secret_scan, sharding, simhash, toxicity
+from notespark.llm import chat, decontamination, exact_dedup, langid, lm_scoring, mixing, piece_encoding, secret_scan, sharding, simhash, toxicity
 from notespark.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.digests(piece_encoding.encode(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
