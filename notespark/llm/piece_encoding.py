@@ -7,10 +7,12 @@ of two neighbours tells whether merging would have joined them otherwise. Ids ar
 
 from __future__ import annotations
 
+import codecs
 import re
 from array import array
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,7 @@ class Pieces:
     silent: set[int]
     unknown: int
     end: int
-    cut: bool
-    _spines: dict = field(default_factory=dict)
+    runs: str
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -74,15 +75,48 @@ class Pieces:
             {i for i in every if model.is_control(i)},
             model.unk_id(),
             model.eos_id(),
-            not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in scores),
+            runs_of(scores),
         )
 
 
+def _marked(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "\ufffd" * (error.end - error.start), error.end
+
+
+def text_of_bytes(raw: bytes) -> str:
+    """UTF-8, with one replacement mark for each byte that belongs to no character."""
+    codecs.register_error("each-byte", _marked)
+    return raw.decode("utf-8", "each-byte")
+
+
+def runs_of(pieces: Iterable[str]) -> str:
+    """Pattern of the runs into which a text can be cut because no piece goes on from one into the next: marks of
+    punctuation and all else, each with the spaces before it; the whole text if pieces have spaces inside.
+
+    Marks are those of ASCII and every character that stands beside a mark in some piece."""
+    near: dict[str, set[str]] = {}
+    for piece in pieces:
+        for x, y in pairwise(piece):
+            if y == SPACE and x != SPACE:
+                return "(?s).+"
+            if x != SPACE:
+                near.setdefault(x, set()).add(y)
+                near.setdefault(y, set()).add(x)
+    marks = {c for c in map(chr, range(128)) if not c.isalnum() and c != " "}
+    more = [*marks]
+    while more:
+        new = near.get(more.pop(), set()) - marks
+        marks |= new
+        more += new
+    listed = "".join(map(re.escape, sorted(marks)))
+    return f"[ {SPACE}]*(?:[{listed}]+|[^ {SPACE}{listed}]+)|[ {SPACE}]+"
+
+
 def merge_slowly(text: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str]]:
     """Parts and last merge of a short text: always the best pair next, the leftmost of equals."""
     parts, last = list(text), ("", "")
     while True:
-        pairs = [(rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]
+        pairs = [(rank[a + b], i) for i, (a, b) in enumerate(pairwise(parts)) if a + b in rank]
         if not pairs:
             return parts, last
         i = min(pairs)[1]
@@ -181,11 +215,11 @@ class PrefixTable:
                 pending.append(byte)
                 continue
             if pending:
-                out.append(pending.decode("utf-8", "replace"))
+                out.append(text_of_bytes(pending))
                 pending.clear()
             if i not in self.pieces.silent:
                 out.append(self.pieces.text[i].replace(SPACE, " "))
-        return "".join([*out, pending.decode("utf-8", "replace")])
+        return "".join([*out, text_of_bytes(pending)])
 
 
 class Remembered(dict):
@@ -204,13 +238,12 @@ class Remembered(dict):
 class PieceCoder:
     """Whole texts to ids and back, as the model's own library does with an end id.
 
-    No piece has a space's mark behind another character, so no merge crosses the start of a run of spaces: texts are cut
-    there, and equal runs are encoded once. Texts of models that have such pieces are encoded in one run.
+    Texts are cut where no piece of the model goes on, so no merge is lost, and equal runs are encoded once.
     """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces, self.table = pieces, PrefixTable(pieces)
-        self.cut = re.compile(f"[ {SPACE}]+[^ {SPACE}]*" if pieces.cut else "(?s).+").findall
+        self.cut = re.compile(pieces.runs).findall
         self.ids_of = Remembered(lambda run: array("i", self.table.ids(run.replace(" ", SPACE))).tobytes())
         self.text_of = Remembered(lambda packed: self.table.text(array("i", packed).tolist()))
         self.end = array("i", [pieces.end]).tobytes()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notespark.llm import chat, decontamination, exact_dedup, langid, lm_scoring, mixing, piece_encoding, secret_scan, sharding, simhash, toxicity
+from notespark.llm import chat, decontamination, exact_dedup, langid, lm_scoring, mixing, piece_encoding, secret_scan, sharding, simhash, token_alignment, toxicity
 from notespark.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), whole_groups=False)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.digests(piece_encoding.encode(table(spark, sf_dir, "documents")))
 

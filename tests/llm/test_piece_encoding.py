@@ -50,6 +50,27 @@ def test_uncut_texts_give_the_same(coder):
         assert whole + [coder.pieces.end] == [i for run in coder.encode(text) for i in memoryview(run).cast("i")]
 
 
+@pytest.mark.parametrize("runs", ["(?s).+", f"[ {pe.SPACE}]+[^ {pe.SPACE}]*"])
+def test_other_cuts_give_the_same(coder, runs):
+    from dataclasses import replace
+
+    other, rng = pe.PieceCoder(replace(coder.pieces, runs=runs)), random.Random(9)
+    for _ in range(500):
+        text = "".join(rng.choices(SYMBOLS, k=30))
+        assert b"".join(other.encode(text)) == b"".join(coder.encode(text))
+
+
+def test_cuts_follow_the_pieces():
+    import re
+
+    def cut(pieces):
+        return re.findall(pe.runs_of(pieces), " see e.g. (a»b)  c")
+
+    assert cut(["▁the", "».", "▁("]) == [" see", " e", ".", "g", ".", " (", "a", "»", "b", ")", "  c"]
+    assert cut(["▁the", "e.g"]) == [" s", "ee", " e.g.", " (", "a»b", ")", "  c"]
+    assert cut(["of▁the"]) == [" see e.g. (a»b)  c"]
+
+
 def test_memory_that_starts_anew_changes_nothing(coder, monkeypatch, library):
     monkeypatch.setattr(pe, "REMEMBERED", 5)
     small = pe.PieceCoder(coder.pieces)
