@@ -135,6 +135,11 @@ class PrefixTable:
         for piece in pieces.halves:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
+        self.byte_ids = {b: i for i, b in pieces.bytes_from.items()}
+        self.surface = [
+            None if i in pieces.bytes_from else "" if i in pieces.silent else p.replace(SPACE, " ")
+            for i, p in enumerate(pieces.text)
+        ]
         self.fits: dict[tuple[str, str], bool] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
 
@@ -200,26 +205,13 @@ class PrefixTable:
                 out.append(self.pieces.unknown)
         return out
 
-    @property
-    def byte_ids(self) -> dict[int, int]:
-        if not hasattr(self, "_byte_ids"):
-            self._byte_ids = {b: i for i, b in self.pieces.bytes_from.items()}
-        return self._byte_ids
-
     def text(self, ids: list[int]) -> str:
         """Text of ids, marks as spaces; the space that encoding puts first is still there."""
-        out, pending = [], bytearray()
-        for i in ids:
-            byte = self.pieces.bytes_from.get(i)
-            if byte is not None:
-                pending.append(byte)
-                continue
-            if pending:
-                out.append(text_of_bytes(pending))
-                pending.clear()
-            if i not in self.pieces.silent:
-                out.append(self.pieces.text[i].replace(SPACE, " "))
-        return "".join([*out, text_of_bytes(pending)])
+        parts = [self.surface[i] for i in ids]
+        if None in parts:
+            raw = b"".join(bytes([self.pieces.bytes_from[i]]) if p is None else p.encode() for i, p in zip(ids, parts))
+            return text_of_bytes(raw)
+        return "".join(parts)
 
 
 class Remembered(dict):
