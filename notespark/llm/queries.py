@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from notespark.llm import chat, decontamination, exact_dedup, langid, lm_scoring, mixing, piece_encoding, secret_scan, sharding, simhash, token_alignment, toxicity
+from notespark.llm import chat, decontamination, exact_dedup, hard_negatives, langid, lm_scoring, mixing, piece_encoding, secret_scan, sharding, simhash, token_alignment, toxicity
 from notespark.llm.common import table
 
 
@@ -58,6 +59,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, label = F.col("vec_id"), F.col("label")
+    shifted = F.when(key % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), key % 100 == 0, label=shifted)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.digests(piece_encoding.encode(table(spark, sf_dir, "documents")))
 
