@@ -13,6 +13,7 @@ from notespark.operators import (
     cache,
     findings,
     inventory,
+    link_index,
     links,
     replies,
     requests,
@@ -721,6 +722,12 @@ def anchor_relevance(spark, sf_dir):
     return links.anchor_relevance(links.term_weights(notes), anchor)
 
 
+@query
+def smart_links_many(spark, sf_dir):
+    """Best partners of every fiftieth note among all notes."""
+    return link_index.many_links(_md_notes(spark, sf_dir), F.col("doc_id") % 50 == 0)
+
+
 @query
 def note_themes(spark, sf_dir):
     return links.note_themes(links.term_weights(_md_notes(spark, sf_dir))).select("path", _long("pos"), "theme")

@@ -738,6 +738,18 @@ select path, title, relevance, cast(floor(relevance * 100 + 0.5) as bigint) rele
 view("anchor_relevance", "select path, relevance from relevance", NOTES, WEIGHTS, RELEVANCE.format(anchor="anchor"))
 view("smart_links_anchor", "select * from shown", NOTES, WEIGHTS,
      RELEVANCE.format(anchor="anchor"), "shown as (with " + SHOWN.format(anchor="anchor", more="")[2:] + ")")
+view(
+    "smart_links_many",
+    """, sized as (select path, sqrt(cast(sum(cast(w * w as decimal(38,12))) as double)) norm from weights group by 1),
+asked as (select path from md where doc_id % 50 = 0),
+met as (select a.path src_path, b.path, cast(sum(cast(a.w * b.w as decimal(38,12))) as double) dot
+  from weights a join asked on asked.path = a.path join weights b on b.term = a.term and b.path <> a.path group by 1, 2),
+scored as (select m.src_path, m.path, round(m.dot / (b.norm * a.norm), 4) relevance
+  from met m join sized a on a.path = m.src_path join sized b on b.path = m.path)
+select * from (select src_path, row_number() over (partition by src_path order by relevance desc, path) as rank, path, relevance
+  from scored where relevance > 0.3) where rank <= 20""",
+    NOTES, WEIGHTS,
+)
 # An open note that bears the name, but for its number, of one of the first 20 notes.
 NEAR = """first as (select path, regexp_replace(basename, '[0-9]+$', '') stem from md order by path limit 20),
 near as (select coalesce((select arg_min(path, (-length(regexp_replace(basename, '[0-9]+$', '')), doc_id)) from md where regexp_replace(basename, '[0-9]+$', '') in (select stem from first)
