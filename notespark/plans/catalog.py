@@ -21,6 +21,7 @@ from notespark.operators import (
     spelling,
     strategies,
     themes,
+    vector_index,
 )
 from notespark.plans import flows
 from notespark.sources import derived
@@ -743,3 +744,9 @@ def embedding_links(spark, sf_dir):
     vectors = derived.table(spark, sf_dir, "embeddings")
     anchor = vectors.agg(F.min("vec_id")).scalar()
     return links.vector_links(vectors, anchor).select("vec_id", _long("label"), "similarity")
+
+
+@query
+def vector_links_many(spark, sf_dir):
+    """The 20 nearest vectors of every fiftieth one, through the cell index over all."""
+    return vector_index.nearest(derived.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
