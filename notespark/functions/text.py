@@ -84,8 +84,9 @@ def spell_key(language: Column, text: Column, variant: str) -> Column:
     return F.concat_ws(":", F.lit("spell"), language, text_hash(text), F.lit(variant))
 
 
-def native_spell_key(language: Column, text: Column, variant: str, model: str) -> Column:
-    return F.concat_ws(":", F.lit("spell"), language, F.lit(model), F.lit(variant), content_key(text))
+def native_spell_key(language: Column, text: Column, variant: str | Column, model: str) -> Column:
+    variant = F.lit(variant) if isinstance(variant, str) else variant
+    return F.concat_ws(":", F.lit("spell"), language, F.lit(model), variant, content_key(text))
 
 
 def link_key(anchor_path: Column, path: Column) -> Column:

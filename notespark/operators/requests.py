@@ -57,10 +57,11 @@ LINK_FILE_B = "\n\nFile B ("
 LINK_TEXT = "):\n"
 
 
-def _system(template: str, language: Column | None = None) -> Column:
+def _system(template: str | Column, language: Column | None = None) -> Column:
+    template = F.lit(template) if isinstance(template, str) else template
     if language is None:
-        return F.lit(template)
-    text = F.replace(F.lit(template), F.lit("{language}"), language)
+        return template
+    text = F.replace(template, F.lit("{language}"), language)
     return F.concat(text, F.when(language == "ar", ARABIC_CLAUSE).otherwise(""))
 
 
@@ -83,24 +84,52 @@ def body(
 def check_requests(
     sections: DataFrame,
     language: Column | None = None,
-    variant: str = params.PROMPT_VARIANT,
+    variant: str | Column = params.PROMPT_VARIANT,
     model: str = params.CHECK_MODEL,
     template: str | None = None,
     chars: int | None = params.CHECK_CHARS,
     limits: dict[str, tuple[int, float]] = params.REQUEST_LIMITS,
+    templates: DataFrame | None = None,
 ) -> DataFrame:
     """One request per section: only its first ``chars`` characters are sent (None: all); ``truncated`` says when that cuts.
 
-    The key hashes the whole section and names the model.
+    The key hashes the whole section and names the model. ``templates`` is a table ``(language, variant, template)``, one row
+    for each pair; language ``*`` stands for all that have no row of their own. Each section then gets the template of its
+    own language and variant, and one that has none is an error.
     """
     lang = F.lit(params.LANGUAGE) if language is None else language
     user = F.concat(F.lit(CHECK_USER), first_chars(F.col("section"), chars))
+    if templates is not None:
+        sections = _with_templates(sections, lang, F.lit(variant) if isinstance(variant, str) else variant, templates)
+        lang, variant, system = F.col("_language"), F.col("_variant"), F.col("_template")
+    elif template is not None:
+        system = F.lit(template)
+    elif isinstance(variant, str):
+        system = F.lit(CHECK_TEMPLATES[variant])
+    else:
+        missing = F.raise_error(F.concat(F.lit("no template: "), variant)).cast("string")
+        system = F.coalesce(*[F.when(variant == name, F.lit(text)) for name, text in CHECK_TEMPLATES.items()], missing)
     return sections.select(
         "path",
         "section_no",
         native_spell_key(lang, F.col("section"), variant, model).alias("key"),
         (F.lit(False) if chars is None else F.length("section") > chars).alias("truncated"),
-        body("check", model, _system(template or CHECK_TEMPLATES[variant], lang), user, limits).alias("body"),
+        body("check", model, _system(system, lang), user, limits).alias("body"),
+    )
+
+
+def _with_templates(sections: DataFrame, language: Column, variant: Column, templates: DataFrame) -> DataFrame:
+    """Sections with ``_template``. How the table is joined is left to the engine, by its bytes."""
+    own = templates.where("language <> '*'").select(
+        F.col("language").alias("_language"), F.col("variant").alias("_variant"), F.col("template").alias("_own")
+    )
+    general = templates.where("language = '*'").select(F.col("variant").alias("_variant"), F.col("template").alias("_general"))
+    keyed = sections.withColumn("_language", language).withColumn("_variant", variant)
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no template:"), "_language", "_variant")).cast("string")
+    return (
+        keyed.join(own, ["_language", "_variant"], "left")
+        .join(general, "_variant", "left")
+        .withColumn("_template", F.coalesce("_own", "_general", missing))
     )
 
 

@@ -45,6 +45,30 @@ def sample_section(notes: DataFrame, size: int = params.SAMPLE_CHARS, keep: tupl
     )
 
 
+def sections_by_mode(
+    notes: DataFrame, mode: Column, full_size: int, fixed_size: int, sample_size: int, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Sections as the mode of each note cuts them; ``_mode``, ``line_map`` and ``newlines_before`` tell how."""
+    text, no_map = F.col("content"), F.array().cast("array<struct<packed:int,exact:int>>")
+
+    def section(no: Column, part: Column, line_map: Column, before: Column) -> Column:
+        return F.struct(
+            no.alias("section_no"), part.alias("section"), line_map.alias("line_map"), before.alias("newlines_before")
+        )
+
+    full = F.transform(md.pack_sections(text, full_size), lambda s: section(s["section_no"], s["section"], s["line_map"], F.lit(0)))
+    fixed = F.transform(md.fixed_sections(text, fixed_size), lambda s: section(s["section_no"], s["section"], no_map, s["newlines_before"]))
+    sample = F.array(section(F.lit(0), F.substring(text, 1, sample_size), no_map, F.lit(0)))
+    unknown = F.raise_error(F.concat(F.lit("unknown check mode: "), F.col("_mode")))
+    cut = (
+        F.when(F.col("_mode") == "full", full)
+        .when(F.col("_mode") == "incremental", fixed)
+        .when(F.col("_mode") == "auto", sample)
+        .when(F.col("_mode").isNotNull(), unknown)
+    )
+    return _inline(notes.withColumn("_mode", mode), cut, keep)
+
+
 def progress(sections: DataFrame) -> DataFrame:
     """Share of a note done after each section, in whole percent, half up."""
     done, total = F.col("section_no") + 1, F.col("n_sections")

@@ -42,7 +42,7 @@ def from_replies(reply_table: DataFrame, key: Callable[[DataFrame], Column]) ->
     return check
 
 
-def _explode(checked: DataFrame, line_exact: Callable[[Column], Column]) -> DataFrame:
+def _explode(checked: DataFrame, line_exact: Callable[[Column], Column], *more: Column) -> DataFrame:
     def rows(kind: str, column: str, title: str) -> Column:
         listed = F.coalesce(F.when(F.col("parse_ok"), F.col(column)), F.array())
         return F.transform(
@@ -65,33 +65,45 @@ def _explode(checked: DataFrame, line_exact: Callable[[Column], Column]) -> Data
         "f.what",
         (line + F.col("line_offset")).cast("long").alias("line"),
         line_exact(line).cast("long").alias("line_exact"),
+        *more,
     )
 
 
-def check_full(notes: DataFrame, checker: Checker, size: int = params.FULL_CHUNK_CHARS) -> DataFrame:
-    """All packed sections. ``line`` follows the offset rule, ``line_exact`` the place in the note."""
-    checked = checker(sections.full_sections(notes, size))
+def check_full(
+    notes: DataFrame, checker: Checker, size: int = params.FULL_CHUNK_CHARS, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """All packed sections. ``line`` follows the offset rule, ``line_exact`` the place in the note.
+
+    ``keep`` names columns of the notes that the checker needs, the language of a request's key, say.
+    """
+    checked = checker(sections.full_sections(notes, size, keep))
     based = sections.full_line_offset(checked, F.col("parse_ok"))
     return _explode(based, lambda line: exact_line(line, F.col("line_map")))
 
 
 def check_incremental(
-    notes: DataFrame, checker: Checker, size: int = params.FIXED_SECTION_CHARS, only_section: int | None = None
+    notes: DataFrame,
+    checker: Checker,
+    size: int = params.FIXED_SECTION_CHARS,
+    only_section: int | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Fixed-width sections; ``only_section=0`` is what an interactive first check looks at."""
     if only_section == 0:  # the first characters, without cutting the rest
-        cut = sections.sample_section(notes, size).withColumn("newlines_before", F.lit(0))
+        cut = sections.sample_section(notes, size, keep).withColumn("newlines_before", F.lit(0))
     else:
-        cut = sections.fixed_sections(notes, size)
+        cut = sections.fixed_sections(notes, size, keep)
         if only_section is not None:
             cut = cut.where(F.col("section_no") == only_section)
     based = sections.fixed_line_offset(checker(cut))
     return _explode(based, lambda line: line + F.col("newlines_before"))
 
 
-def check_auto(notes: DataFrame, checker: Checker, size: int = params.SAMPLE_CHARS) -> DataFrame:
+def check_auto(
+    notes: DataFrame, checker: Checker, size: int = params.SAMPLE_CHARS, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The first characters only; whether a full check is advised is told by ``auto_verdict``."""
-    based = checker(sections.sample_section(notes, size)).withColumn("line_offset", F.lit(0))
+    based = checker(sections.sample_section(notes, size, keep)).withColumn("line_offset", F.lit(0))
     return _explode(based, lambda line: line)
 
 
@@ -104,6 +116,33 @@ def check(mode: str, notes: DataFrame, checker: Checker, **options) -> DataFrame
     return CHECKS[mode](notes, checker, **options)
 
 
+def check_mixed(
+    notes: DataFrame,
+    mode: Column,
+    checker: Checker,
+    full_size: int = params.FULL_CHUNK_CHARS,
+    fixed_size: int = params.FIXED_SECTION_CHARS,
+    sample_size: int = params.SAMPLE_CHARS,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Every note in its own mode: the findings of ``check`` for each, with the column ``mode``, in one plan.
+
+    Texts are read once and cut by the mode of their row; replies are joined once. A note without a mode is left out, an
+    unknown mode is an error.
+    """
+    cut = sections.sections_by_mode(notes, mode, full_size, fixed_size, sample_size, ("_mode", *keep))
+    is_full, is_fixed = F.col("_mode") == "full", F.col("_mode") == "incremental"
+    based = sections.full_line_offset(checker(cut), F.col("parse_ok")).withColumn(
+        "line_offset",
+        F.when(is_full, F.col("line_offset")).when(is_fixed, F.col("newlines_before") + 1).otherwise(0),
+    )
+
+    def place(line: Column) -> Column:
+        return F.when(is_full, exact_line(line, F.col("line_map"))).otherwise(line + F.col("newlines_before"))
+
+    return _explode(based, place, F.col("_mode").alias("mode"))
+
+
 def auto_verdict(
     notes: DataFrame,
     checker: Checker,

@@ -387,6 +387,21 @@ def check_requests(spark, sf_dir):
     return requests.check_requests(cut, F.col("lang")).select("path", _long("section_no"), "key", "truncated", "body")
 
 
+def check_templates(spark: SparkSession) -> DataFrame:
+    """The prompt variants as a table, with wording of their own for two languages."""
+    rows = [("*", name, text) for name, text in requests.CHECK_TEMPLATES.items()]
+    rows += [("*", "short", "Spelling of {language}: JSON only."), ("de", "short", "Nur JSON."), ("fr", "standard", "JSON seulement ({language}).")]
+    return spark.createDataFrame(rows, "language string, variant string, template string")
+
+
+@query
+def template_requests(spark, sf_dir):
+    """Requests of three prompt variants in one run, worded by a table of templates."""
+    variant = F.get(F.array(*map(F.lit, ("standard", "superprompt", "short"))), (F.col("doc_id") % 3).cast("int"))
+    asked = flows.check_keys(_md_notes(spark, sf_dir), language=F.col("lang"), variant=variant, templates=check_templates(spark))
+    return asked.select("path", _long("section_no"), "key", "body")
+
+
 @query
 def theme_requests(spark, sf_dir):
     return requests.theme_requests(themes.name_chunks(_members(spark, sf_dir)))
@@ -545,31 +560,55 @@ def applied_findings(spark, sf_dir):
 
 
 def _aged_checks(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return derived.aged(derived.section_replies(sections.full_sections(notes)), _now(CACHED_NOW))
+    cut = sections.full_sections(notes, keep=("lang",))
+    return derived.aged(derived.section_replies(cut, F.col("lang")), _now(CACHED_NOW))
 
 
 @query
 def check_full_cached(spark, sf_dir):
     notes = _md_notes(spark, sf_dir)
     cached, new = _aged_checks(notes)
-    return flows.check_cached(notes, cached, _now(CACHED_NOW), new)
+    return flows.check_cached(notes, cached, _now(CACHED_NOW), new, language=F.col("lang"))
 
 
 @query
 def pending_checks(spark, sf_dir):
     notes = _md_notes(spark, sf_dir)
-    return flows.pending_checks(notes, _aged_checks(notes)[0], _now(CACHED_NOW)).select("key", "path")
+    open_work = flows.pending_checks(notes, _aged_checks(notes)[0], _now(CACHED_NOW), language=F.col("lang"))
+    return open_work.select("key", "path")
+
+
+def _mode_of_note() -> Column:
+    return F.get(F.array(*map(F.lit, strategies.CHECKS)), (F.col("doc_id") % 3).cast("int"))
+
+
+@query
+def check_mixed(spark, sf_dir):
+    """Each note in its own mode, with lint findings."""
+    return strategies.check_mixed(_md_notes(spark, sf_dir), _mode_of_note(), strategies.from_lint)
 
 
 @query
 def corrected_cached(spark, sf_dir):
     notes = derived.notes(spark, sf_dir)
-    cut = sections.rewrite_sections(inventory.markdown(notes), trimmed=True)
-    key, third = requests.rewrite_key("correct", F.col("section")).alias("key"), (F.length("section") % 3).alias("third")
-    answers = derived.rewrite_replies(cut, key, third).groupBy("key")
+    cut = sections.rewrite_sections(inventory.markdown(notes), trimmed=True, keep=("lang",))
+    key = requests.rewrite_key("correct", F.col("section"), F.col("lang")).alias("key")
+    answers = derived.rewrite_replies(cut, key, (F.length("section") % 3).alias("third")).groupBy("key")
     answers = answers.agg(F.min("raw_reply").alias("raw_reply"), F.min("third").alias("third"))
     cached, new = derived.aged(answers, _now(CACHED_NOW))
-    return flows.rewrite_cached(notes, "correct", cached, _now(CACHED_NOW), new)
+    return flows.rewrite_cached(notes, "correct", cached, _now(CACHED_NOW), new, F.col("lang"))
+
+
+@query
+def links_cached(spark, sf_dir):
+    """Best partners of one note from judgements that are cached, expired or new."""
+    notes = derived.notes(spark, sf_dir)
+    anchor_path = _anchor_path(derived.files(spark, sf_dir))
+    anchor, candidates = notes.where(F.col("path") == anchor_path), inventory.link_candidates(notes, anchor_path, "all")
+    third = (derived.path_code(F.col("path")) % 3).alias("third")
+    asked = requests.link_requests(anchor, candidates)
+    cached, new = derived.aged(asked.select("key", derived.link_judgement(F.col("path")).alias("raw_reply"), third), _now(CACHED_NOW))
+    return flows.links_cached(anchor, candidates, cached, _now(CACHED_NOW), new).select("path", "title", "relevance", "connection_type")
 
 
 @query

@@ -79,26 +79,63 @@ def apply_findings(notes: DataFrame, checked: DataFrame) -> DataFrame:
     return notes.join(found, "path").select("path", findings.apply_fixes(corrected, F.col("issues")).alias("content"))
 
 
-def check_keys(notes: DataFrame, size: int = params.FULL_CHUNK_CHARS, language: Column | None = None) -> DataFrame:
-    """Request rows ``(path, section_no, key, truncated, body)`` of a full check."""
-    return requests.check_requests(sections.full_sections(inventory.markdown(notes), size), language)
-
-
-def pending_checks(notes: DataFrame, cached: DataFrame, now: Column) -> DataFrame:
-    """Requests of a full check that no live entry answers, one per key."""
-    return cache.pending(check_keys(notes), cached, now)
-
-
-def check_cached(notes: DataFrame, cached: DataFrame, now: Column, new: DataFrame | None = None, mode: str = "full") -> DataFrame:
-    """Findings from what is cached and what has newly arrived, by the key of ``requests.check_requests``."""
-    key = lambda cut: native_spell_key(F.lit(params.LANGUAGE), F.col("section"), params.PROMPT_VARIANT, params.CHECK_MODEL)
+def _asked(notes: DataFrame, language: Column | None, variant: str | Column) -> DataFrame:
+    """Notes with the language and prompt variant of their requests, so that keys are built alike on both sides."""
+    lang = F.lit(params.LANGUAGE) if language is None else language
+    return notes.withColumn("_language", lang).withColumn("_variant", F.lit(variant) if isinstance(variant, str) else variant)
+
+
+_KEPT = ("_language", "_variant")
+
+
+def check_keys(
+    notes: DataFrame,
+    size: int = params.FULL_CHUNK_CHARS,
+    language: Column | None = None,
+    variant: str | Column = params.PROMPT_VARIANT,
+    model: str = params.CHECK_MODEL,
+    templates: DataFrame | None = None,
+) -> DataFrame:
+    """Request rows ``(path, section_no, key, truncated, body)`` of a full check; language and variant may be columns."""
+    cut = sections.full_sections(_asked(inventory.markdown(notes), language, variant), size, _KEPT)
+    return requests.check_requests(cut, F.col("_language"), F.col("_variant"), model, templates=templates)
+
+
+def pending_checks(notes: DataFrame, cached: DataFrame, now: Column, **asked) -> DataFrame:
+    """Requests of a full check that no live entry answers, one per key; ``asked`` as in ``check_keys``."""
+    return cache.pending(check_keys(notes, **asked), cached, now)
+
+
+def check_cached(
+    notes: DataFrame,
+    cached: DataFrame,
+    now: Column,
+    new: DataFrame | None = None,
+    mode: str | Column = "full",
+    language: Column | None = None,
+    variant: str | Column = params.PROMPT_VARIANT,
+    model: str = params.CHECK_MODEL,
+) -> DataFrame:
+    """Findings from what is cached and what has newly arrived, by the key of ``requests.check_requests`` for the same
+    language, variant and model. ``mode`` may be a column: each note is then checked in its own mode."""
+    key = lambda cut: native_spell_key(F.col("_language"), F.col("section"), F.col("_variant"), model)
     checker = strategies.from_replies(cache.reply_table(cached, now, new), key)
-    return strategies.check(mode, inventory.markdown(notes), checker)
-
-
-def links_cached(anchor: DataFrame, candidates: DataFrame, cached: DataFrame, now: Column, new: DataFrame | None = None) -> DataFrame:
+    md = _asked(inventory.markdown(notes), language, variant)
+    if isinstance(mode, Column):
+        return strategies.check_mixed(md, mode, checker, keep=_KEPT)
+    return strategies.check(mode, md, checker, keep=_KEPT)
+
+
+def links_cached(
+    anchor: DataFrame,
+    candidates: DataFrame,
+    cached: DataFrame,
+    now: Column,
+    new: DataFrame | None = None,
+    model: str = params.LINK_MODEL,
+) -> DataFrame:
     """Best partners of one note from cached and newly arrived judgements."""
-    asked = requests.link_requests(anchor, candidates)
+    asked = requests.link_requests(anchor, candidates, model)
     return links_from_replies(asked, cache.reply_table(cached, now, new), candidates)
 
 
@@ -107,9 +144,18 @@ def themes_cached(chunks: DataFrame, cached: DataFrame, now: Column, new: DataFr
     return themes_from_replies(requests.theme_requests(chunks), cache.reply_table(cached, now, new))
 
 
-def rewrite_cached(notes: DataFrame, kind: str, cached: DataFrame, now: Column, new: DataFrame | None = None) -> DataFrame:
-    """Corrected or enhanced notes from cached and newly arrived replies, by the key of ``requests.rewrite_requests``."""
-    return rewrite(notes, cache.reply_table(cached, now, new), kind)
+def rewrite_cached(
+    notes: DataFrame,
+    kind: str,
+    cached: DataFrame,
+    now: Column,
+    new: DataFrame | None = None,
+    language: Column | None = None,
+    model: str | None = None,
+) -> DataFrame:
+    """Corrected or enhanced notes from cached and newly arrived replies, by the key of ``requests.rewrite_requests`` for the
+    same language and model."""
+    return rewrite(notes, cache.reply_table(cached, now, new), kind, language, model)
 
 
 def store(cached: DataFrame, new: DataFrame, now: Column, ttl_ms: int = params.CACHE_TTL_MS) -> DataFrame:
@@ -119,11 +165,13 @@ def store(cached: DataFrame, new: DataFrame, now: Column, ttl_ms: int = params.C
     return cache.upsert(cached.select("key", "ts", "ttl_ms", "value"), entries)
 
 
-def rewrite(notes: DataFrame, reply_table: DataFrame, kind: str) -> DataFrame:
+def rewrite(
+    notes: DataFrame, reply_table: DataFrame, kind: str, language: Column | None = None, model: str | None = None
+) -> DataFrame:
     """Corrected or enhanced notes under their derived path; sections without a usable reply stay as they were.
 
-    ``reply_table`` has ``(key, raw_reply)``, keys being those of ``requests.rewrite_requests``, or
-    ``(path, section_no, raw_reply)``. Replies are gathered per note, and each text is joined once, cut, replaced and put
+    ``reply_table`` has ``(key, raw_reply)``, keys being those of ``requests.rewrite_requests`` for the same language and
+    model, or ``(path, section_no, raw_reply)``. Replies are gathered per note, and each text is joined once, cut, replaced and put
     together in its row. Of several replies to a section the least one counts.
     """
     accept, suffix = {
@@ -134,7 +182,7 @@ def rewrite(notes: DataFrame, reply_table: DataFrame, kind: str) -> DataFrame:
     parts = sections.rewrite_parts(trimmed=kind == "correct")
     answered = reply_table
     if "key" in reply_table.columns:
-        keys = F.transform(parts, lambda s: requests.rewrite_key(kind, s))
+        keys = F.transform(parts, lambda s: requests.rewrite_key(kind, s, language, model))
         asked = md.select("path", F.posexplode(keys).alias("section_no", "key"))
         answered = requests.attach_replies(asked, reply_table, ["path", "section_no"])
     one = answered.where(F.col("raw_reply").isNotNull()).groupBy("path", F.col("section_no").cast("int").alias("section_no"))

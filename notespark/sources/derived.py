@@ -116,11 +116,11 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def section_replies(sections: DataFrame) -> DataFrame:
-    """One spelling reply per distinct section text, keyed like its request; the shape follows its length, and so does
-    the ``third`` that ``aged`` deals out."""
+def section_replies(sections: DataFrame, language: Column | None = None) -> DataFrame:
+    """One spelling reply per distinct section text and language, keyed like its request; the shape follows its length, and
+    so does the ``third`` that ``aged`` deals out."""
     reply = _reply(F.length("section") % 6, _finding_json(_first_word(F.col("section"))))
-    by_key = sections.groupBy(section_key(F.col("section")).alias("key"))
+    by_key = sections.groupBy(section_key(F.col("section"), language).alias("key"))
     return by_key.agg(F.min(reply).alias("raw_reply"), F.min(F.length("section") % 3).alias("third"))
 
 
@@ -137,8 +137,9 @@ def aged(answers: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     return cached, answers.where("third = 2").select("key", "raw_reply")
 
 
-def section_key(section: Column) -> Column:
-    return native_spell_key(F.lit(params.LANGUAGE), section, params.PROMPT_VARIANT, params.CHECK_MODEL)
+def section_key(section: Column, language: Column | None = None) -> Column:
+    language = F.lit(params.LANGUAGE) if language is None else language
+    return native_spell_key(language, section, params.PROMPT_VARIANT, params.CHECK_MODEL)
 
 
 def link_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,3 +223,18 @@ def reply_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(params.CACHE_TTL_MS).cast("long").alias("ttl_ms"),
     )
     return entries.groupBy("key").agg(F.max(F.struct("ts", "value", "ttl_ms")).alias("e")).select("key", "e.*")
+
+
+def path_code(path: Column) -> Column:
+    """24 bits that follow a path."""
+    return F.conv(F.substring(F.md5(path.cast("binary")), 1, 6), 16, 10).cast("long")
+
+
+def link_judgement(path: Column) -> Column:
+    """A link reply that follows the path: refused for a seventh of them."""
+    code = path_code(path)
+    return F.concat(
+        F.lit('{"shouldLink":'), F.when(code % 7 == 0, "false").otherwise("true"),
+        F.lit(',"relevance":'), (code % 101 / 100.0).cast("decimal(3,2)").cast("string"),
+        F.lit(',"connectionType":"'), F.when(code % 4 == 0, "conceptual").otherwise("complementary"), F.lit('","reasoning":"r"}'),
+    )

@@ -271,7 +271,8 @@ view(
 )
 view(
     "pending_checks",
-    "select 'spell:en:sonar:standard:'||sha256(section) as key, min(path) path from packs where length(section) % 3 <> 0 group by 1",
+    """select 'spell:'||lang||':sonar:standard:'||sha256(section) as key, min(path) path from packs join (select path, lang from md) using (path)
+where length(section) % 3 <> 0 group by 1""",
     NOTES, PACKED,
     recursive=True,
 )
@@ -474,6 +475,19 @@ from packs p join md using (path)""",
     NOTES, PACKED,
     recursive=True,
 )
+_SHORT, _FRENCH = "Spelling of {language}: JSON only.", "JSON seulement ({language})."
+view(
+    "template_requests",
+    f"""select path, section_no, 'spell:'||lang||':{params.CHECK_MODEL}:'||variant||':'||sha256(section) as key,
+  case when variant = 'short' and lang = 'de' then {body("check", params.CHECK_MODEL, "'Nur JSON.'", user(rq.CHECK_USER) + "||section[1:5000]")}
+  when variant = 'short' then {body("check", params.CHECK_MODEL, system(_SHORT), user(rq.CHECK_USER) + "||section[1:5000]")}
+  when variant = 'standard' and lang = 'fr' then {body("check", params.CHECK_MODEL, system(_FRENCH), user(rq.CHECK_USER) + "||section[1:5000]")}
+  when variant = 'standard' then {body("check", params.CHECK_MODEL, system(rq.CHECK_TEMPLATES["standard"]), user(rq.CHECK_USER) + "||section[1:5000]")}
+  else {body("check", params.CHECK_MODEL, system(rq.CHECK_TEMPLATES["superprompt"]), user(rq.CHECK_USER) + "||section[1:5000]")} end body
+from packs join (select path, lang, (['standard', 'superprompt', 'short'])[doc_id % 3 + 1] variant from md) using (path)""",
+    NOTES, PACKED,
+    recursive=True,
+)
 view(
     "theme_requests",
     f"""select chunk_no, 'themes:{params.THEME_MODEL}:'||sha256(names) as key,
@@ -589,6 +603,16 @@ rewritten("correct", "length(clean) > 50", "corrected", "corrected_notes")
 rewritten("enhance", "starts_with(clean, '#')", "enhanced", "enhanced_notes")
 rewritten("correct", "length(clean) > 50", "corrected", "corrected_cached", "length(section) % 3 <> 1")
 
+view(
+    "links_cached",
+    """select path, basename title, relevance, connection_type from (
+  select path, basename, code % 101 / 100.0 relevance, case when code % 4 = 0 then 'conceptual' else 'complementary' end connection_type
+  from (select path, basename, ('0x' || substr(md5(path), 1, 6))::bigint code from md where path <> (select path from anchor))
+  where code % 3 <> 1 and code % 7 <> 0)
+where relevance > 0.3 order by relevance desc, path limit 20""",
+    NOTES,
+)
+
 # --- cache -------------------------------------------------------------------------------------------------
 
 LOG = """
@@ -708,6 +732,25 @@ from md m left join (select path, string_agg(rule, ' ' order by line, rule) rule
     NOTES, WHOLE, lint("whole"),
 )
 
+view(
+    "check_mixed",
+    f""", offsets as (select path, section_no, coalesce(sum({lines("section")} + 1)
+  over (partition by path order by section_no rows between unbounded preceding and 1 preceding), 0) line_offset from packs)
+select f.path, f.section_no, 'issue' kind, row_number() over (partition by f.path, f.section_no order by f.line, f.rule) - 1 pos,
+  f.issue what, m.mode, cast(f.line + case mode when 'full' then o.line_offset when 'incremental' then newlines_before + 1 else 0 end as bigint) line,
+  cast(case when mode = 'full' then (select arg_max(p.exact + f.line - p.packed, p.packed) from spots p
+    where p.path = f.path and p.section_no = f.section_no and p.packed <= f.line) else f.line + newlines_before end as bigint) line_exact
+from lint_rows f join mixed m on m.path = f.path and m.section_no = f.section_no
+left join offsets o on o.path = f.path and o.section_no = f.section_no and m.mode = 'full'""",
+    NOTES, PACKED, FIXED,
+    """modes as (select path, content, (['full', 'incremental', 'auto'])[doc_id % 3 + 1] mode from md),
+mixed as (select path, cast(section_no as bigint) section_no, section, mode, 0 newlines_before from packs join (select path, mode from modes) using (path) where mode = 'full'
+  union all select path, section_no, section, mode, newlines_before from cuts join (select path, mode from modes) using (path) where mode = 'incremental'
+  union all select path, 0, content[1:5000], mode, 0 from modes where mode = 'auto')""",
+    lint("mixed"),
+    recursive=True,
+)
+
 # --- links -------------------------------------------------------------------------------------------------
 
 WEIGHTS = rf"""
