@@ -161,9 +161,13 @@ def to_store(cache: DataFrame) -> DataFrame:
     return cache.select("key", entry.alias("entry"))
 
 
+def entry_fields(entry: Column) -> Column:
+    return F.from_json(entry, "value string, timestamp bigint, ttl bigint")
+
+
 def from_store(stored: DataFrame) -> DataFrame:
     """Back to cache rows; entries that cannot be read are dropped instead of failing the load."""
-    e = F.from_json("entry", "value string, timestamp bigint, ttl bigint")
+    e = entry_fields(F.col("entry"))
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     return (
         stored.select("key", e.alias("e"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from notespark.operators import (
     vector_index,
 )
 from notespark.plans import flows
+from notespark.session import ensure_checkpoint_dir
+from notespark.sources import cache_store as store
 from notespark.sources import derived
 from notespark.sources.notes import derived_notes
 
@@ -686,6 +689,39 @@ def cache_reload(spark, sf_dir):
     return cache.from_store(cache.to_store(log).unionByName(props)).select("key", "value", "ttl_ms")
 
 
+def _saved_store(spark, sf_dir) -> str:
+    """A store of a cache log in the shared checkpoint folder, saved twice and compacted in between."""
+    ensure_checkpoint_dir(spark)
+    target = f"{spark.sparkContext.getCheckpointDir()}/cache-{uuid4().hex}"
+    sets = derived.cache_log(spark, sf_dir).where("op = 'set'")
+    # The store keeps milliseconds; the number of the event tells which of several within one is the last.
+    whole = F.date_trunc("millisecond", "ts").cast("timestamp_ntz")
+    entries = cache.upsert(sets.limit(0).select("key", "ts", "event_id", "ttl_ms", "value"), sets.select("key", "ts", "event_id", "ttl_ms", "value"), ("ts", "event_id"))
+    early, late = sets.where(F.col("ts") < _now("2024-01-15")), entries.where(F.col("ts") >= _now("2024-01-15"))
+    early = cache.upsert(early.limit(0).select("key", "ts", "event_id", "ttl_ms", "value"), early.select("key", "ts", "event_id", "ttl_ms", "value"), ("ts", "event_id"))
+    store.save(early.withColumn("ts", whole), target)
+    store.save(late.withColumn("ts", whole), target)
+    store.compact(spark, target)
+    return target
+
+
+@query
+def cache_saved_twice(spark, sf_dir):
+    """A store after two saves and a compaction, read again."""
+    return store.load(spark, _saved_store(spark, sf_dir)).select("key", "value", "ttl_ms")
+
+
+@query
+def cache_store_lookup(spark, sf_dir):
+    """``cache_lookup`` against the store on disk."""
+    asked = derived.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"),
+        F.concat(F.lit("spell:en:"), F.col("o_custkey").cast("string"), F.lit(":standard")).alias("key"),
+    )
+    found = store.look_up(asked, _saved_store(spark, sf_dir), _now(CACHE_NOW), ["request_id"])
+    return found.select("request_id", "key", "status", "value")
+
+
 @query
 def pending_requests(spark, sf_dir):
     notes = _md_notes(spark, sf_dir).select("path", derived.section_key(F.col("content")).alias("key"))

@@ -643,6 +643,7 @@ from (select *, last_value(case when op = 'set' then {{'ts': ts, 'ttl_ms': ttl_m
   over (partition by key order by ts, event_id rows between unbounded preceding and current row) s from log) where op = 'get'""",
     LOG,
 )
+view("cache_saved_twice", "select key, value, ttl_ms from cache", LOG, CACHE)
 view("cache_upsert", "select key, event_id, ttl_ms, value from cache", LOG, CACHE)
 view(
     "cache_invalidate",
@@ -826,3 +827,4 @@ ORACLES["embedding_links"] = """
 with a as (select cast(embedding as double[]) q from embeddings where vec_id = (select min(vec_id) from embeddings))
 select vec_id, cast(label as bigint) label, round(list_cosine_similarity(cast(embedding as double[]), q), 6) similarity
 from embeddings, a where vec_id <> (select min(vec_id) from embeddings) order by similarity desc, vec_id limit 20"""
+ORACLES["cache_store_lookup"] = ORACLES["cache_lookup"]

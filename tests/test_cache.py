@@ -106,6 +106,69 @@ def test_store_round_trip_drops_unreadable_entries(spark, tmp_path):
     assert cache.from_store(bad).count() == 0
 
 
+def store_rows(spark, target, **options):
+    return {(r.key, r.value, r.ts, r.ttl_ms) for r in cache_store.load(spark, target, **options).collect()}
+
+
+def stored_files(target):
+    return {f.name for f in target.iterdir() if f.name.endswith(".parquet")}
+
+
+def test_store_is_saved_again_and_again(spark, tmp_path):
+    target = str(tmp_path / "store")
+    old = spark.createDataFrame([(f"k{i}", f"old{i}", at(i), 1000) for i in range(50)], SCHEMA)
+    new = spark.createDataFrame(
+        [(f"k{i}", f"new{i}", at(100 + i), 1000) for i in range(0, 70, 2)] + [("k1", "late", at(0), 1), ("k3", "same", at(3), 2)], SCHEMA
+    )
+    cache_store.save(old, target, buckets=4)
+    before = stored_files(tmp_path / "store")
+    cache_store.save(new, target, buckets=4)
+    want = {(r.key, r.value, r.ts, r.ttl_ms) for r in cache.upsert(old, new).collect()} - {("k3", "old3", at(3), 1000)}
+    assert store_rows(spark, target, buckets=4) == want | {("k3", "same", at(3), 2)}
+    assert before < stored_files(tmp_path / "store")  # nothing was rewritten
+    cache_store.remove(spark.createDataFrame([("k2",), ("k5",), ("none",)], "key string"), target, buckets=4)
+    cache_store.invalidate(spark, target, "^k1[0-9]$", buckets=4)
+    kept = {r for r in want | {("k3", "same", at(3), 2)} if r[0] not in ("k2", "k5") and not (len(r[0]) == 3 and r[0][1] == "1")}
+    assert store_rows(spark, target, buckets=4) == kept
+    cache_store.save(spark.createDataFrame([("k5", "again", at(1), 5)], SCHEMA), target, buckets=4)
+    assert store_rows(spark, target, buckets=4) == kept | {("k5", "again", at(1), 5)}
+
+
+def test_compaction_rewrites_touched_buckets_only(spark, tmp_path):
+    target, folder = str(tmp_path / "store"), tmp_path / "store"
+    cache_store.save(spark.createDataFrame([(f"k{i}", "a", at(i), 1000) for i in range(200)], SCHEMA), target, buckets=8)
+    whole = stored_files(folder)
+    assert len(whole) == 8 and cache_store.compact(spark, target, buckets=8) == []
+    cache_store.save(spark.createDataFrame([("k7", "b", at(500), 1000)], SCHEMA), target, buckets=8)
+    rows = store_rows(spark, target, buckets=8)
+    (touched,) = cache_store.compact(spark, target, buckets=8)
+    assert store_rows(spark, target, buckets=8) == rows and ("k7", "b", at(500), 1000) in rows
+    left = stored_files(folder)
+    assert len(left) == 8 and len(whole & left) == 7
+    cache_store.save(spark.createDataFrame([(f"k{i}", "c", at(400), 10) for i in range(200)], SCHEMA), target, buckets=8)
+    now = F.lit(at(501)).cast("timestamp_ntz")
+    assert len(cache_store.compact(spark, target, now, buckets=8)) == 8
+    assert store_rows(spark, target, buckets=8) == {("k7", "b", at(500), 1000)}
+
+
+def test_store_is_not_shuffled_for_a_look_up(spark, tmp_path):
+    target = str(tmp_path / "store")
+    cache_store.save(spark.createDataFrame([(f"k{i}", "a", at(i), 1000) for i in range(300)], SCHEMA), target, buckets=8)
+    cache_store.save(spark.createDataFrame([(f"k{i}", "b", at(400), 1000) for i in range(9)], SCHEMA), target, buckets=8)
+    asked = spark.range(500).select(F.col("id").alias("request_id"), F.concat(F.lit("k"), "id").alias("key"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = cache_store.look_up(asked, target, F.lit(at(401)).cast("timestamp_ntz"), ["request_id"], buckets=8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1  # of the requests
+        values = {r.request_id: (r.status, r.value) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert values[3] == ("hit", "b") and values[20] == ("hit", "a") and values[400] == ("miss", None)
+
+
 def test_reply_feed_keeps_the_last_readable_reply(spark, tmp_path):
     replies, log, progress = (str(tmp_path / d) for d in ("replies", "log", "progress"))
 
