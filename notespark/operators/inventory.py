@@ -28,10 +28,29 @@ def flag_excluded(files: DataFrame, excluded=params.EXCLUDED_EXTENSIONS) -> Data
     return files.withColumn("excluded", is_excluded(F.col("extension"), excluded))
 
 
+def flag_excluded_by_table(files: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """``flag_excluded`` with a list of any length as a table ``(extension)``, its entries taken as they are.
+
+    Files are many and extensions few: the different ones are looked up once each, and whether that small result is
+    broadcast is left to the engine, by its bytes.
+    """
+    listed = exclusions.select(F.col("extension").alias("_own")).where("_own is not null").distinct().withColumn("excluded", F.lit(True))
+    own = files.select(F.lower("extension").alias("_own")).distinct()
+    known = own.join(listed, "_own", "left_semi").withColumn("excluded", F.lit(True))
+    flagged = files.withColumn("_own", F.lower("extension")).join(known, "_own", "left")
+    return flagged.select(*files.columns, F.coalesce("excluded", F.lit(False)).alias("excluded"))
+
+
 def included(files: DataFrame, excluded=params.EXCLUDED_EXTENSIONS) -> DataFrame:
     return files.where(~is_excluded(F.col("extension"), excluded))
 
 
+def included_by_table(files: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """Files whose extension is in no row of the table ``(extension)``: an anti-join on the lower-cased extension."""
+    listed = exclusions.select(F.col("extension").alias("_own")).where("_own is not null").distinct()
+    return files.withColumn("_own", F.lower("extension")).join(listed, "_own", "left_anti").drop("_own")
+
+
 def markdown(files: DataFrame, excluded=params.EXCLUDED_EXTENSIONS) -> DataFrame:
     """Included files whose extension is exactly ``md``; ``MD`` is included but not markdown."""
     return included(files, excluded).where(F.col("extension") == "md")

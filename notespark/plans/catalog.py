@@ -28,13 +28,14 @@ from notespark.plans import flows
 from notespark.session import ensure_checkpoint_dir
 from notespark.sources import cache_store as store
 from notespark.sources import derived
-from notespark.sources.notes import derived_notes
+from notespark.sources.notes import derived_notes, read_snapshot, update_snapshot, write_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 CACHE_NOW = "2024-01-31 00:00:00"
 CACHED_NOW = "2024-02-01 00:00:00"
+SNAPSHOT_PARTS = 16
 PENDING_NOW = "2024-01-02 06:00:00"
 EXCLUSION_SETTING = "pdf, PNG ,Txt, md5,"
 
@@ -102,6 +103,26 @@ def exclusion_setting(spark, sf_dir):
     return flagged.select("path", "extension", "excluded")
 
 
+def _long_exclusion_list(spark, sf_dir) -> DataFrame:
+    """A list of many thousand entries: the words of part names, the keys of customers, and two extensions in use."""
+    names = derived.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("extension"))
+    customers = derived.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("extension"))
+    used = derived.files(spark, sf_dir).where(F.col("extension").isin("txt", "PNG")).select(F.lower("extension").alias("extension"))
+    return names.union(customers).union(used)
+
+
+@query
+def exclusion_table(spark, sf_dir):
+    return inventory.flag_excluded_by_table(derived.files(spark, sf_dir), _long_exclusion_list(spark, sf_dir)).select(
+        "path", "extension", "excluded"
+    )
+
+
+@query
+def included_by_table(spark, sf_dir):
+    return inventory.included_by_table(derived.files(spark, sf_dir), _long_exclusion_list(spark, sf_dir)).select("path", "extension")
+
+
 @query
 def md_candidates(spark, sf_dir):
     return inventory.markdown(derived.files(spark, sf_dir)).select("path", "basename")
@@ -825,3 +846,15 @@ def embedding_links(spark, sf_dir):
 def vector_links_many(spark, sf_dir):
     """The 20 nearest vectors of every fiftieth one, through the cell index over all."""
     return vector_index.nearest(derived.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def snapshot_updated(spark, sf_dir):
+    """A written vault whose every two hundredth note was fixed in place, read again."""
+    ensure_checkpoint_dir(spark)
+    target = f"{spark.sparkContext.getCheckpointDir()}/vault-{uuid4().hex}"
+    vault = derived.notes(spark, sf_dir).select("doc_id", "path", "content")
+    write_snapshot(vault, target, SNAPSHOT_PARTS)
+    chosen = read_snapshot(spark, target).where((F.col("doc_id") % 200 == 0) & F.endswith("path", F.lit(".md")))
+    update_snapshot(chosen.select("path", md.safe_fix(F.col("content")).alias("content")), target, SNAPSHOT_PARTS)
+    return read_snapshot(spark, target).select("path", "content")

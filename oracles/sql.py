@@ -67,6 +67,10 @@ view(
 from notes""",
     NOTES,
 )
+LISTED = """listed as (select unnest(string_split(p_name, ' ')) own from part union all select c_custkey::varchar from customer
+  union all select lower(extension) from notes where extension in ('txt', 'PNG'))"""
+view("exclusion_table", "select path, extension, lower(extension) in (select own from listed where own is not null) excluded from notes", NOTES, LISTED)
+view("included_by_table", "select path, extension from notes where lower(extension) not in (select own from listed where own is not null)", NOTES, LISTED)
 view("md_candidates", "select path, basename from md", NOTES)
 view(
     "anchor_candidates",
@@ -723,6 +727,15 @@ view(
     regexp_replace(regexp_replace(z[1], ' +,', ',', 'g'), '\n{{3,}}', chr(10)||chr(10), 'g') || coalesce(z[2], '')), '') as content from md""",
     NOTES,
 )
+view(
+    "snapshot_updated",
+    rf""", fixed as (select path, array_to_string(list_transform(list_zip(regexp_split_to_array(content, '{PROTECTED}'),
+    regexp_extract_all(content, '{PROTECTED}')), lambda z:
+    regexp_replace(regexp_replace(z[1], ' +,', ',', 'g'), '\n{{3,}}', chr(10)||chr(10), 'g') || coalesce(z[2], '')), '') as content
+  from md where doc_id % 200 = 0)
+select n.path, coalesce(f.content, n.content) as content from notes n left join fixed f on f.path = n.path""",
+    NOTES,
+)
 view(
     "lint_applied",
     """select m.path, case when coalesce(l.rules, '') = '' then m.content else list_reduce(list_prepend(to_json({'t': m.content}),
