@@ -16,6 +16,9 @@ from notespark.session import cut_lineage
 
 MARK = r"[\x{064B}-\x{0652}]"
 _MARK_RANGE = ("\u064b", "\u0652")
+NO_MARK = r"[^\x{064B}-\x{0652}]+"
+# Share of the established words, the most frequent ones, that are asked first for words at distance two.
+FIRST_SHARE = 0.1
 _ARABIC = r"[\x{0600}-\x{06FF}]"
 
 
@@ -185,6 +188,85 @@ def candidates(lex: DataFrame, notes: DataFrame, min_confidence: float = params.
     )
 
 
+def _shortened(words: DataFrame) -> DataFrame:
+    """One row per word and way of leaving out none, one or two of its letters, with a 64-bit ``key`` of what is left."""
+    word, i, j, n = F.col("word"), F.col("_i"), F.col("_j"), F.length("word")
+    part = lambda first, last: F.substring(word, first, last - first + 1)
+    left = (
+        F.when(j == 0, word)
+        .when(i == 0, F.concat(part(F.lit(1), j - 1), part(j + 1, n)))
+        .otherwise(F.concat(part(F.lit(1), i - 1), part(i + 1, j - 1), part(j + 1, n)))
+    )
+    second = F.when(i == 0, F.sequence(F.lit(0), n)).when(i < n, F.sequence(i + 1, n))
+    ways = words.withColumn("_i", F.explode(F.sequence(F.lit(0), n))).withColumn("_j", F.explode(second))
+    return ways.withColumn("key", F.xxhash64(left)).drop("_i", "_j")
+
+
+def _best_within_two(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``(lang, word, number)``: the best established word at distance one or two of each asked word.
+
+    Two words at distance two or less have a form in common that leaves out at most two letters of each. Words that meet
+    by their keys are compared; vowel marks must be the same in both, so an edit is never one of marks.
+    """
+    marks = lambda c: F.regexp_replace(c, NO_MARK, "")
+    index = _shortened(known.select("lang", "number", "word")).withColumnRenamed("word", "_known")
+    return (
+        _shortened(asked)
+        .join(index, ["lang", "key"])
+        .where(F.levenshtein("word", "_known", 2).between(1, 2) & (marks(F.col("word")) == marks(F.col("_known"))))
+        .groupBy("lang", "word")
+        .agg(F.min("number").alias("number"))
+    )
+
+
+def candidates_within_two(
+    lex: DataFrame, notes: DataFrame, min_confidence: float = params.MIN_CONFIDENCE, first_share: float = FIRST_SHARE
+) -> DataFrame:
+    """``candidates``, and for suspects that have none the best established word at distance two, with ``distance``.
+
+    The confidence is ``1 - distance/length``, so at distance two the gate leaves words of eight letters or more. Best is
+    the more frequent, then the spelling. The index of shortened forms is dealt over tasks by its keys. It is asked twice:
+    first only for the most frequent ``first_share`` of established words; a suspect that finds one there needs no other,
+    for those after it are less frequent, and just the rest goes on to the long lists of rare words. Pairs that share no
+    form are not compared, and none at distance two is lost.
+
+    Runs jobs: lexicon, numbered established words and both answers are checkpointed.
+    """
+    lex = cut_lineage(lex)
+    near = candidates(lex, notes, min_confidence).withColumn("distance", F.lit(1).cast("long"))
+    order = [F.desc("n"), F.asc("word"), F.asc("lang")]
+    ranked = established(lex).select("lang", "n", "word").repartitionByRange(*order).sortWithinPartitions(*order)
+    known = cut_lineage(ranked).withColumn("number", F.monotonically_increasing_id())
+    place = ("line", "text_a", "text_b")
+    gate = 1 - 2 / F.length("word") >= min_confidence
+    done = near.select("lang", F.col("original").alias("word"))
+    left = suspects(lex, min_confidence).where(gate).join(done, ["lang", "word"], "left_anti").select("lang", "word", *place)
+    left = cut_lineage(left)
+    bound = (known.approxQuantile("number", [first_share], 0.01) or [0.0])[0]
+    asked = left.select("lang", "word")
+    early = cut_lineage(_best_within_two(asked, known.where(F.col("number") <= bound)))
+    late = _best_within_two(asked.join(early, ["lang", "word"], "left_anti"), known.where(F.col("number") > bound))
+    best = known.select("number", F.col("word").alias("suggested"), F.col("n").alias("frequency"))
+    paths = notes.select("lang", "path", *_text_id(F.col("content")))
+    two = (
+        early.unionByName(late)
+        .join(best, "number")
+        .join(left, ["lang", "word"])
+        .join(paths, ["lang", "text_a", "text_b"])
+        .select(
+            "lang",
+            F.col("word").alias("original"),
+            "suggested",
+            "frequency",
+            F.round(1 - 2 / F.length("word"), 4).alias("confidence"),
+            "path",
+            F.col("line").cast("long").alias("line"),
+            F.lit(2).cast("long").alias("distance"),
+        )
+    )
+    return near.unionByName(two)
+
+
 def keep(original: Column, suggested: Column, confidence: Column, min_confidence: float = params.MIN_CONFIDENCE) -> Column:
     """Gate for corrections from any source: sure enough, a real change, and more than a change of marks."""
     bare = lambda c: F.regexp_replace(c, MARK, "")

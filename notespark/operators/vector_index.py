@@ -29,6 +29,8 @@ SAMPLE_ROWS, MAX_CELLS, ROUNDS = 16_384, 1024, 8
 # Sampled rows that are compared with the whole sample to see how many cells a query needs for this share of its nearest.
 TRIALS, WANTED_SHARE = 512, 0.97
 BLOCK_ROWS, PACK_QUERIES = 4096, 256
+# Queries whose best rows a task holds before it hands them on.
+HELD_QUERIES = 65_536
 
 
 @dataclass
@@ -91,33 +93,43 @@ def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def write_cells(vectors: DataFrame, cells: Cells, folder: str) -> None:
-    """Every row under its cell, in blocks of at most ``BLOCK_ROWS``: ``cell, block, ids, vectors``.
+    """Every row under its cell, in blocks of at most ``BLOCK_ROWS``: ``cell, ids, vectors``.
 
-    Rows of a cell are dealt over blocks by the row's number within its task, so a cell that holds a large share of all
-    rows (copies of one vector, say) is many blocks and never one task.
+    Rows are ordered by cell and number over all tasks, so a cell that holds a large share of the rows (copies of one vector,
+    say) is many blocks in many tasks.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit = unit_rows(_matrix(b.column("embedding"), b.num_rows))
-            cell = shared.value.order(unit)[:, 0] if b.num_rows else np.zeros(0, int)
-            order = np.argsort(cell, kind="stable")
-            bounds = np.flatnonzero(np.diff(cell[order], prepend=-1)).tolist() + [len(order)]
-            for first, last in zip(bounds, bounds[1:]):
-                for at in range(first, last, BLOCK_ROWS):
-                    part = order[at : min(at + BLOCK_ROWS, last)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(cell[part[0]])], pa.int32()),
-                            pa.array([b.column("vec_id").take(pa.array(part)).to_pylist()], pa.list_(pa.int64())),
-                            pa.array([unit[part].tobytes()], pa.binary()),
-                        ],
-                        ["cell", "ids", "vectors"],
-                    )
-
-    spread = vectors.select("vec_id", "embedding").mapInArrow(placed, "cell int, ids array<long>, vectors binary")
-    spread.withColumn("block", F.monotonically_increasing_id()).write.parquet(folder)
+            if b.num_rows:
+                unit = unit_rows(_matrix(b.column("embedding"), b.num_rows))
+                cell = np.argmax(unit @ shared.value.centres.T, axis=1).astype(np.int32)
+                rows = pa.array([r.tobytes() for r in unit], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column("vec_id"), rows], ["cell", "vec_id", "unit"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([b])])
+            while len(held):
+                cell = held["cell"].to_numpy()
+                many = min(int(np.searchsorted(cell, cell[0], "right")), BLOCK_ROWS)
+                if many == len(held) < BLOCK_ROWS:
+                    break  # more of this cell may follow
+                yield block(held[:many])
+                held = held[many:]
+        if held:
+            yield block(held)
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        ids, unit = rows["vec_id"].to_pylist(), b"".join(rows["unit"].to_pylist())
+        columns = [pa.array([rows["cell"][0].as_py()], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([unit], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["cell", "ids", "vectors"])
+
+    rows = vectors.select("vec_id", "embedding").mapInArrow(placed, "cell int, vec_id long, unit binary")
+    ordered = rows.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id")
+    ordered.mapInArrow(packed, "cell int, ids array<long>, vectors binary").write.parquet(folder)
 
 
 def nearest(
@@ -130,7 +142,7 @@ def nearest(
     looks into all cells. Rows without a cosine (null, zero or non-finite) take no part. Ties by ``vec_id``.
 
     Runs jobs: the sample, and blocks of rows, written to the shared checkpoint folder. Queries go to cells in packs; a pack
-    meets one cell's blocks one after the other, and sends the best of each, so no task holds a cell or all of its queries.
+    meets one cell's blocks one after the other; a task hands on the best of all that it has compared a query with.
     """
     spark = vectors.sparkSession
     ensure_checkpoint_dir(spark)
@@ -162,21 +174,32 @@ def nearest(
     packs = queries.mapInArrow(ask, "cell int, queries array<long>, asked binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def told() -> pa.RecordBatch:
+            query = np.repeat(np.array([*best], np.int64), [len(ids) for ids, _ in best.values()])
+            columns = [query, *(np.concatenate(c) for c in zip(*best.values()))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "similarity"])
+
         for b in batches:
             for i in range(b.num_rows):
                 ids, queries = (b.column(c)[i].values.to_numpy() for c in ("ids", "queries"))
                 m, q = (np.frombuffer(b.column(c)[i].as_py()).reshape(len(n), -1) for c, n in (("vectors", ids), ("asked", queries)))
-                alike = np.round(q @ m.T, 6)
-                out = []
-                for k, own in enumerate(alike):
-                    at = np.flatnonzero(ids != queries[k])
+                for query, own in zip(queries.tolist(), np.round(q @ m.T, 6)):
+                    at = np.flatnonzero(ids != query)
                     if len(at) > top:
                         at = at[own[at] >= np.partition(own[at], len(at) - top)[len(at) - top]]
-                    at = at[np.lexsort((ids[at], -own[at]))][:top]
-                    out.append((np.full(len(at), queries[k]), ids[at], own[at]))
-                columns = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "similarity"])
-
-    found = packs.join(blocks.drop("block"), "cell").mapInArrow(compare, "query_id long, vec_id long, similarity double")
+                    near, alike = ids[at], own[at]
+                    if query in best:
+                        near, alike = np.append(best[query][0], near), np.append(best[query][1], alike)
+                    first = np.lexsort((near, -alike))[:top]
+                    best[query] = near[first], alike[first]
+                if len(best) >= HELD_QUERIES:
+                    yield told()
+                    best.clear()
+        if best:
+            yield told()
+
+    found = packs.join(blocks, "cell").mapInArrow(compare, "query_id long, vec_id long, similarity double")
     ranked = first_per_key(found, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], top)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "similarity")

@@ -775,6 +775,12 @@ def spell_candidates(spark, sf_dir):
     return spelling.candidates(spelling.lexicon(notes), notes)
 
 
+@query
+def spell_candidates_two(spark, sf_dir):
+    notes = _md_notes(spark, sf_dir)
+    return spelling.candidates_within_two(spelling.lexicon(notes), notes)
+
+
 @query
 def spell_contexts(spark, sf_dir):
     notes = _md_notes(spark, sf_dir)

@@ -715,6 +715,21 @@ found as (select c.lang, original, suggested, frequency, round(1 - 1.0/length(or
 view("lexicon", "select lang, word, n, n_notes, several from lexicon", NOTES, LEXICON)
 view("suspect_words", "select lang, word from suspects", NOTES, LEXICON)
 view("spell_candidates", "select * from found", NOTES, LEXICON, CANDIDATES)
+# Letters of two bytes become one, for distances are counted in bytes.
+_ONE_BYTE = "translate({}, 'ßäçèéêíñóöü', '0123456789+')"
+view(
+    "spell_candidates_two",
+    f""", spelt as (select *, {_ONE_BYTE.format("word")} bare from lexicon),
+rest as (select s.* from spelt s join suspects using (lang, word) where 1 - 2.0 / length(word) >= 0.75
+  and not exists (select 1 from chosen c where c.lang = s.lang and c.original = word)),
+further as (select lang, original, suggested, frequency from (
+  select s.lang, s.word original, k.word suggested, k.n frequency, row_number() over (partition by s.lang, s.word order by k.n desc, k.word) r
+  from rest s join spelt k on k.several and k.lang = s.lang and abs(length(k.word) - length(s.word)) <= 2 and levenshtein(s.bare, k.bare) = 2) where r = 1)
+select f.*, 1::bigint distance from found f union all
+select c.lang, original, suggested, frequency, round(1 - 2.0 / length(original), 4), m.path, s.first_line, 2
+from further c join suspects s on s.lang = c.lang and s.word = c.original join md m on m.lang = s.lang and md5(m.content) = s.h""",
+    NOTES, LEXICON, CANDIDATES,
+)
 view(
     "spell_contexts",
     "select f.*, string_split(m.content, chr(10))[f.line] context from found f join md m on m.path = f.path",

@@ -8,11 +8,15 @@ from notespark.operators import spelling
 LEXICON = "lang string, word string, n bigint, n_notes bigint, path string, line int, cap int"
 
 
-def candidates(spark, rows):
-    """Lexicon rows with the path they were seen in, which here stands for the text too."""
+def as_tables(spark, rows):
+    """Lexicon, and notes with the path that words were seen in, which here stands for the text too."""
     df = spark.createDataFrame(rows, LEXICON).withColumns(dict(zip(("text_a", "text_b"), spelling._text_id(F.col("path")))))
     lex = df.withColumns({"several": F.col("n_notes") > 1, "most": F.col("n")}).drop("path")
-    return spelling.candidates(lex, df.select("lang", "path", F.col("path").alias("content")).distinct()).collect()
+    return lex, df.select("lang", "path", F.col("path").alias("content")).distinct()
+
+
+def candidates(spark, rows):
+    return spelling.candidates(*as_tables(spark, rows)).collect()
 
 
 def distance(a, b):
@@ -42,6 +46,44 @@ def test_candidates_against_all_pairs(spark):
     assert all(r.confidence == round(1 - 1 / len(r.original), 4) for r in got)
 
 
+def test_candidates_within_two_against_all_pairs(spark):
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abcdé") for _ in range(rng.randint(6, 11))) for _ in range(40)]
+
+    def changed(w):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:i] + rng.choice("abcdé") + w[i:], w[:i] + w[i + 1 :], w[:i] + rng.choice("abcdé") + w[i + 1 :]])
+        return w
+
+    words = sorted({changed(rng.choice(stems)) for _ in range(700)} - {""})
+    lex = []
+    for w in words:
+        known = rng.random() < 0.4
+        lex.append((rng.choice(["en", "de"]), w, rng.randint(2, 5) if known else 1, 2 if known else 1, f"p{len(lex)}", len(lex), 0))
+    expected = {}
+    for i, (lang, w, _, notes, *_) in enumerate(lex):
+        if notes == 1 and len(w) >= 4:
+            most = 2 if len(w) >= 8 else 1
+            near = [(d, -n, k) for kl, k, n, kn, *_ in lex if kl == lang and kn >= 2 and (d := distance(w, k)) <= most]
+            if near:
+                d, _, k = min(near)
+                expected[lang, w] = (k, d, round(1 - d / len(w), 4), f"p{i}", i)
+    assert sum(x[1] == 2 for x in expected.values()) > 20
+    table, notes = as_tables(spark, lex)
+    for share in (0.1, 0.9):
+        got = spelling.candidates_within_two(table, notes, first_share=share).collect()
+        assert {(r.lang, r.original): (r.suggested, r.distance, r.confidence, r.path, r.line) for r in got} == expected
+    assert spelling.candidates_within_two(table.limit(0), notes).count() == 0
+
+
+def test_marks_are_no_edits_at_distance_two(spark):
+    rows = [("ar", "كتابكتاب" + FATHA, 1, 1, "p", 1, 0)]
+    rows += [("ar", k, 5, 2, "p", 1, 0) for k in ("كتابكتا", "كتابكتنن" + FATHA)]
+    got = spelling.candidates_within_two(*as_tables(spark, rows)).collect()
+    assert [(r.suggested, r.distance) for r in got] == [("كتابكتنن" + FATHA, 2)]
+
+
 FATHA, KASRA = "َ", "ِ"
 
 

@@ -56,6 +56,7 @@ def test_clustered_vectors_look_into_few_cells(spark):
 def test_all_cells_are_exact_and_agree_with_one_anchor(spark, monkeypatch):
     monkeypatch.setattr(vector_index, "BLOCK_ROWS", 7)
     monkeypatch.setattr(vector_index, "PACK_QUERIES", 3)
+    monkeypatch.setattr(vector_index, "HELD_QUERIES", 4)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(300 + i, [1.0] * 8) for i in range(60)]
     df = frame(spark, rows)
