@@ -89,16 +89,14 @@ def text_of_bytes(raw: bytes) -> str:
     return raw.decode("utf-8", "each-byte")
 
 
-def runs_of(pieces: Iterable[str]) -> str:
-    """Pattern of the runs into which a text can be cut because no piece goes on from one into the next: marks of
-    punctuation and all else, each with the spaces before it; the whole text if pieces have spaces inside.
-
-    Marks are those of ASCII and every character that stands beside a mark in some piece."""
+def marks_of(pieces: Iterable[str]) -> str | None:
+    """Marks of punctuation, for a character class: those of ASCII and every character that stands beside a mark in some
+    piece, so that no piece has a mark beside any other character but a space. None if pieces have spaces inside."""
     near: dict[str, set[str]] = {}
     for piece in pieces:
         for x, y in pairwise(piece):
             if y == SPACE and x != SPACE:
-                return "(?s).+"
+                return None
             if x != SPACE:
                 near.setdefault(x, set()).add(y)
                 near.setdefault(y, set()).add(x)
@@ -108,8 +106,16 @@ def runs_of(pieces: Iterable[str]) -> str:
         new = near.get(more.pop(), set()) - marks
         marks |= new
         more += new
-    listed = "".join(map(re.escape, sorted(marks)))
-    return f"[ {SPACE}]*(?:[{listed}]+|[^ {SPACE}{listed}]+)|[ {SPACE}]+"
+    return "".join(map(re.escape, sorted(marks)))
+
+
+def runs_of(pieces: Iterable[str]) -> str:
+    """Pattern of the runs into which a text can be cut because no piece goes on from one into the next: marks and all else,
+    each with the spaces before it; the whole text if pieces have spaces inside."""
+    marks = marks_of(pieces)
+    if marks is None:
+        return "(?s).+"
+    return f"[ {SPACE}]*(?:[{marks}]+|[^ {SPACE}{marks}]+)|[ {SPACE}]+"
 
 
 def merge_slowly(text: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str]]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from uuid import uuid4
@@ -19,16 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notespark.llm.common import text_or_empty
-from notespark.llm.piece_encoding import SPACE, Remembered, sha256
+from notespark.llm.piece_encoding import SPACE, Remembered, marks_of, sha256
 from notespark.operators.skew import lookup
 from notespark.session import cut_lineage, ensure_checkpoint_dir
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Texts, and pairs of ids of all of them together, in a block whose counts are looked up at once.
 BLOCK_TEXTS, BLOCK_PAIRS = 1024, 1 << 18
-# A single space between two characters that are none: no token of either tokenizer goes on over it.
-BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
-UNEVEN_SPACES = re.compile(r"\s | \s|^ | $")
+# Where no token of either tokenizer goes on: before a single space between two characters that are none, and, with the
+# marks of the pieces, between a Latin letter or a digit and a mark. The letter stands before a mark of its own.
+CUT = r"(?<=\S)(?= \S)|(?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ])(?<![%s])(?=[%s])"
+LETTER = "x"
 
 
 def byte_level() -> dict[str, int]:
@@ -51,8 +53,8 @@ class Aligned:
 
 
 class Aligner:
-    """Tokenises with both vocabularies and aligns. Texts are cut between words, where no token of either vocabulary goes
-    on; equal words are worked out once."""
+    """Tokenises with both vocabularies and aligns. Texts are cut where no token of either vocabulary goes on; equal runs
+    are worked out once."""
 
     def __init__(self, byte_bpe: str, piece_bpe: bytes) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -70,42 +72,43 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
         ]
-        self.cuttable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
-        self.word = Remembered(self.align_run)
+        plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        marks, before = marks_of(plain), self.b.encode(LETTER)
+        self.cut = re.compile(CUT % (marks, marks)).split if marks and pieces[before[0]] == SPACE + LETTER else lambda text: [text]
+        self.run = Remembered(self.align_run)
         self.width = len(pieces)
 
     def align_run(self, run: str) -> tuple[int, int, int, str, bytes] | None:
-        """Of one run without its leading space; None if the bytes of either side are not those of the text."""
-        a, b = self.a.encode(" " + run, add_special_tokens=False).ids, self.b.encode(run)
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(a_bytes) == b"".join(b_bytes) == (" " + run).encode():
+        """Of one run of a text; None if the bytes of either side are not those of the run.
+
+        B puts a space first. A run that begins with a mark has a letter put before it, which stays a piece of its own.
+        """
+        a = self.a.encode(run, add_special_tokens=False).ids
+        b = self.b.encode(run[1:]) if run[0] == " " else self.b.encode(LETTER + run)[1:]
+        a_bytes, b_bytes, width = self.a_bytes, self.b_bytes, self.width
+        whole = run.encode()
+        if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
             return None
-        links, groups, i, j, a_end, b_end, a_first, b_first = [], [], 0, 0, len(a_bytes[0]), len(b_bytes[0]), 0, 0
-        while True:
-            links.append(a[i] * self.width + b[j])
+        links, groups = [], []
+        rest, own = iter(b), []
+        a_end, b_end, left, now = 0, 0, "", -1
+        for i in a:
+            a_end += len(a_bytes[i])
+            left = f"{left},{i}" if left else str(i)
+            if own and b_end > a_end - len(a_bytes[i]):
+                links.append(i * width + now)  # the token of B that began before
+            while b_end < a_end:
+                now = next(rest)
+                b_end += len(b_bytes[now])
+                own.append(now)
+                links.append(i * width + now)
             if a_end == b_end:
-                groups.append(",".join(map(str, a[a_first : i + 1])) + "|" + ",".join(map(str, b[b_first : j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                a_first, b_first = i, j
-                a_end += len(a_bytes[i])
-                b_end += len(b_bytes[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(a_bytes[i])
-            else:
-                j += 1
-                b_end += len(b_bytes[j])
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, np.int64).tobytes()
-
-    def runs(self, text: str) -> list[str]:
-        if not self.cuttable:
-            return [text]
-        return BETWEEN_WORDS.split(text) if UNEVEN_SPACES.search(text) else text.split(" ")
+                groups.append(left + "|" + ",".join(map(str, own)))
+                left, own = "", []
+        return len(a), len(b), len(groups), ";".join(groups), array("q", links).tobytes()
 
     def align(self, text: str) -> Aligned | None:
-        found = [*map(self.word.__getitem__, self.runs(text))] if text else [None]
+        found = [*map(self.run.__getitem__, self.cut(" " + text))] if text else [None]
         if None in found:
             return None
         n_a, n_b, n_groups, groups, links = zip(*found)
