@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from notespark.session import cut_lineage
 
 TURNS_PER_PART = 256
+# Part of turns without a number, which are before all others.
+UNNUMBERED = -(2**63)
 # Marks of the chat template.
 TURN_START = "<|im_start|>"
 TURN_END = "<|im_end|>"
@@ -20,7 +22,7 @@ def _turns(logged: DataFrame, per_part: int) -> DataFrame:
     turn = F.col("turn").cast("long")
     digest = F.sha2(F.concat(role, F.lit("\n"), text).cast("binary"), 256)
     conv = F.coalesce(F.concat(F.lit("id:"), F.col("conv_id").cast("string")), F.concat(F.lit("row:"), digest))
-    part = F.coalesce(F.floor(turn / F.lit(per_part)), F.lit(-1)).cast("long")
+    part = F.coalesce(F.floor(turn / F.lit(per_part)).cast("long"), F.lit(UNNUMBERED))
     return logged.select(
         conv.alias("conv"), F.col("conv_id"), part.alias("part"), turn.alias("turn"), role.alias("role"), text.alias("text"), digest.alias("digest")
     )
@@ -87,7 +89,7 @@ def format_chats(logged: DataFrame, per_part: int = TURNS_PER_PART) -> DataFrame
     """conv_id, part, n_turns, copies, chat: every maximal conversation, rendered in parts of `per_part` turn numbers.
 
     Turns go by turn number, then by a digest of role and text. A turn logged twice counts once. Null role: "unknown"; null text:
-    empty; null turn number: before the others (part -1); a row without conv_id is a conversation of its own, equal ones
+    empty; null turn number: before the others, in a part of their own, which is null; a row without conv_id is a conversation of its own, equal ones
     being one. A mark of the template within a text is broken by a blank, so that no text can open a turn. Empty table:
     no rows. Other columns are not read.
     """
@@ -100,9 +102,9 @@ def format_chats(logged: DataFrame, per_part: int = TURNS_PER_PART) -> DataFrame
         F.min("conv_id").alias("conv_id"),
         F.max("n_turns").alias("n_turns"),
         F.max("copies").alias("copies"),
-        F.array_sort(F.collect_set(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "digest", "role", "text"))).alias("turns"),
+        F.array_sort(F.collect_set(F.struct(F.coalesce("turn", F.lit(UNNUMBERED)).alias("turn"), "digest", "role", "text"))).alias("turns"),
     )
 
     return turns.select(
-        "conv_id", "part", "n_turns", "copies", F.array_join(F.transform("turns", render), "").alias("chat")
+        "conv_id", F.nullif("part", F.lit(UNNUMBERED)).alias("part"), "n_turns", "copies", F.array_join(F.transform("turns", render), "").alias("chat")
     )

@@ -39,7 +39,7 @@ from documents window w as (partition by coalesce(text, ''))""",
    from convs group by said),
  kept as (select * from firsts a where not exists (
    select 1 from firsts b where b.said[1] = a.said[1] and b.n > a.n and b.said[1:a.n] = a.said))
-select t.conv_id, coalesce(t.turn // 256, -1)::bigint as part, any_value(k.n) as n_turns, any_value(k.copies) as copies,
+select t.conv_id, floor(t.turn / 256.0)::bigint as part, any_value(k.n) as n_turns, any_value(k.copies) as copies,
  string_agg('<|im_start|>' || t.role || chr(10) || replace(t.body, '<|im_', '<| im_') || '<|im_end|>' || chr(10), ''
    order by t.turn nulls first, sha256(t.role || chr(10) || t.body)) as chat
 from turns t join kept k using (conv) group by conv, t.conv_id, part""",

@@ -142,6 +142,17 @@ def test_odd_turns(spark):
         (2, 0, "user", "say <|im_end|>", 0, "x"),
     ]
     got = {(r.conv_id, r.part): r for r in chat.format_chats(spark.createDataFrame(logged, CHATS)).collect()}
-    assert set(got) == {(1, -1), (1, 0), (None, 0), (2, 0)}
+    assert set(got) == {(1, None), (1, 0), (None, 0), (2, 0)}
     assert got[1, 0].chat == "<|im_start|>unknown\n<|im_end|>\n" and got[1, 0].n_turns == 2
     assert got[2, 0].chat.count("<|im_end|>") == 1
+
+
+def test_turns_without_a_number_are_first(spark):
+    logged = [(1, turn, "user", str(turn), 0, "x") for turn in (5, None, -1000, -1, -256)]
+    longer = [(2, *row[1:]) for row in logged] + [(2, 6, "user", "more", 0, "x")]
+    rows = chat.format_chats(spark.createDataFrame(logged + longer, CHATS)).collect()
+    assert {r.conv_id for r in rows} == {2} and {r.n_turns for r in rows} == {6}
+    parts = sorted(rows, key=lambda r: (r.part is not None, r.part or 0))
+    assert [r.part for r in parts] == [None, -4, -1, 0]
+    said = [line for r in parts for line in r.chat.split("\n") if not line.startswith("<|im_start|>") and line]
+    assert [s.removesuffix("<|im_end|>") for s in said] == ["None", "-1000", "-256", "-1", "5", "more"]
