@@ -15,7 +15,7 @@ MATH_BLOCK = r"\$\$[\s\S]*?\$\$"
 MATH_INLINE = r"\$[^$\s][^$\n]*\$"
 WIKI_LINK = r"!?\[\[[^\]\n]*\]\]"
 FOOTNOTE = r"\[\^[^\]\n]+\]:?"
-TABLE_ROW = r"\n\|[^\n]*"
+TABLE_ROW = r"(?:\A|\n)\|[^\n]*"
 HTML_TAG = r"</?[A-Za-z][^>\n]*>"
 BLOCK_ID = r"\s\^[A-Za-z0-9-]+"
 URL = r"https?://[^\s)>\]]+"
@@ -26,7 +26,7 @@ PROTECTED_BUT_URL = "|".join(
 PROTECTED = PROTECTED_BUT_URL + "|" + URL
 
 # Every alternative starts with one of these; testing them first skips most positions at once.
-_STARTS = r"(?=[`$<\[]|!\[|http|\n\||\s\^|\A-)"
+_STARTS = r"(?=[`$<\[]|!\[|http|\n\||\s\^|\A[|-])"
 
 HEADER_BREAK = r"\n(?=##? )"
 

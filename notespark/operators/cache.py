@@ -61,7 +61,7 @@ def look_up(
 ) -> DataFrame:
     """Every request with ``status`` hit, expired or miss and the value of a hit.
 
-    Many requests may carry one key (copies of a note), so the join is salted.
+    Many requests may carry one key (copies of a note); adaptive execution splits such a join.
     """
     if not enabled:
         return requests.withColumn("status", F.lit("miss")).withColumn("value", F.lit(None).cast("string"))

@@ -6,7 +6,7 @@ that works on names never touches the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notespark.functions.text import derived_path
@@ -75,16 +75,17 @@ def derived_notes(texts: DataFrame, suffix: str) -> DataFrame:
 def write_new(notes: DataFrame, target: str, existing: DataFrame | None = None) -> None:
     """Write notes that must be new: fails when the target exists, or when a path is in ``existing`` or comes twice.
 
-    The check is part of the write job: a path is numbered among its equals, and the second one stops it.
+    Paths that come twice are looked for first, over the paths alone; ``existing`` is checked by the write job itself.
     """
     checked = notes
     if existing is not None:
         known = existing.select("path").distinct().withColumn("_known", F.lit(True))
         taken = F.when(F.col("_known"), F.raise_error(F.concat(F.lit("note exists: "), F.col("path"))))
         checked = notes.join(known, "path", "left").withColumn("path", F.coalesce(taken.cast("string"), F.col("path"))).drop("_known")
-    again = F.row_number().over(Window.partitionBy("path").orderBy("path")) > 1
-    twice = F.when(again, F.raise_error(F.concat(F.lit("two notes for "), F.col("path"))))
-    checked.withColumn("path", F.coalesce(twice.cast("string"), F.col("path"))).write.mode("errorifexists").parquet(target)
+    twice = notes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two notes for {twice[0].path}")
+    checked.write.mode("errorifexists").parquet(target)
 
 
 def snapshot(notes: DataFrame, changed: DataFrame) -> DataFrame:

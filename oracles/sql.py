@@ -309,7 +309,7 @@ view(
 
 PROTECTED_BUT_URL = (
     r"""\A---\n[\s\S]*?\n---|```[\s\S]*?```|`[^`\n]+`|\$\$[\s\S]*?\$\$|\$[^$\s][^$\n]*\$|!?\[\[[^\]\n]*\]\]|"""
-    r"""\[\^[^\]\n]+\]:?|\n\|[^\n]*|</?[A-Za-z][^>\n]*>|\s\^[A-Za-z0-9-]+"""
+    r"""\[\^[^\]\n]+\]:?|(?:\A|\n)\|[^\n]*|</?[A-Za-z][^>\n]*>|\s\^[A-Za-z0-9-]+"""
 )
 PROTECTED = PROTECTED_BUT_URL + r"|https?://[^\s)>\]]+"
 

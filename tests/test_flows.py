@@ -101,3 +101,94 @@ def test_limits_can_be_lifted(spark):
     for chars, sent in ((5000, 5000), (None, 7000)):
         r = requests.check_requests(long, chars=chars).first()
         assert json.loads(r.body)["messages"][1]["content"] == "Check: " + "x" * sent and r.truncated == (sent < 7000)
+
+
+def spoken_vault(spark):
+    lang = F.get(F.array(*map(F.lit, ("en", "fr", "de"))), (F.col("id") % 3).cast("int"))
+    notes = spark.range(30).select(
+        F.format_string("f/n%03d.md", "id").alias("path"), F.format_string("n%03d", "id").alias("basename"), F.lit("md").alias("extension"),
+        F.concat(F.lit("same teh text "), (F.col("id") % 5).cast("string")).alias("content"), lang.alias("lang"), "id",
+    )
+    return notes.withColumn("variant", F.when(F.col("id") % 2 == 0, "standard").otherwise("superprompt"))
+
+
+NOW = "2024-02-01"
+NO_CACHE = "key string, value string, ts timestamp_ntz, ttl_ms bigint"
+
+
+def test_each_request_is_answered_under_its_own_key(spark):
+    notes, now = spoken_vault(spark), F.lit(NOW).cast("timestamp_ntz")
+    asked = {"language": F.col("lang"), "variant": F.col("variant"), "model": "other"}
+    none = spark.createDataFrame([], NO_CACHE)
+    keys = flows.check_keys(notes, **asked)
+    assert keys.select("key").distinct().count() == 30  # 3 languages, 2 variants, 5 texts
+    json_reply = '{"corrections":[{"original":"teh","suggested":"the","line":1,"confidence":0.9}]}'
+    new = keys.select("key", F.lit(json_reply).alias("raw_reply")).distinct()
+    for mode in ("full", "incremental", "auto", F.lit("full")):
+        found = flows.check_cached(notes, none, now, new, mode, **asked)
+        assert {r.path for r in found.collect()} == {r.path for r in notes.collect()}
+    assert flows.check_cached(notes, none, now, new, language=F.col("lang")).count() == 0  # another variant and model
+    cached = flows.store(none, new, now)
+    assert flows.pending_checks(notes, cached, now, **asked).count() == 0
+    assert flows.pending_checks(notes, cached, now).count() == 5
+
+
+def test_rewrites_in_other_languages_are_found_again(spark):
+    notes, now = spoken_vault(spark), F.lit(NOW).cast("timestamp_ntz")
+    from notespark.operators import sections
+
+    cut = sections.rewrite_sections(notes, keep=("lang",))
+    asked = requests.rewrite_requests(cut, "correct", F.col("lang"), "other")
+    text = "A corrected text that is long enough to be accepted, in any language."
+    new = asked.select("key", F.lit(text).alias("raw_reply")).distinct()
+    none = spark.createDataFrame([], NO_CACHE)
+    got = flows.rewrite_cached(notes, "correct", none, now, new, F.col("lang"), "other")
+    assert {r.content for r in got.collect()} == {text}
+    assert text not in {r.content for r in flows.rewrite_cached(notes, "correct", none, now, new).collect()}
+
+
+def test_cached_links(spark):
+    notes, now = vault(spark), F.lit(NOW).cast("timestamp_ntz")
+    anchor, candidates = notes.where("path = 'f/n000.md'"), notes.where("path <> 'f/n000.md'")
+    asked = requests.link_requests(anchor, candidates)
+    number = F.regexp_extract("path", "n(\\d+)", 1).cast("int")
+    reply = F.format_string('{"shouldLink": true, "relevance": %.2f}', number / 30)
+    cached = asked.where(number < 25).select(
+        "key", reply.alias("value"), F.when(number < 20, now).otherwise(F.timestamp_add("DAY", F.lit(-9), now)).alias("ts"), F.lit(1000).cast("bigint").alias("ttl_ms")
+    )
+    new = asked.where(number == 27).select("key", reply.alias("raw_reply"))
+    found = flows.links_cached(anchor, candidates, cached, now, new).collect()
+    assert [r.path for r in found] == ["f/n027.md"] + [f"f/n{i:03d}.md" for i in range(19, 9, -1)]
+
+
+def test_templates_from_a_table(spark):
+    import pytest
+
+    notes = spoken_vault(spark)
+    rows = [("*", "standard", "all {language}"), ("fr", "standard", "fr own"), ("*", "superprompt", "sup {language}")]
+    templates = spark.createDataFrame(rows, "language string, variant string, template string")
+    asked = flows.check_keys(notes, language=F.col("lang"), variant=F.col("variant"), templates=templates).collect()
+    system = {r.path: json.loads(r.body)["messages"][0]["content"] for r in asked}
+    want = lambda i, lang: f"sup {lang}" if i % 2 else "fr own" if lang == "fr" else f"all {lang}"
+    assert system == {f"f/n{i:03d}.md": want(i, ("en", "fr", "de")[i % 3]) for i in range(30)}
+    with pytest.raises(Exception, match="no template: en superprompt|no template: fr superprompt|no template: de superprompt"):
+        flows.check_keys(notes, language=F.col("lang"), variant=F.col("variant"), templates=templates.where("variant = 'standard'")).collect()
+
+
+def test_mixed_modes_are_each_mode_by_itself(spark):
+    import pytest
+
+    from notespark.operators import strategies
+
+    body = F.concat_ws("\n", F.lit("# head , x"), F.repeat(F.lit("line , with comma\n## more\n\n\n"), F.col("id").cast("int") * 20), F.lit("end , x"))
+    mode = F.get(F.array(F.lit("full"), F.lit("incremental"), F.lit("auto"), F.lit(None)), (F.col("id") % 4).cast("int"))
+    notes = spark.range(24).select(F.format_string("n%02d.md", "id").alias("path"), body.alias("content"), "id", mode.alias("mode"))
+    got = sorted(tuple(r) for r in strategies.check_mixed(notes, F.col("mode"), strategies.from_lint).collect())
+    want = []
+    for name in strategies.CHECKS:
+        want += [(*r, name) for r in strategies.check(name, notes.where(F.col("mode") == name), strategies.from_lint).collect()]
+    assert got == sorted(want) and len({r[-1] for r in got}) == 3
+    with pytest.raises(Exception, match="unknown check mode: none"):
+        strategies.check_mixed(notes, F.lit("none"), strategies.from_lint).collect()
+    plan = strategies.check_mixed(notes, F.col("mode"), strategies.from_lint)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1

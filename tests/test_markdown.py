@@ -113,3 +113,10 @@ def rules(value, text):
 )
 def test_lint(value, text, expected):
     assert rules(value, text) == expected
+
+
+def test_a_table_in_the_first_line_is_protected(value):
+    table = "| a , b | c |\n|---|---|\n| d , e | f |\ntext , more"
+    assert value(md.safe_fix(F.col("c")), c=table) == table.replace("text , more", "text, more")
+    assert value(md.mask(F.col("c")), c=table).strip() == "text , more"
+    assert value(md.safe_fix(F.col("c")), c="a | b , c") == "a | b, c"
