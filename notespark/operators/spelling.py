@@ -160,9 +160,17 @@ def candidates(lex: DataFrame, notes: DataFrame, min_confidence: float = params.
     numbering, for range bounds are sampled.
     """
     lex = cut_lineage(lex)
+    return _at_distance_one(lex, _numbered(lex), notes, min_confidence)
+
+
+def _numbered(lex: DataFrame) -> DataFrame:
+    """Established words, numbered from best to worst."""
     order = [F.desc("n"), F.asc("word"), F.asc("lang")]
     ranked = established(lex).select("lang", "n", "word").repartitionByRange(*order).sortWithinPartitions(*order)
-    known = cut_lineage(ranked).withColumn("number", F.monotonically_increasing_id())
+    return cut_lineage(ranked).withColumn("number", F.monotonically_increasing_id())
+
+
+def _at_distance_one(lex: DataFrame, known: DataFrame, notes: DataFrame, min_confidence: float) -> DataFrame:
     by_key = (
         _edits(known.select("lang", "number", "word"), "d:", _established_keys)
         .groupBy("lang", "key")
@@ -188,8 +196,9 @@ def candidates(lex: DataFrame, notes: DataFrame, min_confidence: float = params.
     )
 
 
-def _shortened(words: DataFrame) -> DataFrame:
-    """One row per word and way of leaving out none, one or two of its letters, with a 64-bit ``key`` of what is left."""
+def _shortened(words: DataFrame, name: str) -> DataFrame:
+    """``(key, name)``: a row per word and way of leaving out none, one or two of its letters, the key being 64 bits of the
+    language and what is left. Only numbers, so the many rows are short."""
     word, i, j, n = F.col("word"), F.col("_i"), F.col("_j"), F.length("word")
     part = lambda first, last: F.substring(word, first, last - first + 1)
     left = (
@@ -199,22 +208,24 @@ def _shortened(words: DataFrame) -> DataFrame:
     )
     second = F.when(i == 0, F.sequence(F.lit(0), n)).when(i < n, F.sequence(i + 1, n))
     ways = words.withColumn("_i", F.explode(F.sequence(F.lit(0), n))).withColumn("_j", F.explode(second))
-    return ways.withColumn("key", F.xxhash64(left)).drop("_i", "_j")
+    return ways.select(F.xxhash64("lang", left).alias("key"), name)
 
 
 def _best_within_two(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """``(lang, word, number)``: the best established word at distance one or two of each asked word.
+    """``(asked, number)``: the best established word at distance one or two of each asked word ``(lang, word, asked)``.
 
     Two words at distance two or less have a form in common that leaves out at most two letters of each. Words that meet
-    by their keys are compared; vowel marks must be the same in both, so an edit is never one of marks.
+    by their keys are compared, each pair once; vowel marks must be the same in both, so an edit is never one of marks.
     """
     marks = lambda c: F.regexp_replace(c, NO_MARK, "")
-    index = _shortened(known.select("lang", "number", "word")).withColumnRenamed("word", "_known")
+    met = _shortened(asked, "asked").join(_shortened(known, "number").hint("merge"), "key").select("asked", "number").distinct()
+    theirs = known.select("number", F.col("lang").alias("_lang"), F.col("word").alias("_known"))
+    alike = F.levenshtein("word", "_known", 2).between(1, 2) & (marks(F.col("word")) == marks(F.col("_known")))
     return (
-        _shortened(asked)
-        .join(index, ["lang", "key"])
-        .where(F.levenshtein("word", "_known", 2).between(1, 2) & (marks(F.col("word")) == marks(F.col("_known"))))
-        .groupBy("lang", "word")
+        met.join(asked, "asked")
+        .join(theirs, "number")
+        .where((F.col("lang") == F.col("_lang")) & alike)
+        .groupBy("asked")
         .agg(F.min("number").alias("number"))
     )
 
@@ -230,28 +241,32 @@ def candidates_within_two(
     for those after it are less frequent, and just the rest goes on to the long lists of rare words. Pairs that share no
     form are not compared, and none at distance two is lost.
 
-    Runs jobs: lexicon, numbered established words and both answers are checkpointed.
+    Runs jobs: lexicon, numbered established words, the candidates at distance one, the words left and both answers are
+    checkpointed, so nothing is worked out twice and no plan holds more than one of these steps.
     """
     lex = cut_lineage(lex)
-    near = candidates(lex, notes, min_confidence).withColumn("distance", F.lit(1).cast("long"))
-    order = [F.desc("n"), F.asc("word"), F.asc("lang")]
-    ranked = established(lex).select("lang", "n", "word").repartitionByRange(*order).sortWithinPartitions(*order)
-    known = cut_lineage(ranked).withColumn("number", F.monotonically_increasing_id())
+    known = _numbered(lex)
+    near = cut_lineage(_at_distance_one(lex, known, notes, min_confidence)).withColumn("distance", F.lit(1).cast("long"))
     place = ("line", "text_a", "text_b")
     gate = 1 - 2 / F.length("word") >= min_confidence
     done = near.select("lang", F.col("original").alias("word"))
     left = suspects(lex, min_confidence).where(gate).join(done, ["lang", "word"], "left_anti").select("lang", "word", *place)
-    left = cut_lineage(left)
+    left = cut_lineage(left.withColumn("asked", F.monotonically_increasing_id()))
     bound = (known.approxQuantile("number", [first_share], 0.01) or [0.0])[0]
-    asked = left.select("lang", "word")
-    early = cut_lineage(_best_within_two(asked, known.where(F.col("number") <= bound)))
-    late = _best_within_two(asked.join(early, ["lang", "word"], "left_anti"), known.where(F.col("number") > bound))
+    # A word at distance two has at most two letters less or more.
+    shortest, longest = left.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
+    near_long = known.where(F.length("word").between((shortest or 0) - 2, (longest or 0) + 2))
+    asked = left.select("lang", "word", "asked")
+    early = cut_lineage(_best_within_two(asked, near_long.where(F.col("number") <= bound)))
+    late = cut_lineage(
+        _best_within_two(asked.join(early, "asked", "left_anti"), near_long.where(F.col("number") > bound))
+    )
     best = known.select("number", F.col("word").alias("suggested"), F.col("n").alias("frequency"))
     paths = notes.select("lang", "path", *_text_id(F.col("content")))
     two = (
         early.unionByName(late)
         .join(best, "number")
-        .join(left, ["lang", "word"])
+        .join(left, "asked")
         .join(paths, ["lang", "text_a", "text_b"])
         .select(
             "lang",

@@ -136,3 +136,19 @@ def test_a_copy_does_not_establish_a_word(spark):
     assert {(r.original, r.suggested, r.path, r.line) for r in got} == {("gardin", "garden", p, 2) for p in ("a.md", "copy.md")}
     notes = spark.createDataFrame(rows, "lang string, path string, content string")
     assert spelling.candidates(spelling.lexicon(notes), notes).count() == 0
+
+
+def test_no_step_of_distance_two_is_left_in_the_plan(spark):
+    """Candidates at distance one used to be worked out twice and with them the whole index, in the plan of the result."""
+    rows = [("en", "garden", 5, 2, "p", 1, 0), ("en", "garding", 1, 1, "p", 1, 0), ("en", "gardingxx", 1, 1, "p", 1, 0)]
+    plan = spelling.candidates_within_two(*as_tables(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "levenshtein" not in plan
+
+
+def test_forms_of_distance_two_hold_numbers_only(spark):
+    words = spark.createDataFrame([("en", "abc", 7)], "lang string, word string, number long")
+    forms = spelling._shortened(words, "number")
+    assert [(f.name, f.dataType.simpleString()) for f in forms.schema] == [("key", "bigint"), ("number", "bigint")]
+    assert forms.distinct().count() == 7  # abc, three of two letters, three of one
+    other = spelling._shortened(words.withColumn("lang", F.lit("de")), "number")
+    assert forms.join(other, "key").count() == 0
