@@ -6,9 +6,11 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from notespark.llm import decontamination, mixing, sharding, shingle_sets, toxicity
+from notespark.llm import decontamination, mixing, sharding, shingle_sets, simhash, toxicity
 from notespark.llm.common import table
+from notespark.llm.components import components
 from notespark.session import ensure_checkpoint_dir
 
 
@@ -18,8 +20,21 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles alike to 0.8 or more): that of the least id."""
-    return shingle_sets.representatives(docs)
+    """One document of each group of near duplicates: that of the least id.
+
+    Linked are documents whose SimHash fingerprints differ in 4 bits or fewer (operator 6), and those whose five-word
+    shingles are alike to 0.8 or more, compared in full; groups go over links of both kinds. An id that some row of its
+    own represents isn't linked, so of rows that share an id no text is lost. Rows with a null id stay.
+    """
+    key, at = F.col("doc_id"), F.col("component_id")
+    linked = [
+        method.near_duplicates(docs).groupBy(key.alias("a")).agg(F.min(at).alias("b"), F.max(at == key).alias("own")).where("not own")
+        for method in (simhash, shingle_sets)
+    ]
+    grouped = components(linked[0].unionByName(linked[1]).select("a", "b"))
+    others = grouped.where("node <> component").select(F.col("node").alias("doc_id"))
+    known = docs.where(key.isNotNull()).join(others, "doc_id", "left_anti").select(*docs.columns)
+    return known.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(key.isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

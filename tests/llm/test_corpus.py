@@ -157,6 +157,23 @@ def test_the_pipeline_drops_copies_with_some_words_changed(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(21))
 
 
+def test_the_pipeline_drops_texts_with_near_fingerprints(spark, documents):
+    """Two texts that are one phrase many times, with other ends: four bits apart at most, their shingle sets far apart."""
+    rnd = random.Random(14)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    phrase = " ".join(word() for _ in range(9))
+    texts = [" ".join([phrase] * 60 + [word() for _ in range(30)]) for _ in range(2)]
+    sets = [plain_shingles(t) for t in texts]
+    assert len(sets[0] & sets[1]) < 0.5 * len(sets[0] | sets[1])
+    assert (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() <= 4
+    words = texts[1].split()
+    close = " ".join([*words[:-1], "other", *words[:20]])  # alike to the second by shingles
+    rows = [(i, t, "en", "a") for i, t in enumerate([texts[0], texts[1], close, "another text of its own", None, ""])]
+    rows += [(7, "one of two texts of an id", "en", "a"), (7, texts[0], "en", "a"), (None, texts[0], "en", "a")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(rows, clash=False), "").collect()
+    assert Counter(r.doc_id for r in kept) == Counter({0: 1, 3: 1, 4: 1, 7: 2, None: 1})
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 
