@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notespark.llm.common import first_by_hash, remainder_of_id, text_or_empty
+from notespark.llm.common import remainder_of_id, text_or_empty
 from notespark.session import cut_lineage
 
 ORDERS = (1, 2, 3, 4)
@@ -20,11 +20,13 @@ TABLE_BITS = (16, 18, 20, 22)
 BLOCK_SLOTS = 1 << 16
 MERGERS = 64  # the tables have some 170 blocks, whatever the input
 FOLDS, HELD_OUT = 7, 2
-SAMPLE_DOCS = 200
-SAMPLE_CHARS = 1 << 16
-SAMPLE_RATES = (0.02, 0.02, 0.01)
+FIRST_STEPS = 5
+STEP_BITS = 1 << 14
+RIDGE = 50.0  # bits that speak for the weights of Mixer.fresh()
 ROUND_BYTES = 256
 GROUP_BYTES = 1 << 20
+FITTED_BYTES = 1 << 21
+MIXED_BYTES = 1 << 17  # arrays of a round of so many bytes of texts stay in a core's cache
 RATE = 0.01
 PRIOR = 0.4
 HEAD_WORDS = 100_000
@@ -244,16 +246,43 @@ def mix(docs: list[np.ndarray], code: Code, tables: list[np.ndarray], start: Mix
     rounds of ROUND_BYTES; after each, its weights and its refining map follow the errors made, so only what came
     before in the text changes a prediction. Predictors are asked once for each different gram of the group.
     """
-    sizes, n = [len(d) for d in docs], len(docs)
-    order, ends = _by_round(sizes)
-    owner = np.repeat(np.arange(n), sizes)[order]
-    some, which = different(np.concatenate([grams(d) for d in docs])[order])
+    some, which = different(np.concatenate([grams(d) for d in docs]))
     place, bits, at = slots(some, code)
     known = np.stack([table[slot] for table, slot in zip(tables, at)], axis=1)
     packed = (np.count_nonzero(known, axis=1) * 2 + bits).astype(np.uint8)  # gate and bit
     length = np.bincount(place, minlength=len(some))
-    begin = (np.cumsum(length) - length)[which]
-    length = length[which]
+    begin = np.cumsum(length) - length
+    sizes, costs, ends = [len(d) for d in docs], [], []
+    first = at_byte = 0
+    while first < len(docs):
+        last = first + 1
+        size = sizes[first]
+        while last < len(docs) and size + sizes[last] <= MIXED_BYTES:
+            size += sizes[last]
+            last += 1
+        share = which[at_byte : at_byte + size]
+        cost, end = _mix_share(sizes[first:last], begin[share], length[share], known, packed, start, rate)
+        costs.append(cost)
+        ends.append(end)
+        first, at_byte = last, at_byte + size
+    mean = [sum(e[k] for e in ends) / len(docs) for k in range(3)]
+    return np.concatenate(costs), Mixer(*mean)
+
+
+def _rows(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Rows of a contiguous table of four floats, each fetched as one element of 16 bytes."""
+    return table.view(np.complex128).ravel().take(places).view(np.float32).reshape(-1, len(ORDERS))
+
+
+def _mix_share(
+    sizes: list[int], begin: np.ndarray, length: np.ndarray, known: np.ndarray, packed: np.ndarray, start: Mixer, rate: float
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Nats of some texts of a group, and sums of what their mixers have become. For each symbol: where the bits of its
+    gram begin among all bits of the group, and how many they are."""
+    n = len(sizes)
+    order, ends = _by_round(sizes)
+    owner = np.repeat(np.arange(n), sizes)[order]
+    begin, length = begin[order], length[order]
     upto = np.cumsum(length)
     weights, maps = np.tile(start.weights, (n, 1)).astype(np.float32), np.tile(start.refine, n)
     bias = np.tile(start.bias, n).astype(np.float32)
@@ -269,8 +298,8 @@ def mix(docs: list[np.ndarray], code: Code, tables: list[np.ndarray], start: Mix
         both = packed.take(entry)
         gate, y = both >> 1, (both & 1).astype(np.float32)
         cell = doc * GATES + gate
-        x = known.take(entry, axis=0)
-        z = bias.take(cell) + np.einsum("ij,ij->i", x, weights.take(cell, axis=0))
+        x = _rows(known, entry)
+        z = bias.take(cell) + np.einsum("ij,ij->i", x, _rows(weights, cell))
         np.clip(z, -TOP, TOP, out=z)
         p = 1 / (1 + np.exp(-z))
         spot = doc * MAP_CELLS + (z * np.float32(CELLS_PER_NAT) + np.float32(MAP_CELLS / 2)).astype(np.int64)
@@ -279,8 +308,6 @@ def mix(docs: list[np.ndarray], code: Code, tables: list[np.ndarray], start: Mix
         cost[some_docs] -= np.add.reduceat(np.log(np.abs(final + y - 1)), edges, dtype=np.float64)
         # Numbers of bits and pulls on bias and weights, by document and gate. Nearly all bits have the last gate, all
         # predictors knowing their context; its sums are those of the document less those of the other gates.
-        # Numbers of bits and pulls on bias and weights, by document and gate. Nearly all bits have the last gate, all
-        # predictors knowing their context; its sums are those of the document less those of the other gates.
         error = y - p
         stretches = list(zip(edges.tolist(), [*edges[1:].tolist(), len(doc)]))
         whole = np.array([[b - a, error[a:b].sum(), *(error[a:b] @ x[a:b])] for a, b in stretches])
@@ -295,24 +322,114 @@ def mix(docs: list[np.ndarray], code: Code, tables: list[np.ndarray], start: Mix
         weights += scale[:, None] * sums[:, 2:]
         maps += rate * np.bincount(spot, y - q, minlength=n * MAP_CELLS)
         np.clip(maps, 1e-4, 1 - 1e-4, out=maps)
-    mean = [v.reshape(n, *shape).mean(axis=0) for v, shape in ((weights, (GATES, -1)), (bias, (GATES,)), (maps, (MAP_CELLS,)))]
-    return cost, Mixer(*mean)
+    return cost, [v.reshape(n, *shape).sum(axis=0) for v, shape in ((weights, (GATES, -1)), (bias, (GATES,)), (maps, (MAP_CELLS,)))]
+
+
+# --- what documents start mixing with: a logistic regression for each gate over all teaching texts --------------------
+
+WIDTH = len(ORDERS) + 1  # predictors and bias
+SUMS = (GATES * WIDTH * WIDTH, GATES * WIDTH, MAP_CELLS * 2)
 
 
-def fit_mixer(texts: list[str], code: Code, counts: list[np.ndarray], rates: tuple[float, ...] = SAMPLE_RATES) -> Mixer:
-    """What documents should start with: the mean of what they end with, in rounds of falling rates.
+def _parts(sums: np.ndarray) -> list[np.ndarray]:
+    """Curvature and target by gate, and by cell of the map the number of bits and of ones."""
+    shapes = ((GATES, WIDTH, WIDTH), (GATES, WIDTH), (MAP_CELLS, 2))
+    return [part.reshape(shape) for part, shape in zip(np.split(sums, np.cumsum(SUMS)[:-1]), shapes)]
 
-    The counts that a group of texts gave itself are taken off while it is predicted, as a new text has given none.
+
+def _weights(sums: np.ndarray) -> np.ndarray:
+    """Weights and bias by gate to which the steps of all groups lead together."""
+    curve, target, _ = _parts(sums)
+    fresh = np.append(Mixer.fresh().weights, np.zeros((GATES, 1)), axis=1)
+    return np.linalg.solve(curve + RIDGE * np.eye(WIDTH), (target + RIDGE * fresh)[:, :, None])[:, :, 0]
+
+
+def _step(x: np.ndarray, cuts: np.ndarray, y: np.ndarray, many: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums of one step of reweighted least squares over bits that come up `many` times. Gate by gate, of which each has
+    the bits from its cut to the next one, in blocks that stay in a core's cache."""
+    curve, target, cells = _parts(np.zeros(sum(SUMS)))
+    for g, (first, last) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        for at in range(first, last, STEP_BITS):
+            part = slice(at, min(at + STEP_BITS, last))
+            own, ones, times = x[part], y[part], many[part]
+            z = np.clip(own @ weights[g], -TOP, TOP)
+            p = 1 / (1 + np.exp(-z))
+            heavy = times * p * (1 - p)
+            curve[g] += (own * heavy[:, None]).T @ own
+            target[g] += (heavy * z + times * (ones - p)) @ own
+            spot = (z * CELLS_PER_NAT + MAP_CELLS / 2).astype(np.int64)
+            cells[:, 0] += np.bincount(spot, times, MAP_CELLS)
+            cells[:, 1] += np.bincount(spot, times * ones, MAP_CELLS)
+    return np.concatenate([curve.ravel(), target.ravel(), cells.ravel()])
+
+
+def mixer_sums(texts: Iterator[str], code: Code, counts: list[np.ndarray]) -> np.ndarray:
+    """Sums over all texts, group by group, each at the weights that those before it lead to; the first finds its own.
+
+    The counts that a group of texts gave itself are taken off while it is predicted, as a new text has given none. Equal
+    grams of a group are predicted alike, so they are looked up and weighed once.
     """
-    start, groups = Mixer.fresh(), [texts[i : i + 50] for i in range(0, len(texts), 50)]
-    for rate in rates if texts else ():
-        ends = []
-        for group in groups:
-            own = count_slots(iter(group), code)
-            tables = [stretched(total - mine) for total, mine in zip(counts, own)]
-            ends.append(mix([p for t in group for p in _pieces(symbols(t))], code, tables, start, rate)[1])
-        start = Mixer(*[np.mean([getattr(e, f) for e in ends], axis=0) for f in ("weights", "bias", "refine")])
-    return start
+    sums, own = np.zeros(sum(SUMS)), [np.zeros(len(c), np.uint32) for c in counts]
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal sums
+        some, many = np.unique(np.concatenate(held), return_counts=True)
+        place, bits, at = slots(some, code)
+        many = many[place]
+        x = np.ones((len(place), WIDTH))
+        for k, (total, mine, slot) in enumerate(zip(counts, own, at)):
+            cell = slot * 2 + bits
+            np.add.at(mine, cell, many.astype(np.uint32))
+            left, gone = (c.view(np.uint64).take(slot).view(np.uint32) for c in (total, mine))  # both counts of a slot at once
+            x[:, k] = stretched(left - np.minimum(left, gone))
+            mine[cell] = 0
+        gate = np.count_nonzero(x[:, :-1], axis=1).astype(np.uint8)
+        order, cuts = np.argsort(gate, kind="stable"), np.cumsum([0, *np.bincount(gate, minlength=GATES)])
+        x, y, many = x.take(order, axis=0), bits[order].astype(np.float64), many[order].astype(np.float64)
+        found = sums
+        for _ in range(1 if sums.any() else FIRST_STEPS):
+            found = _step(x, cuts, y, many, _weights(found))
+        sums = sums + found
+        held.clear()
+
+    for text in texts:
+        for piece in _pieces(symbols(text)):
+            held.append(grams(piece))
+            size += len(piece)
+            if size >= FITTED_BYTES:
+                flush()
+                size = 0
+    if held:
+        flush()
+    return sums
+
+
+def mixer_of(sums: np.ndarray) -> Mixer:
+    """What the sums over all teaching texts say; that of no text is Mixer.fresh()."""
+    weights, (bits, ones) = _weights(sums), _parts(sums)[2].T
+    refine = (ones + RIDGE * Mixer.fresh().refine) / (bits + RIDGE)
+    return Mixer(weights[:, :-1], weights[:, -1], np.clip(refine, 1e-4, 1 - 1e-4))
+
+
+def fit_mixer(texts: list[str], code: Code, counts: list[np.ndarray]) -> Mixer:
+    """What documents should start with, from texts at hand."""
+    return mixer_of(mixer_sums(iter(texts), code, counts))
+
+
+def learn_mixer(docs: DataFrame, code: Code, counts: list[np.ndarray]) -> Mixer:
+    """What documents should start with, from all texts given. The driver gets some 250 numbers of each task."""
+    held = docs.sparkSession.sparkContext.broadcast((vars(code), counts))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, counts = held.value
+        sums = mixer_sums((t.as_py() for b in batches for t in b.column(0)), Code(**code), counts)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    found = [np.frombuffer(r.sums) for r in docs.mapInArrow(gather, "sums binary").collect()]
+    held.unpersist()
+    return mixer_of(sum(found, np.zeros(sum(SUMS))))
 
 
 @dataclass
@@ -470,8 +587,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
 
     Documents teach whose crc32 of the id modulo `folds` isn't `held_out`. From all of them come the counts of words,
     of symbols, and of what followed each hashed context; the tables of contexts have a fixed size, the counts of words
-    grow with the corpus and stay distributed. What a text starts mixing with comes from at most SAMPLE_DOCS of them,
-    the first by a hash of the id, of up to SAMPLE_CHARS characters.
+    grow with the corpus and stay distributed. What a text starts mixing with is fitted to all of them too, in tasks.
 
     Null text counts as empty, which is one end; null ids teach and are scored as any other; repeated rows stay; an
     empty table gives no rows; where nothing teaches, all bits are even. Other columns are not read.
@@ -489,8 +605,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         seen[int(bytes(r.token))] = r.n
     code = huffman(seen)
     learned = learn_counts(teaching.select("text"), code)
-    sample = first_by_hash(teaching.where(F.length("text").between(1, SAMPLE_CHARS)), F.col("id"), SAMPLE_DOCS, "mark").select("text")
-    mixer = fit_mixer([r.text for r in sample.collect()], code, learned)
+    mixer = learn_mixer(teaching.select("text"), code, learned)
     held = spark.sparkContext.broadcast((vars(code), [stretched(t) for t in learned], vars(mixer)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

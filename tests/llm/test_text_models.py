@@ -299,3 +299,31 @@ def test_learning_helps_and_groups_dont_matter():
     scores = lm_scoring.score_texts(new, taught)
     assert sum(scores) > 0.6 * sum(lm_scoring.score_texts(new, blank))
     assert np.allclose(scores, [lm_scoring.score_texts([t], taught)[0] for t in new], rtol=1e-5)
+
+
+def test_texts_start_mixing_with_what_all_teaching_texts_say(documents):
+    """Long and late documents teach too; they used to be left out of a sample of 200 short ones."""
+    rnd = random.Random(5)
+    say = lambda n: " ".join(rnd.choice(["red", "green", "blue", "grey"]) for _ in range(n))
+    rows = [(i, say(15_000) if i == 3 else say(20), "en", "a") for i in range(260)]
+    texts = [r[1] for r in rows]
+    code = lm_scoring.huffman(sum(np.bincount(lm_scoring.symbols(t), minlength=257) for t in texts))
+    counts = lm_scoring.count_slots(iter(texts), code)
+    docs = documents(rows, clash=False).select("text").repartition(3)
+    learned = lm_scoring.learn_mixer(docs, code, counts)
+    short = lm_scoring.learn_mixer(docs.where("length(text) < 65536"), code, counts)
+    assert not np.allclose(learned.weights, short.weights, atol=1e-3)
+    bits = lambda found: lm_scoring._parts(found)[2][:, 0].sum()
+    assert bits(lm_scoring.mixer_sums(iter(texts), code, counts)) == sum(code.length[lm_scoring.symbols(t)].sum() for t in texts)
+    none = lm_scoring.learn_mixer(docs.limit(0), code, counts)
+    fresh = lm_scoring.Mixer.fresh()
+    assert all(np.allclose(vars(none)[f], vars(fresh)[f]) for f in vars(fresh))
+
+
+def test_scores_use_the_mixer_of_all_teaching_texts(documents, odd_rows, monkeypatch):
+    seen = []
+    real = lm_scoring.learn_mixer
+    monkeypatch.setattr(lm_scoring, "learn_mixer", lambda docs, *rest: seen.append(docs.count()) or real(docs, *rest))
+    docs = documents(odd_rows)
+    lm_scoring.score(docs)
+    assert seen == [docs.where(~(lm_scoring.remainder_of_id("doc_id", 7) == 2)).count()]
