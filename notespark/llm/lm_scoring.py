@@ -314,7 +314,7 @@ def _mix_share(
         rest = np.flatnonzero(gate != GATES - 1)
         part, off, by = cell[rest], error[rest], n * GATES
         few = [np.bincount(part, w, minlength=by) for w in (None, off, *(off[:, None] * x[rest]).T)]
-        sums = np.stack(few, axis=1).reshape(n, GATES, -1)
+        sums = np.stack(few, axis=1).astype(np.float64).reshape(n, GATES, -1)  # of no bits bincount gives whole numbers
         sums[some_docs, -1] = whole - sums[some_docs, :-1].sum(axis=1)
         sums = sums.reshape(by, -1)
         scale = rate / np.sqrt(sums[:, 0] + 1)

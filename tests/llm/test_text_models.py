@@ -327,3 +327,14 @@ def test_scores_use_the_mixer_of_all_teaching_texts(documents, odd_rows, monkeyp
     docs = documents(odd_rows)
     lm_scoring.score(docs)
     assert seen == [docs.where(~(lm_scoring.remainder_of_id("doc_id", 7) == 2)).count()]
+
+
+def test_a_round_of_known_contexts_only_moves_weights_by_its_own_errors():
+    """Sums of such a round were cut to whole numbers unless another text of the group had an unknown context."""
+    rnd = random.Random(9)
+    known = " ".join(rnd.choice(["tea", "oats", "rain"]) for _ in range(300))
+    code = lm_scoring.huffman(np.bincount(lm_scoring.symbols(known), minlength=257))
+    tables = [lm_scoring.stretched(c) for c in lm_scoring.count_slots(iter([known]), code)]
+    model = lm_scoring.Model(code, tables, lm_scoring.Mixer.fresh())
+    alone = lm_scoring.score_texts([known], model)[0]
+    assert np.isclose(lm_scoring.score_texts([known, "zebra " * 200], model)[0], alone, rtol=1e-7)
