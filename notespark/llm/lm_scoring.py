@@ -25,7 +25,7 @@ STEP_BITS = 1 << 14
 RIDGE = 50.0  # bits that speak for the weights of Mixer.fresh()
 ROUND_BYTES = 256
 GROUP_BYTES = 1 << 20
-FITTED_BYTES = 1 << 21
+FITTED_BYTES = 1 << 16, 1 << 21
 MIXED_BYTES = 1 << 17  # arrays of a round of so many bytes of texts stay in a core's cache
 RATE = 0.01
 PRIOR = 0.4
@@ -370,6 +370,9 @@ def mixer_sums(texts: Iterator[str], code: Code, counts: list[np.ndarray]) -> np
     grams of a group are predicted alike, so they are looked up and weighed once.
     """
     sums, own = np.zeros(sum(SUMS)), [np.zeros(len(c), np.uint32) for c in counts]
+    least, most = FITTED_BYTES
+    # About a hundredth of all symbols, so that what a group takes off is little beside what is left.
+    group = min(max(int(counts[0].sum(dtype=np.int64)) // 512, least), most)
     held: list[np.ndarray] = []
     size = 0
 
@@ -398,7 +401,7 @@ def mixer_sums(texts: Iterator[str], code: Code, counts: list[np.ndarray]) -> np
         for piece in _pieces(symbols(text)):
             held.append(grams(piece))
             size += len(piece)
-            if size >= FITTED_BYTES:
+            if size >= group:
                 flush()
                 size = 0
     if held:
