@@ -21,6 +21,8 @@ def analyze_vault(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def smart_links(notes: DataFrame, anchor_path: Column, mode: str = "current") -> DataFrame:
     """Best partners of one note among the first 20 others (``current``) or all others (``all``)."""
+    # The path itself: as a subquery it would be looked for again by every scan.
+    anchor_path = F.lit(notes.sparkSession.range(1).select(anchor_path).first()[0]).cast("string")
     candidates = None if mode == "all" else inventory.link_candidates(notes, anchor_path, mode)
     return links.anchor_links(inventory.markdown(notes), anchor_path, candidates)
 
