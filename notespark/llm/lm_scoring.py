@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +26,20 @@ RIDGE = 50.0  # bits that speak for the weights of Mixer.fresh()
 ROUND_BYTES = 256
 GROUP_BYTES = 1 << 20
 FITTED_BYTES = 1 << 16, 1 << 21
-MIXED_BYTES = 1 << 17  # arrays of a round of so many bytes of texts stay in a core's cache
+SIDE_BY_SIDE = 32  # arrays of a round of so many texts stay near a core's cache
 RATE = 0.01
 PRIOR = 0.4
 HEAD_WORDS = 100_000
 COUNTED_WORDS = 300_000
 EMITTED_ROWS = 100_000
+CUT_BYTES = 1 << 23  # texts whose words are held at once
 END = 256  # the symbol after the last byte
 GATES = len(ORDERS) + 1
 LEAST = np.float32(1e-6)  # the least probability of a bit
 MAP_CELLS = 48
 CELLS_PER_NAT = 3
 TOP = MAP_CELLS / 2 / CELLS_PER_NAT - 1e-3  # the largest log odds
+TOP32 = np.float32(TOP)
 
 
 # --- the code: each symbol is a path through a Huffman tree, each node of which is a binary prediction ----------------
@@ -83,11 +85,13 @@ def symbols(text: str) -> np.ndarray:
 
 def grams(syms: np.ndarray) -> np.ndarray:
     """For each place its symbol with those before it, as one number; places before the text count as END."""
-    out = syms.astype(np.uint64)
-    for order in range(1, max(ORDERS) + 1):
-        before = np.full(len(syms), END, np.uint64)
-        before[order:] = syms[: max(0, len(syms) - order)]
-        out += before * np.uint64((END + 1) ** order)
+    longest = max(ORDERS)
+    padded = np.full(longest + len(syms), END, np.uint64)
+    padded[longest:] = syms
+    out = padded[: len(syms)].copy()
+    for at in range(1, longest + 1):
+        out *= np.uint64(END + 1)
+        out += padded[at : at + len(syms)]
     return out
 
 
@@ -207,21 +211,6 @@ class Mixer:
         return Mixer(np.full((GATES, len(ORDERS)), 0.3), np.zeros(GATES), 1 / (1 + np.exp(-odds)))
 
 
-def _by_round(sizes: list[int]) -> tuple[np.ndarray, list[int]]:
-    """Order of places in which all first stretches of ROUND_BYTES come first, then all second ones; and rounds' ends."""
-    starts = np.cumsum([0, *sizes[:-1]])
-    order, ends, total = [], [], 0
-    alive = list(zip(starts.tolist(), sizes))
-    for r in range(-(-max(sizes) // ROUND_BYTES)):
-        alive = [(start, size) for start, size in alive if size > r * ROUND_BYTES]
-        for start, size in alive:
-            part = np.arange(start + r * ROUND_BYTES, start + min(size, (r + 1) * ROUND_BYTES))
-            order.append(part)
-            total += len(part)
-        ends.append(total)
-    return np.concatenate(order), ends
-
-
 def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys, and for each key which of them it is; some may come up twice.
 
@@ -239,6 +228,33 @@ def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[own], number[first]
 
 
+ROW = 8  # columns of a bit's row: predictors, bias and three more
+BIAS = len(ORDERS)
+ODD = 1 << 16  # more than any path has bits
+
+
+def bit_rows(some: np.ndarray, code: Code, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each bit of different grams, and for each gram how many bits it has, plus ODD if any has an unknown context.
+
+    A row holds what the predictors say and a one for the bias, all with the sign of the bit (so their weighted sum are
+    log odds of the bit that came), the number of predictors that don't know their context, the sign times CELLS_PER_NAT,
+    and where the bit's half of a refining map begins.
+    """
+    place, bits, at = slots(some, code)
+    sign = bits.astype(np.float32) * 2 - 1
+    rows, known = np.empty((len(place), ROW), np.float32), np.zeros(len(place), np.uint8)
+    for k, (table, slot) in enumerate(zip(tables, at)):
+        said = table.take(slot)
+        known += said != 0
+        np.multiply(said, sign, out=rows[:, k])
+    rows[:, BIAS] = sign
+    rows[:, BIAS + 1] = len(ORDERS) - known
+    rows[:, BIAS + 2] = sign * CELLS_PER_NAT
+    rows[:, BIAS + 3] = bits * np.float32(MAP_CELLS)
+    odd = np.bincount(place, known < len(ORDERS), len(some)) > 0
+    return rows, np.bincount(place, minlength=len(some)) + odd * ODD
+
+
 def mix(docs: list[np.ndarray], code: Code, tables: list[np.ndarray], start: Mixer, rate: float = RATE) -> tuple[np.ndarray, Mixer]:
     """Nats that each text costs, and the mean of what the mixers have become.
 
@@ -247,82 +263,88 @@ def mix(docs: list[np.ndarray], code: Code, tables: list[np.ndarray], start: Mix
     before in the text changes a prediction. Predictors are asked once for each different gram of the group.
     """
     some, which = different(np.concatenate([grams(d) for d in docs]))
-    place, bits, at = slots(some, code)
-    known = np.stack([table[slot] for table, slot in zip(tables, at)], axis=1)
-    packed = (np.count_nonzero(known, axis=1) * 2 + bits).astype(np.uint8)  # gate and bit
-    length = np.bincount(place, minlength=len(some))
-    begin = np.cumsum(length) - length
-    sizes, costs, ends = [len(d) for d in docs], [], []
-    first = at_byte = 0
-    while first < len(docs):
-        last = first + 1
-        size = sizes[first]
-        while last < len(docs) and size + sizes[last] <= MIXED_BYTES:
-            size += sizes[last]
-            last += 1
-        share = which[at_byte : at_byte + size]
-        cost, end = _mix_share(sizes[first:last], begin[share], length[share], known, packed, start, rate)
-        costs.append(cost)
+    rows, length = bit_rows(some, code, tables)
+    many = length % ODD
+    begin = np.cumsum(many) - many
+    sizes = np.array([len(d) for d in docs])
+    starts, by_size = np.cumsum(sizes) - sizes, np.argsort(sizes, kind="stable")
+    costs, ends = np.zeros(len(docs)), []
+    for at in range(0, len(docs), SIDE_BY_SIDE):
+        part = by_size[at : at + SIDE_BY_SIDE]
+        costs[part], end = _mix_share(starts[part], sizes[part], which, begin, length, rows, start, rate)
         ends.append(end)
-        first, at_byte = last, at_byte + size
     mean = [sum(e[k] for e in ends) / len(docs) for k in range(3)]
-    return np.concatenate(costs), Mixer(*mean)
-
-
-def _rows(table: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Rows of a contiguous table of four floats, each fetched as one element of 16 bytes."""
-    return table.view(np.complex128).ravel().take(places).view(np.float32).reshape(-1, len(ORDERS))
+    return costs, Mixer(*mean)
 
 
 def _mix_share(
-    sizes: list[int], begin: np.ndarray, length: np.ndarray, known: np.ndarray, packed: np.ndarray, start: Mixer, rate: float
+    starts: np.ndarray, sizes: np.ndarray, which: np.ndarray, begin: np.ndarray, length: np.ndarray, rows: np.ndarray, start: Mixer, rate: float
 ) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Nats of some texts of a group, and sums of what their mixers have become. For each symbol: where the bits of its
-    gram begin among all bits of the group, and how many they are."""
+    """Nats of some texts of a group, shorter ones first, and sums of what their mixers have become. For each text where
+    its symbols begin and how many they are; for each symbol its gram; for each gram where its rows begin and its length."""
     n = len(sizes)
-    order, ends = _by_round(sizes)
-    owner = np.repeat(np.arange(n), sizes)[order]
-    begin, length = begin[order], length[order]
-    upto = np.cumsum(length)
-    weights, maps = np.tile(start.weights, (n, 1)).astype(np.float32), np.tile(start.refine, n)
-    bias = np.tile(start.bias, n).astype(np.float32)
-    cost, first = np.zeros(n), 0
-    for last in ends:
-        part = slice(first, last)
-        lens, base = length[part], upto[first] - length[first]
-        entry = np.arange(base, upto[last - 1]) + np.repeat(begin[part] - (upto[part] - lens), lens)
-        mine = owner[part]
-        heads = np.concatenate(([0], np.flatnonzero(np.diff(mine)) + 1))
-        edges, some_docs, doc = (upto[part] - lens)[heads] - base, mine[heads], np.repeat(mine, lens)
-        first = last
-        both = packed.take(entry)
-        gate, y = both >> 1, (both & 1).astype(np.float32)
-        cell = doc * GATES + gate
-        x = _rows(known, entry)
-        z = bias.take(cell) + np.einsum("ij,ij->i", x, _rows(weights, cell))
-        np.clip(z, -TOP, TOP, out=z)
-        p = 1 / (1 + np.exp(-z))
-        spot = doc * MAP_CELLS + (z * np.float32(CELLS_PER_NAT) + np.float32(MAP_CELLS / 2)).astype(np.int64)
-        q = maps.take(spot)
-        final = np.clip(np.float32(0.5) * (p + q.astype(np.float32)), LEAST, 1 - LEAST)
-        cost[some_docs] -= np.add.reduceat(np.log(np.abs(final + y - 1)), edges, dtype=np.float64)
-        # Numbers of bits and pulls on bias and weights, by document and gate. Nearly all bits have the last gate, all
-        # predictors knowing their context; its sums are those of the document less those of the other gates.
-        error = y - p
-        stretches = list(zip(edges.tolist(), [*edges[1:].tolist(), len(doc)]))
-        whole = np.array([[b - a, error[a:b].sum(), *(error[a:b] @ x[a:b])] for a, b in stretches])
-        rest = np.flatnonzero(gate != GATES - 1)
-        part, off, by = cell[rest], error[rest], n * GATES
-        few = [np.bincount(part, w, minlength=by) for w in (None, off, *(off[:, None] * x[rest]).T)]
-        sums = np.stack(few, axis=1).astype(np.float64).reshape(n, GATES, -1)  # of no bits bincount gives whole numbers
-        sums[some_docs, -1] = whole - sums[some_docs, :-1].sum(axis=1)
-        sums = sums.reshape(by, -1)
-        scale = rate / np.sqrt(sums[:, 0] + 1)
-        bias += scale * sums[:, 1]
-        weights += scale[:, None] * sums[:, 2:]
-        maps += rate * np.bincount(spot, y - q, minlength=n * MAP_CELLS)
+    all_weights, all_maps, cost = np.zeros((n, GATES, ROW), np.float32), np.tile(start.refine, (n, 1)), np.zeros(n)
+    all_weights[:, :, :BIAS], all_weights[:, :, BIAS] = start.weights, start.bias
+    for done in range(0, int(sizes[-1]), ROUND_BYTES):
+        over = int(np.searchsorted(sizes, done, "right"))
+        weights, maps = all_weights[over:], all_maps[over:]
+        alive, taken = n - over, np.minimum(sizes[over:] - done, ROUND_BYTES)
+        firsts = (starts[over:] + done).tolist()
+        grams_ = np.concatenate([which[a : a + b] for a, b in zip(firsts, taken.tolist())])
+        marked = length.take(grams_)
+        lens = marked % ODD
+        ends = np.cumsum(lens)
+        entry = np.repeat(begin.take(grams_) - ends + lens, lens)
+        entry += np.arange(len(entry))
+        x = rows.take(entry, axis=0)
+        last = ends.take(np.cumsum(taken) - 1)
+        bits = np.diff(last, prepend=0)
+        stretches = list(zip((last - bits).tolist(), last.tolist()))
+        # Nearly all bits have the last gate, all predictors knowing their context; the others are seen to one by one.
+        z = np.empty(len(x), np.float32)
+        for own, (a, b) in zip(weights[:, -1], stretches):
+            np.dot(x[a:b], own, out=z[a:b])
+        rest = np.flatnonzero(marked >= ODD)
+        few = lens[rest]
+        upto = np.cumsum(few)
+        rest = np.repeat(ends[rest] - upto, few) + np.arange(upto[-1] if len(upto) else 0)
+        rest = rest[x[:, BIAS + 1].take(rest) > 0]
+        odd, others = x.take(rest, axis=0), np.diff(np.searchsorted(rest, last), prepend=0)
+        cell = np.repeat(np.arange(1, alive + 1) * GATES - 1, others) - odd[:, BIAS + 1].astype(np.int64)
+        z[rest] = np.einsum("ij,ij->i", odd, weights.reshape(-1, ROW).take(cell, axis=0))
+        np.minimum(z, TOP32, out=z)
+        np.maximum(z, -TOP32, out=z)
+        # The cell of a map is that of the log odds of a one. A map has two halves, for bits of 0 and of 1.
+        spot = z * x[:, BIAS + 2]
+        spot += np.float32(MAP_CELLS / 2)
+        np.trunc(spot, out=spot)
+        spot += x[:, BIAS + 3]
+        spot += np.repeat(np.arange(alive, dtype=np.float32) * (2 * MAP_CELLS), bits)
+        spot = spot.astype(np.int64)
+        error = np.exp(z, out=z)  # 1 - p, p that of the bit that came
+        error += 1
+        np.reciprocal(error, out=error)
+        halves = np.stack([1 - maps, maps], axis=1)
+        # p + q, twice the probability; as both are over 1e-4, it needs no least value.
+        final = halves.astype(np.float32).take(spot)
+        final -= error
+        final += 1
+        np.log(final, out=final)
+        cost[over:] += bits * np.log(2) - np.add.reduceat(final, last - bits, dtype=np.float64)
+        off, pulls = error[rest], np.empty((alive, ROW), np.float32)
+        error[rest] = 0
+        for pull, (a, b) in zip(pulls, stretches):
+            np.dot(error[a:b], x[a:b], out=pull)
+        weights[:, -1, : BIAS + 1] += (rate / np.sqrt(bits - others + 1))[:, None] * pulls[:, : BIAS + 1]
+        if len(rest):
+            by = (cell[:, None] * ROW + np.arange(BIAS + 1)).ravel()
+            sums = np.bincount(by, (odd[:, : BIAS + 1] * off[:, None]).ravel(), alive * GATES * ROW).reshape(alive, GATES, ROW)
+            scale = rate / np.sqrt(np.bincount(cell, minlength=alive * GATES) + 1)
+            weights += scale.reshape(alive, GATES, 1) * sums
+        seen = np.bincount(spot, minlength=halves.size).reshape(halves.shape)
+        maps += rate * (seen[:, 1] * halves[:, 0] - seen[:, 0] * maps)
         np.clip(maps, 1e-4, 1 - 1e-4, out=maps)
-    return cost, [v.reshape(n, *shape).sum(axis=0) for v, shape in ((weights, (GATES, -1)), (bias, (GATES,)), (maps, (MAP_CELLS,)))]
+    return cost, [v.sum(axis=0) for v in (all_weights[:, :, :BIAS], all_weights[:, :, BIAS], all_maps)]
 
 
 # --- what documents start mixing with: a logistic regression for each gate over all teaching texts --------------------
@@ -351,7 +373,7 @@ def _step(x: np.ndarray, cuts: np.ndarray, y: np.ndarray, many: np.ndarray, weig
     for g, (first, last) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
         for at in range(first, last, STEP_BITS):
             part = slice(at, min(at + STEP_BITS, last))
-            own, ones, times = x[part], y[part], many[part]
+            own, ones, times = x[part].astype(np.float64), y[part], many[part]
             z = np.clip(own @ weights[g], -TOP, TOP)
             p = 1 / (1 + np.exp(-z))
             heavy = times * p * (1 - p)
@@ -381,7 +403,7 @@ def mixer_sums(texts: Iterator[str], code: Code, counts: list[np.ndarray]) -> np
         some, many = np.unique(np.concatenate(held), return_counts=True)
         place, bits, at = slots(some, code)
         many = many[place]
-        x = np.ones((len(place), WIDTH))
+        x = np.ones((len(place), WIDTH), np.float32)
         for k, (total, mine, slot) in enumerate(zip(counts, own, at)):
             cell = slot * 2 + bits
             np.add.at(mine, cell, many.astype(np.uint32))
@@ -473,33 +495,55 @@ def score_texts(texts: list[str], model: Model) -> list[float]:
 # --- the base: words -------------------------------------------------------------------------------------------------
 
 
-def words_of(text: str) -> list[bytes]:
-    """A-Z in lower case, cut at the contract's blanks: what bytes do by themselves."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def _shares(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Texts in turn in shares of about CUT_BYTES, each with the place of its first."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + CUT_BYTES, "right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, A-Z in lower case, cut at the contract's blanks; and the place of each one's text."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, place = cut.flatten(), pc.list_parent_indices(cut).to_numpy()
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at the ends leave empty ones
+    return (words, place) if some.all() else (words.filter(pa.array(some)), place[some])
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
     """kind, token, n: counts over all texts of words (kind 0; the empty token: ends) and of symbols (kind 1)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        bytes_ = np.zeros(END + 1, np.int64)
+        seen = np.zeros(END + 1, np.int64)
+        held: list[pa.Table] = []
 
-        def emit(kind: int, tokens: list[bytes], n: list[int]) -> pa.RecordBatch:
-            columns = [pa.array([kind] * len(n), pa.int32()), pa.array(tokens, pa.binary()), pa.array(n, pa.int64())]
+        def emit(kind: int, tokens: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            columns = [pa.array(np.full(len(n), kind, np.int32)), tokens.cast(pa.binary()), n.cast(pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["kind", "token", "n"])
 
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
+
         for batch in batches:
-            for body in batch.column(0):
-                text = body.as_py()
-                words.update(words_of(text))
-                words[b""] += 1
-                bytes_ += np.bincount(symbols(text), minlength=END + 1)
-                if len(words) > COUNTED_WORDS:
-                    yield emit(0, list(words), list(words.values()))
-                    words.clear()
-        yield emit(0, list(words), list(words.values()))
-        yield emit(1, [str(i).encode() for i in range(END + 1)], bytes_.tolist())
+            for _, share in _shares(batch.column(0)):
+                found = words_in(share)[0].value_counts()
+                words = found.field("values").cast(pa.binary())
+                held.append(pa.table({"token": words, "n": found.field("counts")}))
+                data = np.frombuffer(b"".join(t.as_buffer() for t in share), np.uint8)
+                for at in range(0, len(data), GROUP_BYTES):
+                    seen[:END] += np.bincount(data[at : at + GROUP_BYTES], minlength=END)
+                seen[END] += len(share)
+                if sum(map(len, held)) > COUNTED_WORDS:
+                    held = [merged()]
+                    if len(held[0]) > COUNTED_WORDS / 2:
+                        yield from (emit(0, b["token"], b["n"]) for b in held.pop().to_batches())
+        if held:
+            yield from (emit(0, b["token"], b["n"]) for b in merged().to_batches())
+        yield emit(0, pa.array([b""]), pa.array(seen[END:]))
+        yield emit(1, pa.array([str(i).encode() for i in range(END + 1)]), pa.array(seen))
 
     return texts.mapInArrow(count, "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
 
@@ -527,48 +571,41 @@ def base_scores(rows: DataFrame, vocabulary: DataFrame, head_words: int = HEAD_W
     spark = rows.sparkSession
     frequent = vocabulary.where(F.col("n") >= _least_count(vocabulary, head_words)).collect()
     ends = vocabulary.where(F.col("token") == F.lit(b"")).select("n").first()
-    head = spark.sparkContext.broadcast({bytes(r.token): float(np.log10(r.n + 1)) for r in frequent if len(r.token)})
+    listed = [(bytes(r.token), float(np.log10(r.n + 1))) for r in frequent if len(r.token)]
+    head = spark.sparkContext.broadcast(([t for t, _ in listed], np.array([v for _, v in listed] + [0.0])))
     end_known, end_log = (1, float(np.log10(ends.n + 1))) if ends else (0, 0.0)
+    names = ["id", "mark", "token", "n", "texts", "total", "known", "logs"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = head.value.get
-        def emit(batch: pa.RecordBatch, places: list[int], tokens: list[bytes], counts: list[int], sums: list) -> pa.RecordBatch:
-            at = pa.array(places, pa.int64())
-            own = np.zeros((4, len(places)))
-            for place, total, known, logs in sums:
-                own[:, place] = 1, total, known, logs
-            columns = [
-                batch.column(0).take(at),
-                batch.column(1).take(at),
-                pa.array(tokens, pa.binary()),
-                pa.array(counts, pa.int64()),
-                *[pa.array(own[k].astype(np.int64)) for k in range(3)],
-                pa.array(own[3]),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["id", "mark", "token", "n", "texts", "total", "known", "logs"])
+        tokens, values = head.value
+        frequent = pa.array(tokens, pa.binary())
+
+        def emit(batch: pa.RecordBatch, places: np.ndarray, tokens: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+            columns = [*(batch.column(k).take(pa.array(places)) for k in range(2)), tokens, *map(pa.array, columns)]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            places, tokens, counts, sums = [], [], [], []
-            for i, body in enumerate(batch.column(2)):
-                found = Counter(words_of(body.as_py()))
-                known, logs, rare = 0, 0.0, []
-                for word, n in found.items():
-                    value = get(word)
-                    if value is None:
-                        rare.append(word)
-                    else:
-                        known += n
-                        logs += n * value
+            for first, share in _shares(batch.column(2)):
+                words, place = words_in(share)
+                coded = words.dictionary_encode()
+                different, code = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+                at = pc.index_in(different, value_set=frequent).fill_null(len(frequent)).to_numpy(zero_copy_only=False)
+                pairs, many = np.unique(place.astype(np.int64) * len(different) + code, return_counts=True)
+                which, word = np.divmod(pairs, max(1, len(different)))
+                at = at[word]  # the word's place in the list, that of a rare one the place after
+                texts, rare = len(share), np.flatnonzero(at == len(frequent))
+                total = np.bincount(place, minlength=texts)
+                known = total - np.bincount(which[rare], many[rare], texts).astype(np.int64) + end_known
+                logs = np.bincount(which, many * values[at], texts) + end_log
                 # The row of the text itself has a token that no word can be, another one for each row.
-                tokens += [b" %d %d" % (i, len(places)), *rare]
-                counts += [0, *[found[w] for w in rare]]
-                sums.append((len(tokens) - len(rare) - 1, found.total() + 1, known + end_known, logs + end_log))
-                places += [i] * (len(rare) + 1)
-                if len(tokens) >= EMITTED_ROWS:
-                    yield emit(batch, places, tokens, counts, sums)
-                    places, tokens, counts, sums = [], [], [], []
-            if tokens:
-                yield emit(batch, places, tokens, counts, sums)
+                rows, marks = np.arange(first, first + texts), batch.column(1).slice(first, texts).to_pylist()
+                own = pa.array([b" %d %d" % pair for pair in zip(rows.tolist(), marks)], pa.binary())
+                zero, one = np.zeros(texts, np.int64), np.ones(texts, np.int64)
+                yield emit(batch, rows, own, zero, one, total + 1, known, logs)
+                for k in range(0, len(rare), EMITTED_ROWS):
+                    some = rare[k : k + EMITTED_ROWS]
+                    none = np.zeros(len(some), np.int64)
+                    yield emit(batch, which[some] + first, different.take(pa.array(word[some])), many[some], none, none, none, none.astype(float))
 
     schema = "id long, mark long, token binary, n long, texts long, total long, known long, logs double"
     parts = rows.select("id", "mark", "text").mapInArrow(cut, schema)
