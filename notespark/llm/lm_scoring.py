@@ -32,7 +32,7 @@ PRIOR = 0.4
 HEAD_WORDS = 100_000
 COUNTED_WORDS = 300_000
 EMITTED_ROWS = 100_000
-CUT_BYTES = 1 << 23  # texts whose words are held at once
+CUT_BYTES = 1 << 22  # texts whose words are held at once
 END = 256  # the symbol after the last byte
 GATES = len(ORDERS) + 1
 LEAST = np.float32(1e-6)  # the least probability of a bit
@@ -104,16 +104,22 @@ def expand(syms: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.nda
     return place, code.nodes[entry], code.bits[entry]
 
 
-def slots(some: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For the bits of different grams: place of the gram, the bit, and for each order the slot of context and node."""
+def slots(some: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+    """For the bits of different grams: place of the gram, the bit, and order by order the slot of context and node."""
     place, nodes, bits = expand((some % np.uint64(END + 1)).astype(np.int64), code)
-    hashed, out = (nodes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), []
-    for order, width in zip(ORDERS, TABLE_BITS):
-        context = some // np.uint64(END + 1) % np.uint64((END + 1) ** order)
-        context = (context + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = ((context ^ (context >> np.uint64(31)))[place] ^ hashed) * np.uint64(0xD6E8FEB86659FD93)
-        out.append((mixed >> np.uint64(64 - width)).astype(np.int64))
-    return place, bits, out
+
+    def each() -> Iterator[np.ndarray]:
+        hashed = (nodes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for order, width in zip(ORDERS, TABLE_BITS):
+            context = some // np.uint64(END + 1) % np.uint64((END + 1) ** order)
+            context = (context + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (context ^ (context >> np.uint64(31)))[place]
+            mixed ^= hashed
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            mixed >>= np.uint64(64 - width)
+            yield mixed.view(np.int64)
+
+    return place, bits, each()
 
 
 # --- learning: how often each slot was followed by 0 and by 1 -----------------------------------------------------
@@ -217,15 +223,15 @@ def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Each key's hash names a place that holds one key with that hash; a key that isn't the one held there stands alone.
     """
     place = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 20)).astype(np.int64)
-    n = len(keys)
-    held = np.empty(1 << 20, np.int64)
-    held[place] = np.arange(n)
-    first = held[place]
-    first = np.where(keys[first] == keys, first, np.arange(n))
-    own = np.flatnonzero(first == np.arange(n))
-    number = np.empty(n, np.int64)
-    number[own] = np.arange(len(own))
-    return keys[own], number[first]
+    each = np.arange(len(keys))
+    held = np.empty(1 << 20, np.int32)
+    held[place] = each
+    first = held.take(place).astype(np.int64)
+    first = np.where(keys.take(first) == keys, first, each)
+    own = np.flatnonzero(first == each)
+    number = np.empty(len(keys), np.int64)
+    number[own] = each[: len(own)]
+    return keys.take(own), number.take(first)
 
 
 ROW = 8  # columns of a bit's row: predictors, bias and three more
@@ -653,8 +659,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         model = Model(Code(**code), tables, Mixer(**mixer))
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(score_texts(texts, model), pa.float64())]
+            sizes = pc.binary_length(batch.column(2)).cast(pa.int64())
+            columns = [batch.column(0), batch.column(1), sizes, pa.array(score_texts(texts, model), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "bytes", "score"])
 
     scored = rows.mapInArrow(work, "id long, mark long, bytes long, score double").alias("s")
